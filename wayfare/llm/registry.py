@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from wayfare.llm import secret_scan, url_filter
+from wayfare.llm import decontaminate, secret_scan, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_url_filter": url_filter.op2_url_filter,
         "op7_secret_scan": secret_scan.op7_secret_scan,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
     }
 
 
@@ -16,4 +17,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": url_filter.OP2_SQL,
         "op7_secret_scan": secret_scan.OP7_SQL,
+        "op9_decontaminate": decontaminate.OP9_SQL,
     }
