@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wayfare.llm import decontaminate, secret_scan, url_filter
+from wayfare.llm import decontaminate, packing, secret_scan, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_url_filter": url_filter.op2_url_filter,
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op9_decontaminate": decontaminate.op9_decontaminate,
     }
