@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wayfare.llm import decontaminate, packing, secret_scan, url_filter
+from wayfare.llm import decontaminate, language_id, packing, secret_scan, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op2_url_filter": url_filter.op2_url_filter,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_secret_scan": secret_scan.op7_secret_scan,
