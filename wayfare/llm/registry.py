@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfare.llm import decontaminate, language_id, packing, secret_scan, url_filter
+from wayfare.llm import decontaminate, language_id, minhash, packing, secret_scan, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_minhash": minhash.op10_minhash,
     }
 
 
@@ -20,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_filter": url_filter.OP2_SQL,
         "op7_secret_scan": secret_scan.OP7_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
+        "op10_minhash": minhash.OP10_SQL,
     }
