@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from wayfare.llm import decontaminate, language_id, minhash, packing, secret_scan, url_filter
+from wayfare.llm import decontaminate, embedding_dedup, language_id, minhash, packing, secret_scan, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op9_decontaminate": decontaminate.op9_decontaminate,
@@ -19,6 +20,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": url_filter.OP2_SQL,
+        "op5_embedding_dedup": embedding_dedup.OP5_SQL,
         "op7_secret_scan": secret_scan.OP7_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
         "op10_minhash": minhash.OP10_SQL,
