@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfare.llm import decontaminate, embedding_dedup, language_id, minhash, packing, secret_scan, suffix_dedup, url_filter
+from wayfare.llm import decontaminate, embedding_dedup, html_extract, language_id, minhash, packing, secret_scan, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_language_id": language_id.op1_language_id,
         "op2_url_filter": url_filter.op2_url_filter,
         "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+        "op4_html_extract": html_extract.op4_html_extract,
         "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_secret_scan": secret_scan.op7_secret_scan,
