@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfare.llm import decontaminate, embedding_dedup, html_extract, language_id, minhash, packing, secret_scan, suffix_dedup, url_filter
+from wayfare.llm import decontaminate, embedding_dedup, html_extract, language_id, minhash, packing, secret_scan, suffix_dedup, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_secret_scan": secret_scan.op7_secret_scan,
+        "op8_token_counts": token_counts.op8_token_counts,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_minhash": minhash.op10_minhash,
     }
