@@ -26,7 +26,7 @@ ROWS, BANDS = 5, 40
 SLOTS = 1 << 20
 SEED = 20240613
 #: Shingles that a block of the exhaustive comparison holds, a longer single document apart.
-BLOCK = 60_000
+BLOCK = 200_000
 
 IN_WORD = byte_class(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 
@@ -186,16 +186,15 @@ def apart_links(members: DataFrame, labels: DataFrame, leaders: DataFrame, sets_
     own = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("group"))
     heads = leaders.join(labels, leaders.leader == labels.node, "left").select("key", F.coalesce("component", "leader").alias("head"))
     sided = own.join(heads, "key").withColumn("side", (F.col("group") != F.col("head")).cast("int"))
-    facts = sided.groupBy("key").agg(F.sum("side").alias("asks"), F.count("*").alias("nodes"), F.sum("n").alias("weight"))
-    facts = facts.filter((F.col("asks") > 0) & (F.col("nodes") > 2)).select("key", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks"))
+    facts = sided.groupBy("key").agg(F.sum("side").alias("asks"), F.count("*").alias("nodes"), F.sum(F.col("side") * F.col("n")).alias("asking"), F.sum("n").alias("asked"))
+    facts = facts.filter((F.col("asks") > 0) & (F.col("nodes") > 2)).select("key", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("asking", "asked")))
     rows = materialise(sided.join(facts, "key"))
     if rows.isEmpty():
         return None
-    place = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    base = rows.withColumn("at", place)
-    asks = base.filter("side = 1").select("key", "node", "group", F.lit(1).alias("side"), F.col("at").alias("i"), F.explode(every).alias("j"))
-    told = base.select("key", "node", "group", F.lit(0).alias("side"), F.explode(every).alias("i"), F.col("at").alias("j"))
+    place = lambda blocks: F.pmod(F.xxhash64("node", "key"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    asks = rows.filter("side = 1").select("key", "node", "group", F.lit(1).alias("side"), place("asking").alias("i"), every("asked").alias("j"))
+    told = rows.select("key", "node", "group", F.lit(0).alias("side"), every("asking").alias("i"), place("asked").alias("j"))
     dealt = asks.union(told).groupBy("key", "i", "j", "node", "group").agg(F.max("side").alias("side"))
     full = dealt.join(sets_for(rows.select("node").distinct()), "node")
 
