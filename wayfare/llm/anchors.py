@@ -37,30 +37,37 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+#: Windows looked at together; longer texts are taken in stretches, whose borders only cut runs in two.
+STRETCH = 1 << 19
+
+
 def anchored(raw: np.ndarray, at: np.ndarray, window: int, k: int) -> dict[str, np.ndarray]:
     """Runs of windows with a common anchor, over the documents that `at` delimits.
 
     Each window's anchor is its gram of least hash, the first of equal ones. A run has: doc (index), lo and hi (its
-    first and last window's start), p (the anchor's start; all three within the document), anchor and segment (hashes of the
-    gram and of all the run's bytes).
+    first and last window's start, within the document), anchor and segment (hashes of the gram and of all the run's
+    bytes).
     """
+    found = [_stretch(raw[low : low + STRETCH + window - 1], at, low, window, k) for low in range(0, max(1, len(raw) - window + 1), STRETCH)]
+    return {c: np.concatenate([x[c] for x in found]) for c in found[0]}
+
+
+def _stretch(raw: np.ndarray, at: np.ndarray, low: int, window: int, k: int) -> dict[str, np.ndarray]:
     n = len(raw) - window + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return {"doc": none, "lo": none, "hi": none, "p": none, "anchor": none, "segment": none}
+        return {"doc": none, "lo": none, "hi": none, "anchor": none, "segment": none}
     rolling = Rolling(raw)
     packed = (rolling.grams(k) >> _PLACE << _PLACE) | np.arange(len(raw) - k + 1, dtype=np.uint64)
     chosen = (sliding_min(packed, window - k + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
-    doc = np.searchsorted(at, np.arange(n), "right") - 1
-    valid = np.arange(n) + window <= at[doc + 1]
+    doc = np.searchsorted(at, np.arange(low, low + n), "right") - 1
+    valid = np.arange(low, low + n) + window <= at[doc + 1]
     new = valid.copy()
     new[1:] &= (chosen[1:] != chosen[:-1]) | ~valid[:-1]
     end = valid.copy()
     end[:-1] &= (chosen[1:] != chosen[:-1]) | ~valid[1:]
     lo, hi = np.flatnonzero(new), np.flatnonzero(end)
     p, doc = chosen[lo], doc[lo]
-    first = at[doc]
-    return {
-        "doc": doc, "lo": lo - first, "hi": hi - first, "p": p - first,
-        "anchor": rolling.hash(p, p + k).view(np.int64), "segment": rolling.hash(lo, hi + window).view(np.int64),
-    }
+    first = at[doc] - low
+    keys = {"anchor": rolling.hash(p, p + k).view(np.int64), "segment": rolling.hash(lo, hi + window).view(np.int64)}
+    return {"doc": doc, "lo": lo - first, "hi": hi - first, **keys}

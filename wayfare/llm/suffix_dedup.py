@@ -272,12 +272,12 @@ def repeats(firsts: DataFrame, window: int, gram: int) -> DataFrame:
 
 def spans_of(n: int, stretches: list[dict], window: int) -> list[tuple[int, int]]:
     """Maximal runs of removed bytes of a text of n bytes."""
-    opens = np.zeros(n + 2, np.int64)
+    opens = np.zeros(n + 2, np.int32)
     for r in stretches:
         if not r["keep"]:
             opens[r["lo"]] += 1
             opens[r["hi"] + 1] -= 1
-    gone = np.cumsum(opens) > 0
+    gone = np.cumsum(opens, dtype=np.int32) > 0
     for r in stretches:
         if r["keep"]:
             gone[r["lo"]] = False
