@@ -25,8 +25,9 @@ from wayfare.llm.components import components
 ROWS, BANDS = 5, 40
 SLOTS = 1 << 20
 SEED = 20240613
-#: Shingles that a block of the exhaustive comparison holds, a longer single document apart.
-BLOCK = 200_000
+#: Shingles that a block of the exhaustive comparison holds (a longer single document apart), each node counting as
+#: PLUS more: so a block has BLOCK / PLUS nodes at most, whatever their size.
+BLOCK, PLUS = 200_000, 150
 
 IN_WORD = byte_class(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 
@@ -186,7 +187,7 @@ def apart_links(members: DataFrame, labels: DataFrame, leaders: DataFrame, sets_
     own = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("group"))
     heads = leaders.join(labels, leaders.leader == labels.node, "left").select("key", F.coalesce("component", "leader").alias("head"))
     sided = own.join(heads, "key").withColumn("side", (F.col("group") != F.col("head")).cast("int"))
-    facts = sided.groupBy("key").agg(F.sum("side").alias("asks"), F.count("*").alias("nodes"), F.sum(F.col("side") * F.col("n")).alias("asking"), F.sum("n").alias("asked"))
+    facts = sided.groupBy("key").agg(F.sum("side").alias("asks"), F.count("*").alias("nodes"), F.sum(F.col("side") * (F.col("n") + PLUS)).alias("asking"), F.sum(F.col("n") + PLUS).alias("asked"))
     facts = facts.filter((F.col("asks") > 0) & (F.col("nodes") > 2)).select("key", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("asking", "asked")))
     rows = materialise(sided.join(facts, "key"))
     if rows.isEmpty():
