@@ -11,6 +11,7 @@ REMEMBERED = 800_000
 
 _tokenizers: dict[str, object] = {}
 _memories: dict[str, dict[str, bytes | None]] = {}
+_sizes: dict[str, np.ndarray] = {}
 
 
 def default_path() -> str:
@@ -34,46 +35,64 @@ def _ids(path: str, text: str) -> bytes:
     return np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def _learn(path: str, memory: dict[str, bytes | None], new: list[str]) -> None:
-    """Ids of each word with a space before it. Words without white space at either end are encoded in one text."""
-    plain, ended, known = [], [], set()
+def _lengths(path: str) -> np.ndarray:
+    """The bytes of each token: a byte-level vocabulary writes one character for each."""
+    if path not in _sizes:
+        vocabulary = tokenizer(path).get_vocab()
+        _sizes[path] = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        _sizes[path][list(vocabulary.values())] = [len(token) for token in vocabulary]
+    return _sizes[path]
+
+
+def _learn(path: str, memory: dict[str, bytes | None], new: set[str]) -> None:
+    """Ids of each word with a space before it, or with the line end that it begins with.
+
+    Words without white space at either end are encoded in one text.
+    """
+    plain: dict[str, set[str]] = {" ": set(), "\n": set()}
+    ended = []
     for word in new:
-        if not word or word[0].isspace():
+        if word.isalnum():
+            plain[" "].add(word)
+            continue
+        lead = "\n" if word[:1] == "\n" else " "
+        bare = word[1:] if lead == "\n" else word
+        if not bare or bare[0].isspace():
             memory[word] = None  # where white space runs together, words can't be cut apart
-        elif word[-1].isspace():
-            memory[word] = _ids(path, " " + word)
-        elif word[-1] in ".," and word[:-1].isalnum():  # always cut before such a mark
+        elif bare[-1].isspace():
+            memory[word] = _ids(path, lead + bare)
+        elif bare[-1] in ".," and bare[:-1].isalnum():  # always cut before such a mark
             ended.append(word)
-            if word[:-1] not in memory and word[:-1] not in known:
-                known.add(word[:-1])
-                plain.append(word[:-1])
-        elif word not in known:
-            known.add(word)
-            plain.append(word)
-    for low in range(0, len(plain), 2000):
-        part = plain[low : low + 2000]
-        found = tokenizer(path).encode(" " + " ".join(part), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        ends = np.cumsum([len(word) + 1 for word in part])
-        begins = np.fromiter((at for at, _ in found.offsets), np.int64, len(ids))
-        cuts = np.searchsorted(begins, ends, "left")  # a token's offsets leave no character that it shares
-        low_id = 0
-        for word, cut in zip(part, cuts.tolist(), strict=True):
-            memory[word] = ids[low_id:cut].tobytes()
-            low_id = cut
+            if word[:-1] not in memory:
+                plain[lead].add(bare[:-1])
+        else:
+            plain[lead].add(bare)
+    for lead, words in plain.items():
+        mark, every = lead.strip(" "), list(words)
+        for low in range(0, len(every), 2000):
+            part = every[low : low + 2000]
+            ids = np.array(tokenizer(path).encode(lead + lead.join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.cumsum(_lengths(path)[ids])  # of tokens, in bytes
+            cuts = np.searchsorted(ends, np.cumsum([len(word.encode()) + 1 for word in part]), "left") + 1
+            raw, at = ids.tobytes(), 0
+            for word, cut in zip(part, (4 * cuts).tolist(), strict=True):
+                memory[mark + word] = raw[at:cut]
+                at = cut
     marks = {mark: _ids(path, mark) for mark in ".,"}
     for word in ended:
         memory[word] = memory[word[:-1]] + marks[word[-1]]
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, the same as the tokenizer gives for the whole text."""
+    """Little-endian unsigned 32-bit ids of each text, the same as the tokenizer gives for the whole text.
+
+    A line end between two words is a pre-token of its own, so words are cut there as well as at spaces.
+    """
     memory = _memories.setdefault(path, {})
     if len(memory) > REMEMBERED:
         memory.clear()
-    words = [text.split(" ") for text in texts]
-    new = set().union(*(w[1:] for w in words)) - memory.keys() if words else set()
-    _learn(path, memory, sorted(new))
+    words = [text.replace("\n", " \n").split(" ") for text in texts]
+    _learn(path, memory, set().union(*(w[1:] for w in words)) - memory.keys())
     out = []
     for text, parts in zip(texts, words, strict=True):
         try:
