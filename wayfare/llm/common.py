@@ -48,6 +48,16 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
+#: Bytes of a written lookup side up to which it may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_light(df: DataFrame, size, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint, given only after the sum of `size` (bytes of a row) over the rows has been checked."""
+    total = df.agg(F.sum(size + 64)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string column end to end, and n + 1 offsets; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -62,7 +72,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES * 4) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of whole rows of about `limit` bytes of text (a longer single row stays whole)."""
     _, at = string_buffers(batch.column(column))
     start = 0

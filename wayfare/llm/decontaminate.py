@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import Words, broadcast_if_small, byte_class, read, signed, slices, string_buffers
+from wayfare.llm.common import Words, broadcast_if_light, broadcast_if_small, byte_class, materialise, read, signed, slices, string_buffers
 
 WINDOW = 10
 K = 5
@@ -145,6 +145,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", ite
         .groupBy("key")
         .agg(F.collect_list(F.struct(F.col("item").alias("id"), "text")).alias("items"))
     )
+    hits = materialise(hits)  # only documents with a common fingerprint have a row
+    hits = broadcast_if_light(hits, F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["text"]) + 64))
     joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("key")), "left").select("doc_id", "text", "items")
     return joined.mapInArrow(_extended, f"doc_id {id_type}, n_words long, n_hit long, items array<string>")
 
