@@ -7,7 +7,7 @@ import os
 import numpy as np
 
 #: Words remembered by a worker; the memory starts anew beyond it.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 
 _tokenizers: dict[str, object] = {}
 _memories: dict[str, dict[str, bytes | None]] = {}
@@ -92,7 +92,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     if len(memory) > REMEMBERED:
         memory.clear()
     words = [text.replace("\n", " \n").split(" ") for text in texts]
-    _learn(path, memory, set().union(*(w[1:] for w in words)) - memory.keys())
+    _learn(path, memory, set().union(*(w[1:] for w in words)).difference(memory))
     out = []
     for text, parts in zip(texts, words, strict=True):
         try:
