@@ -35,5 +35,5 @@ def is_transit(network: Column, operator: Column, station: Column, railway: Colu
 def on_line(ref: Column, name: Column, patterns: Column, hints: Column) -> Column:
     """Whether a part of ref (cut at `;`, trimmed) fits one of the anchored patterns; by name only where ref is empty."""
     parts = F.transform(F.split(F.coalesce(ref, F.lit("")), ";"), lambda r: F.trim(r))
-    by_ref = F.exists(parts, lambda r: F.exists(patterns, lambda p: r.rlike(F.concat(F.lit("(?U)"), p))))
+    by_ref = F.exists(parts, lambda r: F.exists(patterns, lambda p: F.rlike(r, F.concat(F.lit("(?U)"), p))))
     return by_ref | ((F.coalesce(ref, F.lit("")) == "") & F.coalesce(F.array_contains(hints, name), F.lit(False)))

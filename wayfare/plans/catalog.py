@@ -6,18 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.session import table
+from wayfare.plans import networks, surfaces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders")
+FLAGSHIP = surfaces.multimodal_grid
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return surfaces.Q | networks.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return surfaces.SQL | networks.SQL
