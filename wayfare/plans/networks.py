@@ -288,3 +288,23 @@ def line_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("line").orderBy("src")
     links = s.select("line", "src", F.lead("src").over(w).alias("dst"), F.lit("link").alias("type")).filter("dst IS NOT NULL")
     return lines.walk_lines(links, s.groupBy("line").agg(F.min("src").alias("start")))
+
+
+@query("""WITH RECURSIVE b(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION ALL SELECT s_suppkey, depth + 1 FROM b JOIN supplier ON s_suppkey // 3 = node AND s_suppkey <> node) SELECT node, depth FROM b""")
+def subclass_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys below 1 in the tree of thirds."""
+    from wayfare.operators.tags import below
+
+    links = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("child"), F.expr("s_suppkey DIV 3").alias("parent"))
+    return below(links, spark.range(1, 2).withColumnRenamed("id", "node"))
+
+
+@query("SELECT c_custkey FROM customer WHERE (c_mktsegment = 'BUILDING' OR regexp_matches(c_mktsegment, '(?i)mach|auto')) AND " + LAT.format("c_custkey") + " BETWEEN 13.6e0 AND 13.9e0")
+def tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements by equal or similar tags in a box."""
+    from wayfare.operators.tags import in_box, tag_is, tag_like
+
+    lat, lng = place(F.col("c_custkey"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("tags"), lat, lng)
+    chosen = tag_is(F.col("tags"), "segment", "BUILDING") | tag_like(F.col("tags"), "segment", "mach|auto", True)
+    return rows.filter(chosen & in_box(F.col("lat"), F.col("lng"), 13.6, 100.0, 13.9, 101.0)).select("c_custkey")

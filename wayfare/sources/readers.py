@@ -114,3 +114,22 @@ def point_of(wkt):
 
 def entity_id(uri):
     return F.substring_index(uri, "/", -1)
+
+
+def read_overpass(spark: SparkSession, path: str) -> DataFrame:
+    """Nodes of a raw map download as station rows: 13 columns, texts empty where a tag is missing."""
+    element = "elements array<struct<type string, id long, lat double, lon double, tags map<string, string>>>"
+    rows = _json(spark, path, element).select(F.posexplode("elements").alias("ord", "e")).filter("e.type = 'node'")
+    tag = lambda k: F.coalesce(F.try_element_at(F.col("e.tags"), F.lit(k)), F.lit(""))
+    keys = {"name": "name", "name_en": "name:en", "name_th": "name:th", **{k: k for k in ("ref", "network", "line", "operator", "railway", "public_transport", "station")}}
+    return rows.select("ord", F.col("e.id").alias("osm_id"), F.col("e.lat").alias("lat"), F.col("e.lon").alias("lon"), *(tag(k).alias(c) for c, k in keys.items()))
+
+
+def read_sparql(spark: SparkSession, path: str) -> DataFrame:
+    """Bindings of a query result as rows for merge_entities; those without a place are left out."""
+    cell = "struct<value string>"
+    schema = f"results struct<bindings array<struct<station {cell}, stationLabel {cell}, coord {cell}, stationCode {cell}, lineLabel {cell}>>>"
+    rows = _json(spark, path, schema).select(F.posexplode("results.bindings").alias("ord", "b"))
+    at = point_of(F.col("b.coord.value"))
+    picked = {"name": "b.stationLabel.value", "code": "b.stationCode.value", "line": "b.lineLabel.value"}
+    return rows.select("ord", entity_id(F.col("b.station.value")).alias("qid"), at.alias("p"), *(F.col(c).alias(n) for n, c in picked.items())).filter("p IS NOT NULL").select("ord", "qid", "name", "p.lat", "p.lng", "code", "line")
