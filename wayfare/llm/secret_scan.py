@@ -118,11 +118,15 @@ def secret_scan(
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "<SECRET>") -> DataFrame:
-    """`docs` with every live-looking span of `found` (from secret_scan) replaced by `mark`; all columns stay."""
-    live = found.select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.filter("spans", lambda r: r["live"]).alias("_spans")
-    ).filter(F.size("_spans") > 0)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """`docs` with every live-looking span of `found` (from secret_scan) replaced by `mark`; all columns stay.
+
+    Rows without such a span, null texts included, are as they were; columns of any name pass through.
+    """
+    live = found.select("doc_id", "text_hash", F.filter("spans", lambda r: r["live"]).alias("spans")).filter(F.size("spans") > 0)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # keeps the names of docs apart from those of found
+    rows = docs.select(row, F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    joined = rows.join(live, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
     state = F.struct(F.lit("").alias("done"), F.lit(0).alias("at")).cast("struct<done:string,at:int>")
 
     def step(acc: Column, r: Column) -> Column:
@@ -130,10 +134,9 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
         done = F.when(r["s"] >= acc["at"], fresh).otherwise(acc["done"])  # a span that overlaps the last joins it
         return F.struct(done.alias("done"), F.greatest(acc["at"], r["e"]).alias("at"))
 
-    clean = F.aggregate("_spans", state, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = docs.withColumn("_key", F.xxhash64(text)).join(live, (F.col(id_col).eqNullSafe(F.col("_id"))) & (F.col("_key") == F.col("_hash")), "left")
-    names = [F.col(c) if c != text_col else F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(clean).alias(text_col) for c in docs.columns]
-    return joined.select(*names)
+    clean = F.aggregate("spans", state, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
+    whole = F.when(F.col("spans").isNull(), F.col("row")[text_col]).otherwise(clean)
+    return joined.select(*((whole if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def digest(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
