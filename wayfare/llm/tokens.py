@@ -7,7 +7,7 @@ import os
 import numpy as np
 
 #: Words remembered by a worker; the memory starts anew beyond it.
-REMEMBERED = 500_000
+REMEMBERED = 650_000
 
 _tokenizers: dict[str, object] = {}
 _memories: dict[str, dict[str, bytes | None]] = {}
@@ -86,17 +86,19 @@ def _learn(path: str, memory: dict[str, bytes | None], new: set[str]) -> None:
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text, the same as the tokenizer gives for the whole text.
 
-    A line end between two words is a pre-token of its own, so words are cut there as well as at spaces.
+    A line end between two words is a pre-token of its own, so words are cut there as well as at spaces. The first
+    word is taken as if a line end stood before it, whose one token is then left out.
     """
     memory = _memories.setdefault(path, {})
     if len(memory) > REMEMBERED:
         memory.clear()
-    words = [text.replace("\n", " \n").split(" ") for text in texts]
-    _learn(path, memory, set().union(*(w[1:] for w in words)).difference(memory))
+    words = [("\n" + text.replace("\n", " \n")).split(" ") for text in texts]
+    _learn(path, memory, set().union(*words).difference(memory))
+    known, lead = memory.__getitem__, len(_ids(path, "\n"))
     out = []
     for text, parts in zip(texts, words, strict=True):
         try:
-            out.append(_ids(path, parts[0]) + b"".join([memory[w] for w in parts[1:]]))
+            out.append(b"".join(map(known, parts))[lead:])
         except TypeError:  # a word of None: white space runs together somewhere
             out.append(_ids(path, text))
     return out
