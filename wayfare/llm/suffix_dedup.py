@@ -232,7 +232,7 @@ def repeats(firsts: DataFrame, window: int, gram: int) -> DataFrame:
                 )
 
     repeated = firsts.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
-    repeated = broadcast_if_small(materialise(repeated))
+    repeated = materialise(repeated)
     all_runs = materialise(firsts.mapInArrow(runs, "ord long, said long, lo int, hi int, anchor long, segment long").join(repeated, "anchor"))
     first = materialise(all_runs.groupBy("anchor", "segment").agg(F.min(F.struct("ord", "lo", "said", "hi")).alias("f")))
     same = all_runs.join(first, ["anchor", "segment"]).filter((F.col("ord") > F.col("f.ord")) | ((F.col("ord") == F.col("f.ord")) & (F.col("lo") > F.col("f.lo"))))
