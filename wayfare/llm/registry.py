@@ -23,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": url_filter.OP2_SQL,
+        "op3_suffix_dedup": suffix_dedup.OP3_SQL,
         "op5_embedding_dedup": embedding_dedup.OP5_SQL,
         "op7_secret_scan": secret_scan.OP7_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,

@@ -356,3 +356,20 @@ def brute_force(docs: list[tuple], window: int = WINDOW) -> list[tuple]:
         n_spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
         out.append((i, len(raw), sum(gone), n_spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+OP3_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS o, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, o, s, md5(substr(h, 2 * s + 1, 200)) AS k FROM (SELECT r, o, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS s FROM d)),
+f AS (SELECT k, min({'o': o, 's': s}) AS m FROM w GROUP BY k),
+g AS (SELECT r, s FROM w JOIN f USING (k) WHERE {'o': o, 's': s} > m),
+i AS (SELECT r, s, sum(CASE WHEN s - before <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY s) AS island
+    FROM (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS before FROM g)),
+p AS (SELECT r, min(s) AS lo, max(s) + 100 AS hi FROM i GROUP BY r, island),
+q AS (SELECT r, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY r ORDER BY lo) AS back FROM p),
+a AS (SELECT r, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS last, string_agg(substr(h, 2 * back + 1, 2 * (lo - back)), '' ORDER BY lo) AS kept
+    FROM q JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN a USING (r)
+"""
