@@ -283,6 +283,16 @@ def test_counts_odd_rows(spark, edge):
     assert all(r.n_encoded == 0 and r.n_tokens == r.n_tokens_after for r in token_counts.count_tokens(docs, PATH, F.lit(None)).collect())
 
 
+def test_trees_are_kept(spark):
+    docs = spark.createDataFrame([(1, "one two three " * 300, [(5, 3, "X")]), (2, None, None), (3, "", [(0, 0, "new words")])], "doc_id long, text string, edits array<struct<start:int,length:int,text:string>>")
+    once = token_counts.apply_edits(token_counts.plant_trees(docs, PATH), PATH)
+    twice = token_counts.apply_edits(once.withColumn("edits", F.lit(None).cast("array<struct<start:int,length:int,text:string>>")), PATH)
+    got = {r.doc_id: r for r in twice.collect()}
+    full = lambda t: len(tokens.tokenizer(PATH).encode(t, add_special_tokens=False).ids)
+    assert all(r.n_tokens == r.n_tokens_after == full(r.text) and r.n_encoded == 0 for r in got.values())
+    assert got[1].text.startswith("one tX") and got[2].text == "" and got[3].text == "new words"
+
+
 # 10 MinHash
 
 

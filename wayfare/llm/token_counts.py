@@ -140,33 +140,70 @@ def edit(tree: Tree, text: str, start: int, length: int, put: str, path: str) ->
     return new, len(tokens)
 
 
-def count_tokens(docs: DataFrame, path: str, edits: Column | str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, n_tokens, and after the edits: n_chars_after, n_tokens_after, n_encoded, text_after.
+LEAVES = pa.list_(pa.struct([("chars", pa.int32()), ("tokens", pa.int32())]))
+
+
+def _fields(df: DataFrame, names: list[str]) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in names)
+
+
+def plant_trees(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """All columns of `docs` with leaves: the code points and tokens of each leaf, all that a tree is built of again.
+
+    Kept beside the texts, they spare later edits the encoding of what these don't touch. Null text has no leaves.
+    """
+    rest = [c for c in docs.columns if c != "leaves"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                found = [[{"chars": c, "tokens": t} for c, t in plant(text or "", path).parts] for text in part.column(text_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(found, LEAVES)], [*rest, "leaves"])
+
+    return docs.select(*rest).mapInArrow(run, f"{_fields(docs, rest)}leaves array<struct<chars:int,tokens:int>>")
+
 
-    edits: array<struct<start, length, text>> of a row, in code points, applied in turn; each counts in the text that
-    the last has left. Places beyond the text are moved to its end; a null list, edit or part counts as none. Null
-    text counts as empty. n_encoded: pre-tokens encoded again. Rows that repeat give rows that repeat; an empty table
-    gives none; further columns are not read.
+def apply_edits(planted: DataFrame, path: str, edits_col: str = "edits", text_col: str = "text") -> DataFrame:
+    """planted (text, leaves, edits, ...) with the edits applied to text and leaves, and the counts before and after.
+
+    edits: array<struct<start, length, text>> in code points, applied in turn; each counts in the text that the last
+    has left. Places beyond the text are moved to its end; a null list, edit or part counts as none. Null text counts
+    as empty. n_encoded: pre-tokens encoded again.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(edits) if isinstance(edits, str) else edits).cast(f"array<{EDIT}>").alias("edits"))
+    numbers = ["n_chars", "n_tokens", "n_chars_after", "n_tokens_after", "n_encoded"]
+    rest = [c for c in planted.columns if c not in (text_col, edits_col, "leaves", *numbers)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, text_col):
                 out = []
-                for text, changes in zip(part.column("text").to_pylist(), part.column("edits").to_pylist(), strict=True):
-                    tree, encoded, now = plant(text, path), 0, text
+                for text, leaf, changes in zip(*(part.column(c).to_pylist() for c in (text_col, "leaves", edits_col)), strict=True):
+                    tree, encoded, now = Tree([(x["chars"], x["tokens"]) for x in leaf or []]), 0, text or ""
                     before = (tree.chars, tree.tokens)
                     for e in changes or []:
                         if e is not None:
                             now, n = edit(tree, now, e["start"] or 0, e["length"] or 0, e["text"] or "", path)
                             encoded += n
-                    out.append((*before, tree.chars, tree.tokens, encoded, now))
+                    out.append((*before, tree.chars, tree.tokens, encoded, now, [{"chars": c, "tokens": t} for c, t in tree.parts]))
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.string())], ["doc_id", "n_chars", "n_tokens", "n_chars_after", "n_tokens_after", "n_encoded", "text_after"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in rest), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.string()), pa.array(cols[6], LEAVES)],
+                    [*rest, *numbers, text_col, "leaves"],
+                )
+
+    longs = "".join(f"{c} long, " for c in numbers)
+    return planted.select(*rest, text_col, "leaves", edits_col).mapInArrow(run, f"{_fields(planted, rest)}{longs}`{text_col}` string, leaves array<struct<chars:int,tokens:int>>")
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_chars long, n_tokens long, n_chars_after long, n_tokens_after long, n_encoded long, text_after string")
+
+def count_tokens(docs: DataFrame, path: str, edits: Column | str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_chars, n_tokens, and after the edits: n_chars_after, n_tokens_after, n_encoded, text_after.
+
+    Trees are planted and the edits applied to them, as plant_trees and apply_edits say. Rows that repeat give rows
+    that repeat; an empty table gives none; further columns are not read.
+    """
+    changes = (F.col(edits) if isinstance(edits, str) else edits).cast(f"array<{EDIT}>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), changes.alias("edits"))
+    return apply_edits(plant_trees(rows, path), path).withColumnRenamed("text", "text_after").drop("leaves")
 
 
 def hashed_edit(id_col: str = "doc_id", text_col: str = "text") -> Column:
