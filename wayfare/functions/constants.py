@@ -51,3 +51,22 @@ OPERATOR_WORDS = ["BMCL", "BEM", "MRTA", "BTSC", "SRT", "ARL"]
 STATION_KINDS = ["subway", "light_rail", "monorail"]
 RAILWAY_KINDS = ["station", "halt", "stop"]
 STATION_BOX = (13.5, 14.0, 100.3, 100.9)
+
+# Patterns of station codes by line, and names that count without a code.
+LINE_PATTERNS = {
+    "blue": [r"^BL\d+$"],
+    "purple": [r"^PP\d+$"],
+    "pink": [r"^PK\d+$"],
+    "yellow": [r"^YL\d+$"],
+    "green_sukhumvit": [r"^N\d+$", r"^E\d+$", r"^CEN$"],
+    "green_silom": [r"^S\d+$", r"^W\d+$", r"^CEN$"],
+    "airport": [r"^A\d+$"],
+    "red_north": [r"^RN\d+$", r"^กภ\.?$"],
+    "red_west": [r"^RW\d+$", r"^ซอ\.?;?.*$", r"^บำ\.?;?.*$", r"^ตช\.?;?.*$"],
+    "gold": [r"^G\d+$"],
+}
+LINE_HINTS = {
+    "yellow": ["Lat Phrao", "Si Thepha"],
+    "red_north": ["Don Mueang", "Krung Thep Aphiwat"],
+    "gold": ["ICONSIAM", "Khlong San", "Charoen Nakhon"],
+}

@@ -93,3 +93,18 @@ def repair(items: DataFrame, branches: DataFrame, routes: DataFrame) -> DataFram
     guessed = between_anchors(items).select(F.col("node").alias("point"), "line", F.col("est_lat").alias("lat"), F.col("est_lng").alias("lng"))
     every = guessed.unionByName(branches.select(F.col("node").alias("point"), "line", "lat", "lng"))
     return snap(every, routes).select("line", F.col("point").alias("node"), F.round("snap_lat", 5).alias("lat"), F.round("snap_lng", 5).alias("lng"))
+
+
+def line_geometry(stations: DataFrame, features: DataFrame) -> DataFrame:
+    """line, source, points of each line with stations (line, node, lat, lng) or features (line, ord, points).
+
+    The first feature of a line, if it has points; else its stations in the order of their digits, if there are two or more.
+    """
+    from wayfare.functions.text import number_in
+
+    first = features.groupBy("line").agg(F.min_by("points", "ord").alias("shape"))
+    stop = F.struct(number_in(F.col("node")).alias("k"), "node", "lat", "lng")
+    listed = stations.groupBy("line").agg(F.array_sort(F.collect_list(stop)).alias("stops"))  # a line's stations are few
+    own = F.transform("stops", lambda s: F.struct(s["lat"].alias("lat"), s["lng"].alias("lng")))
+    drawn = F.when(F.size("shape") > 0, F.struct(F.lit("feature").alias("source"), F.col("shape").alias("points"))).when(F.size("stops") > 1, F.struct(F.lit("stations").alias("source"), own.alias("points")))
+    return listed.join(first, "line", "full").select("line", drawn.alias("x")).filter("x IS NOT NULL").select("line", "x.source", "x.points")

@@ -308,3 +308,74 @@ def tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("tags"), lat, lng)
     chosen = tag_is(F.col("tags"), "segment", "BUILDING") | tag_like(F.col("tags"), "segment", "mach|auto", True)
     return rows.filter(chosen & in_box(F.col("lat"), F.col("lng"), 13.6, 100.0, 13.9, 101.0)).select("c_custkey")
+
+
+_RAIL_LINKS = "(SELECT s_suppkey AS src, s_suppkey + 1 AS dst, 'link' AS type FROM supplier UNION ALL SELECT s_suppkey, s_suppkey // 3, 'connection' FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey > 0)"
+_RAIL = f"(SELECT src, dst, round({_KM} + CASE WHEN type = 'connection' THEN 0.3e0 ELSE 0.0e0 END, 6) AS km FROM {_RAIL_LINKS} WHERE dst IN (SELECT s_suppkey FROM supplier))"
+
+
+@query(f"SELECT src, dst, km FROM {_RAIL} UNION ALL SELECT dst, src, km FROM {_RAIL}")
+def rail_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of known stations, both ways, a change of line at extra cost."""
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"))
+    pairs = keys.select("src", (F.col("src") + 1).alias("dst"), F.lit("link").alias("type"))
+    pairs = pairs.unionByName(keys.filter("src % 2 = 0 AND src > 0").select("src", F.expr("src DIV 3").alias("dst"), F.lit("connection").alias("type")))
+    edges = graph.rail_edges(pairs, points(spark, sf_dir, "supplier", "s_suppkey").withColumnRenamed("id", "node"))
+    return graph.both_ways(edges.withColumn("km", F.round("km", 6)))
+
+
+_BOATS = f"""(SELECT route, pier, arg_min(pos, (km, i)) AS pos FROM (
+    SELECT v.route, v.i, v.pos, p.id AS pier, {sql_km('p.lat', 'p.lng', 'v.lat', 'v.lng')} AS km FROM {sql_points('customer', 'c_custkey')} p JOIN (
+        SELECT route, i, lat, lng, coalesce(sum(step) OVER (PARTITION BY route ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0e0) AS pos FROM (
+            SELECT route, i, lat, lng, {sql_km('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} AS step
+            FROM (SELECT s_nationkey % 5 AS route, s_suppkey AS i, {LAT.format('s_suppkey')} AS lat, {LNG.format('s_suppkey')} AS lng FROM supplier) WINDOW w AS (PARTITION BY route ORDER BY i))) v
+    ON abs(p.lat - v.lat) < 0.004) WHERE km < 0.3 GROUP BY route, pier)"""
+
+
+@query(f"SELECT route, pier, round(pos, 5) AS pos, lead(pier) OVER (PARTITION BY route ORDER BY pos, pier) AS next_pier FROM {_BOATS}")
+def boat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piers on routes with their places and the pier that follows."""
+    from pyspark.sql import Window
+
+    routes = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).alias("route"), F.col("s_suppkey").alias("i"), *place(F.col("s_suppkey")))
+    nodes = graph.boat_nodes(points(spark, sf_dir, "customer", "c_custkey").withColumnRenamed("id", "pier"), routes)
+    return nodes.select("route", "pier", F.round("pos", 5).alias("pos"), F.lead("pier").over(Window.partitionBy("route").orderBy("pos", "pier")).alias("next_pier"))
+
+
+@query("""SELECT view, band, count(*) AS n, round(sum(value), 4) AS total FROM (
+    SELECT 'cost' AS view, 3 * km AS value, """ + "CASE " + " ".join(f"WHEN 3 * km <= {b} THEN {i}" for i, b in enumerate([15, 25, 35, 50, 75, 100, 150, 200, 300])) + """ END AS band FROM (SELECT (c_custkey * 37 % 300) / 10.0e0 AS km FROM customer)
+    UNION ALL SELECT 'time', round(km * 5, 6), """ + "CASE " + " ".join(f"WHEN round(km * 5, 6) <= {b} THEN {i}" for i, b in enumerate([5, 10, 15, 20, 30, 45, 60, 90, 120])) + """ END FROM (SELECT (c_custkey * 37 % 300) / 10.0e0 AS km FROM customer))
+    WHERE band IS NOT NULL GROUP BY view, band""")
+def transit_stop_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops by band under the best of all modes: three times the km stand for the cost, stored minutes for the time."""
+    from wayfare.functions.constants import COST_BANDS, TIME_BANDS
+    from wayfare.functions.geo import band
+
+    km = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 37 % 300 / F.lit(10.0)).alias("km"))
+    values = F.array(F.struct(F.lit("cost").alias("view"), (3 * F.col("km")).alias("value")), F.struct(F.lit("time").alias("view"), F.round(F.col("km") / 12.0 * 60, 6).alias("value")))
+    rows = km.select(F.explode(values).alias("x")).select("x.*")
+    at = F.when(F.col("view") == "cost", F.when(F.col("value") <= COST_BANDS[-1], band("value", COST_BANDS))).otherwise(F.when(F.col("value") <= TIME_BANDS[-1], band("value", TIME_BANDS)))
+    return rows.withColumn("band", at).filter("band IS NOT NULL").groupBy("view", "band").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"""WITH f AS (SELECT line, arg_min(size, ord) AS size FROM (SELECT n_nationkey % 10 AS line, n_nationkey AS ord, n_nationkey % 3 AS size FROM nation WHERE n_nationkey < 18) GROUP BY line),
+    s AS (SELECT s_nationkey % 10 AS line, count(*) AS n, round(arg_min({LAT.format('s_suppkey')}, s_suppkey), 6) AS first FROM supplier GROUP BY 1)
+    SELECT line, CASE WHEN size > 0 THEN 'feature' ELSE 'stations' END AS source, CASE WHEN size > 0 THEN size ELSE n END AS n_points, CASE WHEN size > 0 THEN 13.5e0 ELSE first END AS first_lat
+    FROM f FULL JOIN s USING (line) WHERE size > 0 OR n > 1""")
+def line_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line's first feature, or the polyline of its stations."""
+    spot = F.struct(F.lit(13.5).alias("lat"), F.lit(100.5).alias("lng"))
+    key = F.col("n_nationkey")
+    features = table(spark, sf_dir, "nation").filter(key < 18).select((key % 10).alias("line"), key.alias("ord"), F.array_repeat(spot, (key % 3).cast("int")).alias("points"))
+    stations = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 10).alias("line"), F.col("s_suppkey").cast("string").alias("node"), *place(F.col("s_suppkey")))
+    drawn = lines.line_geometry(stations, features)
+    return drawn.select("line", "source", F.size("points").cast("long").alias("n_points"), F.round(F.col("points")[0]["lat"], 6).alias("first_lat"))
+
+
+@query(f"""SELECT route, kind, count(*) AS n FROM (SELECT CASE WHEN {LNG.format('c_custkey')} < 100.52e0 THEN 'river' ELSE 'canal' END AS route,
+    CASE WHEN c_mktsegment = 'BUILDING' THEN 'pier' WHEN c_nationkey % 2 = 0 THEN 'route' ELSE 'other' END AS kind FROM customer) GROUP BY route, kind""")
+def pier_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features sorted into piers and routes (the type wins), each on its waterway by longitude."""
+    _, lng = place(F.col("c_custkey"))
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "pier").when(F.col("c_nationkey") % 2 == 0, "route").otherwise("other")
+    return table(spark, sf_dir, "customer").groupBy(F.when(lng < 100.52, "river").otherwise("canal").alias("route"), kind.alias("kind")).agg(F.count("*").alias("n"))
