@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +75,8 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of whole rows of about `limit` bytes of text (a longer single row stays whole)."""
-    _, at = string_buffers(batch.column(column))
+    at = np.zeros(batch.num_rows + 1, np.int64)
+    np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), out=at[1:])
     start = 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(at, at[start] + limit, "right")) - 1)
