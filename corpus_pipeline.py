@@ -12,39 +12,48 @@ from pyspark.sql import functions as F
 
 from wayfare.llm import decontaminate as leaks
 from wayfare.llm import language_id, minhash, packing, secret_scan
-from wayfare.llm.common import broadcast_if_small, materialise, read
+from wayfare.llm.common import broadcast_if_small, materialise, read, text_hash
 from wayfare.llm.tokens import default_path
 
 
-def _ids_only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is in `ids` (wanted); null counts as an id."""
-    return docs.join(broadcast_if_small(ids), docs.doc_id.eqNullSafe(ids.wanted), "left_semi")
+def _split(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of `docs` that are (left_semi) or are not (left_anti) among `rows` (wanted, said), by id and text hash; null counts as an id."""
+    same = docs.doc_id.eqNullSafe(rows.wanted) & (text_hash(docs.text) == rows.said)
+    return docs.join(broadcast_if_small(rows), same, how)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those that are far from every language profile."""
     judged = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs))
     good = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.LEAST_SCORE)
-    bad = judged.filter(~good).select(F.col("doc_id").alias("wanted"), F.coalesce("text", F.lit("")).alias("said"))
-    bad = materialise(bad.select("wanted", F.xxhash64("said").alias("said")).distinct())
-    same = docs.doc_id.eqNullSafe(bad.wanted) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == bad.said)
-    return docs.join(broadcast_if_small(bad), same, "left_anti")
+    bad = judged.filter(~good).select(F.col("doc_id").alias("wanted"), text_hash(F.col("text")).alias("said"))
+    return _split(docs, materialise(bad.distinct()), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each component of near-duplicates, and of its repeated rows one."""
-    judged = materialise(minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("wanted")))
-    kept = _ids_only(docs, judged.distinct())
-    if judged.groupBy("wanted").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+    """Keeps one document of each component of near-duplicates, that of least id, and of its repeated rows one.
+
+    Rows that repeat an id (null counts as one) are judged by their own texts. Where linked texts share the least id,
+    that of least hash stays; rows are dropped as repeated only if id and text are the same.
+    """
+    found = minhash.near_duplicates(docs).select(F.col("doc_id").alias("wanted"), F.col("text_hash").alias("said"), "component", "kept")
+    judged = materialise(found.groupBy("wanted", "said", "component", "kept").agg(F.count("*").alias("n")))
+    heads = judged.filter("kept AND component IS NOT NULL").groupBy("component").agg(F.min("said").alias("head"), F.count("*").alias("texts"))
+    heads = materialise(heads.filter("texts > 1").select("component", "head"))
+    beside = judged.filter("kept").join(broadcast_if_small(heads), "component").filter("said <> head")
+    bad = materialise(judged.filter("NOT kept").select("wanted", "said").union(beside.select("wanted", "said")).distinct())
+    kept = _split(docs, bad, "left_anti")
+    again = materialise(judged.filter("n > 1").select("wanted", "said"))
+    if again.isEmpty():
         return kept
-    return kept.dropDuplicates(["doc_id"])
+    return _split(kept, again, "left_anti").union(_split(kept, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops every document that shares a ten-word window (or a whole shorter item) with the benchmark."""
     found = leaks.decontaminate(docs, read(spark, sf_dir, "benchmark"))
-    hit = materialise(found.filter("n_hit > 0").select(F.col("doc_id").alias("wanted")).distinct())
-    return docs.join(broadcast_if_small(hit), docs.doc_id.eqNullSafe(hit.wanted), "left_anti")
+    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("wanted"), F.col("text_hash").alias("said"))
+    return _split(docs, materialise(hit.distinct()), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

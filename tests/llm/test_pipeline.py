@@ -51,3 +51,27 @@ def test_against_brute_force(spark):
     assert all(r.n_chars == len(r.text) for r in secret.collect())
     assert rows(p.pack(spark, secret, folder).select("doc_id").distinct()) == rows(clean.select("doc_id"))
     assert len(list(itertools.chain(p.STAGES))) == 5
+
+
+def test_ids_that_repeat(spark, tmp_path):
+    """Rows are judged by id and text: a clean row survives beside copies and hits that share its id."""
+    from .conftest import PARA, tables
+
+    clean, other, third, leak = "an unlike clean text about rivers and mills", "another clean text on harbours, ferries and piers", "seven lamps burn in the old tower", "solo item"
+    near = [(9, "one two three four five six seven eight nine ten eleven twelve"), (9, "ONE two three four five six seven eight nine ten eleven twelve")]
+    texts = [(1, PARA * 3), (None, PARA * 3), (None, clean), (None, leak), (7, third), (7, other), (7, other), (7, PARA * 3), (8, leak), (8, other + " by night"), *near]
+    docs = [(i, t, "en", "a", len(t), "k", 7, 1, 2, "w", 3) for i, t in texts]
+    folder = tables(spark, tmp_path, docs, [(2, leak)], [], [])
+    kept = materialise(p.near_duplicates(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder))
+    got = [(r.doc_id, r.text.lower() if r.doc_id == 9 else r.text) for r in kept.collect()]
+    want = [(1, PARA * 3), (None, clean), (7, third), (7, other), (8, leak), (8, other + " by night"), near[0]]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    left = p.decontaminate(spark, kept, folder).collect()
+    assert sorted((r.text.lower() for r in left)) == sorted(t.lower() for _, t in want if t != leak)
+
+
+def test_clean_null_id_row_survives(spark, edge):
+    docs = spark.read.parquet(f"{edge}/documents.parquet")
+    for _, stage in p.STAGES[:3]:
+        docs = materialise(stage(spark, docs, edge))
+    assert [r.text[:12] for r in docs.collect() if r.doc_id is None] == ["null id text"]

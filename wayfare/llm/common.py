@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a lookup side up to which it may be broadcast; beyond it the join shuffles.
@@ -49,6 +49,11 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
+def text_hash(text: Column) -> Column:
+    """A 64-bit name of a text; with its id it tells the rows of a table apart. Null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 #: Bytes of a written lookup side up to which it may be broadcast.
 BROADCAST_BYTES = 64 << 20
 

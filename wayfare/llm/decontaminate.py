@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import Words, broadcast_if_light, broadcast_if_small, byte_class, materialise, read, signed, slices, string_buffers
+from wayfare.llm.common import Words, broadcast_if_light, broadcast_if_small, byte_class, materialise, read, signed, slices, string_buffers, text_hash
 
 WINDOW = 10
 K = 5
@@ -120,17 +120,17 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in np.flatnonzero(items.is_valid().to_numpy(zero_copy_only=False)):
                 _, n_hit[i], found[i] = extend(part.column("text")[i].as_py(), items[i].as_py())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array(found, pa.list_(pa.string()))],
-                ["doc_id", "n_words", "n_hit", "items"],
+                [part.column("doc_id"), part.column("text_hash"), pa.array(n_words), pa.array(n_hit), pa.array(found, pa.list_(pa.string()))],
+                ["doc_id", "text_hash", "n_words", "n_hit", "items"],
             )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """For each document the benchmark items that share a ten-word window (or a whole shorter item) with it.
 
-    Returns doc_id, n_words, n_hit, items (sorted ids as strings). Null and empty texts have no words and no hits;
+    Returns doc_id, text_hash, n_words, n_hit, items (sorted ids as strings). Null and empty texts have no words and no hits;
     items without words are in no document; repeated items count once, by id; documents that repeat an id each get
-    the result of their own text. Further columns are not read.
+    the result of their own text, told apart by text_hash. Further columns are not read.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     items = items.select(F.col(item_col).cast("string").alias("key"), "text").filter(F.col("key").isNotNull() & F.col("text").isNotNull())
@@ -147,8 +147,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", ite
     )
     hits = materialise(hits)  # only documents with a common fingerprint have a row
     hits = broadcast_if_light(hits, F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["text"]) + 64))
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("key")), "left").select("doc_id", "text", "items")
-    return joined.mapInArrow(_extended, f"doc_id {id_type}, n_words long, n_hit long, items array<string>")
+    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("key")), "left").select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"), "items")
+    return joined.mapInArrow(_extended, f"doc_id {id_type}, text_hash long, n_words long, n_hit long, items array<string>")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

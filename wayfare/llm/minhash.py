@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import Words, broadcast_if_small, byte_class, materialise, mix, read, slices, string_buffers
+from wayfare.llm.common import Words, broadcast_if_small, byte_class, materialise, mix, read, slices, string_buffers, text_hash
 from wayfare.llm.components import components
 
 ROWS, BANDS = 5, 40
@@ -86,7 +86,7 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 def signed_docs(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
-    """docs (doc_id, text) to doc_id, n, node, keys; keys are null for empty sets."""
+    """docs (doc_id, text, text_hash) to doc_id, text_hash, n, node, keys; keys mean nothing for empty sets."""
     width = rows * bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,10 +99,10 @@ def signed_docs(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
                     if len(found):
                         sig[i] = signature(found, width)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * bands, pa.int32()), pa.array(band_keys(sig, rows, bands).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), keys], ["doc_id", "n", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), keys], ["doc_id", "text_hash", "n", "node", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, node long, keys array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, node long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -209,15 +209,17 @@ def apart_links(members: DataFrame, labels: DataFrame, leaders: DataFrame, sets_
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Component of every document: doc_id, node (name of its shingle set), n_shingles, component_id, kept.
+    """Component of every document: doc_id, text_hash, node (name of its shingle set), component (least node of the
+    linked ones), n_shingles, component_id, kept.
 
     Two documents are linked if their sets of k-word shingles have a Jaccard similarity of percent / 100 or more;
     component_id is the smallest id reachable, kept says whether it is the document's own. Null, empty and wordless
     texts have no shingles and are linked with nothing; a text of fewer than k words is one shingle. Rows that repeat
-    an id are each judged by their own text and share its component. An empty table gives no rows; further columns
+    an id are each judged by their own text, so several can be kept: doc_id with text_hash tells them apart, and
+    component those that are linked. node and component are null without shingles. An empty table gives no rows; further columns
     are not read. With the default bands, a pair at exactly the threshold shares a key with probability 1 - 1e-7.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("text_hash"))
     signed = materialise(signed_docs(texts, k, rows, bands))
     found = signed.filter("n > 0")
     nodes = materialise(found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
@@ -247,14 +249,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     labels = materialise(labels)
     named = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = broadcast_if_small(named.join(least, "component").select("node", "component_id"))
-    wide = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return wide.select("doc_id", "node", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    of_node = broadcast_if_small(named.join(least, "component").select("node", "component", "component_id"))
+    wide = signed.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return wide.select("doc_id", "text_hash", "node", "component", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def op10_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"), k=2).drop("node")
+    return near_duplicates(read(spark, sf_dir, "documents"), k=2).drop("text_hash", "node", "component")
 
 
 OP10_SQL = r"""
