@@ -23,10 +23,14 @@ def _split(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those that are far from every language profile."""
-    judged = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs))
-    good = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.LEAST_SCORE)
-    bad = judged.filter(~good).select(F.col("doc_id").alias("wanted"), text_hash(F.col("text")).alias("said"))
+    """Drops documents without letters and those that are far from every language profile (`language_id.least_scores`)."""
+    judged = language_id.identify(docs.select("doc_id", "text", "lang"), language_id.train(docs))
+    judged = materialise(judged.select(F.col("doc_id").alias("wanted"), text_hash(F.col("text")).alias("said"), "lang", "lang_pred", "score"))
+    least = F.lit(language_id.LEAST_SCORE)
+    for lang, score in language_id.least_scores(judged).items():
+        least = F.when(F.col("lang_pred") == lang, score).otherwise(least)
+    good = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= least)
+    bad = judged.filter(~good).select("wanted", "said")
     return _split(docs, materialise(bad.distinct()), "left_anti")
 
 

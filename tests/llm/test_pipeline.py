@@ -1,6 +1,9 @@
 """The pipeline's stages on odd rows and against brute force."""
 
 import itertools
+import random
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from wayfare.llm import language_id
@@ -75,3 +78,28 @@ def test_clean_null_id_row_survives(spark, edge):
     for _, stage in p.STAGES[:3]:
         docs = materialise(stage(spark, docs, edge))
     assert [r.text[:12] for r in docs.collect() if r.doc_id is None] == ["null id text"]
+
+
+POLISH = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+FINNISH = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+
+
+def test_far_texts_go(spark):
+    """Gibberish of ten words or more and unlearned Latin-script languages go; no document of the corpus does."""
+    random.seed(4)
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(2, 9)))
+    junk = [" ".join(word() for _ in range(n)) for n in (10, 30, 100, 1000) for _ in range(10)]
+    junk += [" ".join("%032x" % random.getrandbits(128) for _ in range(20)), POLISH, FINNISH, POLISH * 20, FINNISH * 20]
+    for folder in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+        extra = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(junk)], "doc_id long, text string").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text", F.lit(None).cast("string").alias("lang"))
+        kept = [r.doc_id for r in p.language(spark, docs.union(extra), folder).collect()]
+        assert not [i for i in kept if i < 0]
+        assert sorted(kept) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_least_scores(spark):
+    judged = [("a", "a", 0.8)] * 90 + [("a", "a", 0.01)] * 9 + [("a", "und", 0.0), (None, "a", 0.1), ("b", "b", 0.6), ("c", "c", 1.0)]
+    got = language_id.least_scores(spark.createDataFrame(judged, "lang string, lang_pred string, score double"))
+    assert got == {"a": 0.4, "b": 0.3, "c": 0.4}  # one wrong label moves nothing; c's single row fits its own profile too well
+    assert language_id.least_scores(spark.createDataFrame(judged[:98], "lang string, lang_pred string, score double")) == {}

@@ -21,8 +21,12 @@ from wayfare.llm.common import read, slices
 K = 400
 #: Labelled documents of a language that training looks at, chosen by hash; the bound on the fitted sample.
 TRAIN_DOCUMENTS = 20_000
-#: Score below which the pipeline rejects a document.
+#: Score below which the pipeline rejects a document in any case; see `least_scores` for the threshold learned on top.
 LEAST_SCORE = 0.05
+#: Share of the median score of labelled documents that a document must reach.
+MARGIN = 0.5
+#: Labelled rows from which a threshold is learned; profiles fit the texts of a smaller corpus too well to judge by their scores.
+LEAST_ROWS = 100
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -149,6 +153,29 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
     return docs.select(*rest).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
+def least_scores(judged: DataFrame, margin: float = MARGIN) -> dict[str, float]:
+    """For each language the score below which a text is not taken for it, learned from judged rows (lang, lang_pred, score).
+
+    The rule: `margin` times the median score of the language's labelled rows, or of all labelled rows where that is
+    less (a profile of few documents fits these too well). A median doesn't fall as rows are added, as the lowest score
+    does, and some wrong labels hardly move it. Rows without label or letters are left out. Counted on scores cut to
+    three places, so at most 1,001 counts a language reach the driver. With fewer than LEAST_ROWS such rows there are
+    no thresholds.
+    """
+    known = judged.filter(F.col("lang").isNotNull() & (F.col("lang_pred") != UNKNOWN))
+    counts = known.groupBy("lang", F.floor(F.col("score") * 1000).alias("score")).agg(F.count("*").alias("n")).collect()
+
+    def median(rows: list) -> float:
+        rows = sorted((r["score"], r["n"]) for r in rows)
+        at = np.cumsum([n for _, n in rows])
+        return rows[int(np.searchsorted(at, at[-1] / 2))][0] / 1000
+
+    if sum(r["n"] for r in counts) < LEAST_ROWS:
+        return {}
+    overall = median(counts)
+    return {lang: max(LEAST_SCORE, margin * min(overall, median([r for r in counts if r["lang"] == lang]))) for lang in sorted({r["lang"] for r in counts})}
+
+
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     profiles = train(docs.filter(~held_out("doc_id") & F.col("doc_id").isNotNull()))
