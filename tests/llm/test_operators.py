@@ -343,3 +343,13 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 6: 1, 7: 1, 4: 4, 5: 4}
     path = [(i, i + 1) for i in range(60)]
     assert {r.component for r in components.components(spark.createDataFrame(path, "a long, b long")).collect()} == {0}
+
+
+def test_null_ids_are_linked(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = [(None, words), (None, [*words, "x"]), (None, [*words, "x", "y"]), (None, words[::-1]), (5, words[::-1][1:]), (6, ["else"] * 3)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    got = minhash.near_duplicates(docs, k=2).collect()
+    assert len({r.component for r in got if r.doc_id is None and r.component_id is None}) == 1
+    assert {(r.doc_id, r.component_id, r.kept) for r in got if r.component_id is not None} == {(None, 5, False), (5, 5, True), (6, 6, True)}
+    assert len({r.component for r in got}) == 3

@@ -129,7 +129,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", ite
     """For each document the benchmark items that share a ten-word window (or a whole shorter item) with it.
 
     Returns doc_id, text_hash, n_words, n_hit, items (sorted ids as strings). Null and empty texts have no words and no hits;
-    items without words are in no document; repeated items count once, by id; documents that repeat an id each get
+    items without words are in no document; items without an id are left out, as there is nothing to name them by, so
+    their windows are no hits (the SQL of the registered query says the same); repeated items count once, by id; documents that repeat an id each get
     the result of their own text, told apart by text_hash. Further columns are not read.
     """
     id_type = docs.schema[id_col].dataType.simpleString()

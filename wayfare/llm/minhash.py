@@ -216,20 +216,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     component_id is the smallest id reachable, kept says whether it is the document's own. Null, empty and wordless
     texts have no shingles and are linked with nothing; a text of fewer than k words is one shingle. Rows that repeat
     an id are each judged by their own text, so several can be kept: doc_id with text_hash tells them apart, and
-    component those that are linked. node and component are null without shingles. An empty table gives no rows; further columns
+    component those that are linked. Rows with a null id are linked like others; component_id is null only where all
+    ids of a component are (the SQL of the registered query links no texts that null ids alone hold). node and component are null without shingles. An empty table gives no rows; further columns
     are not read. With the default bands, a pair at exactly the threshold shares a key with probability 1 - 1e-7.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("text_hash"))
     signed = materialise(signed_docs(texts, k, rows, bands))
     found = signed.filter("n > 0")
-    nodes = materialise(found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row")  # null ids last
+    nodes = found.groupBy("node").agg(row, F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = materialise(nodes.select("node", "row.doc_id", "row.text_hash", "n", "keys"))
     banded = nodes.select(F.explode("keys").alias("key"), "node", "n")
     busy = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = materialise(banded.join(busy, "key"))
 
     def sets_for(wanted: DataFrame) -> DataFrame:
-        ids = nodes.join(broadcast_if_small(wanted, 500_000), "node", "left_semi").select("doc_id")
-        rows_of = texts.join(broadcast_if_small(ids.distinct(), 500_000), "doc_id", "left_semi")
+        own = nodes.join(broadcast_if_small(wanted, 500_000), "node", "left_semi").select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"))
+        same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))
+        rows_of = texts.join(broadcast_if_small(own, 500_000), same, "left_semi").select("doc_id", "text")
         return materialise(sets_of(rows_of, k).dropDuplicates(["node"]))
 
     central = members.groupBy("node").agg(F.sum("size").alias("weight"))
