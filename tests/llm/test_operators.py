@@ -252,6 +252,14 @@ def test_ownership_and_redaction(spark, edge):
     assert text[9].text.startswith("copied key AbCd") and text[4].text is None and text[8].node == 7 and text[8].key == "k"
 
 
+def test_shared_passwords_go(spark):
+    few, many, access = "password = sharedby2owners", "password = example4example", "AKIA" + "Q" * 16
+    texts = [(f"{few} and {access}", f"s{i}") for i in range(2)] + [(many, f"s{i}") for i in range(secret_scan.COMMON + 1)]
+    docs = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in secret_scan.redact(docs, secret_scan.secret_scan(docs)).collect()}
+    assert got[0] == got[1] == "<SECRET> and <SECRET>" and all(got[i] == many for i in range(2, len(texts)))
+
+
 # 8 token counts
 
 

@@ -3,7 +3,8 @@
 Base spans come from three fixed patterns. The method looks at wider candidates (long mixed tokens), hashes every
 candidate, counts over the whole corpus the distinct repositories and owners that hold each hash, and so separates
 widely copied examples from credentials that one owner alone holds. Owner-specific candidates become spans of kind
-`owned`; base spans always stay, and each carries whether it looks live.
+`owned`; base spans always stay, and each carries whether it looks live, which it does unless its value is plainly
+common (more than COMMON owners).
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ BASE = {
 #: Candidates of the method: whole runs of token characters, `least` long or more, with a digit, a lower-case and an upper-case letter.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = [*BASE, "owned"]
+#: Repositories or owners beyond which a base span's value is a widely copied example; a credential that a few share is one still.
+COMMON = 10
 
 SPAN = "struct<kind:string,s:int,e:int,value:string>"
 
@@ -94,15 +97,19 @@ def secret_scan(
     owner_col: str = "source",
     max_repos: int = 1,
     max_owners: int = 1,
+    common: int = COMMON,
 ) -> DataFrame:
     """Spans of every document: doc_id, text_hash, spans (kind, s, e, live), at least one a row.
 
-    live: at most `max_repos` repositories and `max_owners` owners hold the same value. Candidates of the method
-    stay only if they are live and no base span covers them. Null text counts as empty; documents without spans
+    live: a base span unless more than `common` repositories or owners hold the same value; a candidate of the method
+    if at most `max_repos` repositories and `max_owners` owners do. Candidates stay only if they are live and no base
+    span covers them. Null text counts as empty; documents without spans
     give no row; rows that repeat an id and text share a row; an id with several texts has a row for each.
     """
     found = found_spans(docs, id_col, text_col, repo_col, owner_col)
-    seen = found.join(ownership(found), "secret").withColumn("live", (F.col("repos") <= max_repos) & (F.col("owners") <= max_owners))
+    few = lambda repos, owners: (F.col("repos") <= repos) & (F.col("owners") <= owners)
+    live = F.when(F.col("kind") == "owned", few(max_repos, max_owners)).otherwise(few(max(max_repos, common), max(max_owners, common)))
+    seen = found.join(ownership(found), "secret").withColumn("live", live)
     kept = seen.filter((F.col("kind") != "owned") | F.col("live"))
     order = F.element_at(F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i)))), F.col("kind"))
     grouped = kept.groupBy("doc_id", "text_hash").agg(
