@@ -6,6 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of an Arrow batch: texts may be long, and a worker and its JVM hold a batch each.
+ARROW_ROWS = 2000
+#: Bytes of a written lookup side up to which it may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -27,12 +33,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage: write the rows as a table in the shared checkpoint folder and read them back."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder in spark.checkpoint.dir.
+
+    Where none is set, a temporary folder does for a local master; on a cluster it would scatter the intermediate
+    tables over the executors' own disks, so that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayfare"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="wayfare")
+        sc.setCheckpointDir(folder)
+    return f"{sc.getCheckpointDir()}/tables"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut lineage: write the rows as a table in the shared folder and read them back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables; only for when the results that read them have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def weight(df: DataFrame):
+    """About the bytes of a row: what its strings, binaries and lists hold, and a fixed part."""
+    total = F.lit(32).cast("long")
+    for field in df.schema.fields:
+        column, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind == "array" and field.dataType.elementType.typeName() in ("long", "integer", "double", "float"):
+            total = total + 8 * F.greatest(F.size(column), F.lit(0))
+        elif kind in ("array", "map", "struct", "variant"):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
+def broadcast_if_light(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint, given only after the bytes of all rows have been summed; beyond `limit` the join shuffles.
+
+    df is read twice, so it should be a written table or cheap to make.
+    """
+    return F.broadcast(df) if (df.agg(F.sum(weight(df))).first()[0] or 0) <= limit else df
