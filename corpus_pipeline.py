@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from wayfare.llm import decontaminate as leaks
 from wayfare.llm import language_id, minhash, packing, secret_scan
-from wayfare.llm.common import broadcast_if_small, materialise, read, text_hash
+from wayfare.llm.common import broadcast_if_light, materialise, read, text_hash
 from wayfare.llm.tokens import default_path
 
 
 def _split(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """The rows of `docs` that are (left_semi) or are not (left_anti) among `rows` (wanted, said), by id and text hash; null counts as an id."""
     same = docs.doc_id.eqNullSafe(rows.wanted) & (text_hash(docs.text) == rows.said)
-    return docs.join(broadcast_if_small(rows), same, how)
+    return docs.join(broadcast_if_light(rows), same, how)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     judged = materialise(found.groupBy("wanted", "said", "component", "kept").agg(F.count("*").alias("n")))
     heads = judged.filter("kept AND component IS NOT NULL").groupBy("component").agg(F.min("said").alias("head"), F.count("*").alias("texts"))
     heads = materialise(heads.filter("texts > 1").select("component", "head"))
-    beside = judged.filter("kept").join(broadcast_if_small(heads), "component").filter("said <> head")
+    beside = judged.filter("kept").join(broadcast_if_light(heads), "component").filter("said <> head")
     bad = materialise(judged.filter("NOT kept").select("wanted", "said").union(beside.select("wanted", "said")).distinct())
     kept = _split(docs, bad, "left_anti")
     again = materialise(judged.filter("n > 1").select("wanted", "said"))

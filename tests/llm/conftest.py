@@ -31,7 +31,7 @@ def _docs():
     return [(i, t, lang, s, len(t or ""), "k", 7, 1, 2, "w", 3) for i, t, lang, s in texts]
 
 
-ITEMS = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, "solo item"), (3, None), (4, ""), (5, "...!"), (6, "Five more jolly kegs of ale near the old stone bridge at dawn"), (6, "Five more jolly kegs of ale near the old stone bridge at dawn")]
+ITEMS = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, "solo item"), (3, None), (4, ""), (5, "...!"), (None, "der schnelle braune Fuchs springt über den faulen Hund und läuft"), (None, "solo item"), (6, "Five more jolly kegs of ale near the old stone bridge at dawn"), (6, "Five more jolly kegs of ale near the old stone bridge at dawn")]
 NAN = float("nan")
 VECS = [(1, [1.0, 0.0, 0.0]), (2, [2.0, 0.1, 0.0]), (3, [0.0, 1.0, 0.0]), (4, None), (5, [0.0, 0.0, 0.0]), (6, [NAN, 1.0, 0.0]), (7, [1.0, None, 0.0]), (8, [1.0, 0.0, 0.0]), (8, [1.0, 0.0, 0.0]), (9, [1.0, 0.45, 0.0]), (10, [float("inf"), 0.0, 0.0]), (11, [])]
 PAGES = [

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,41 +10,21 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a lookup side up to which it may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+from wayfare.session import ARROW_ROWS, broadcast_if_light, materialise, shared_dir  # noqa: F401 - for the operators
 
 #: Bytes of text that a kernel looks at together.
 CHUNK_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayfare"))
-    return sc.getCheckpointDir()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage: write the rows as a table in the shared folder and read them back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `limit` rows; reads no further than that."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint, given only after the row count has been checked."""
-    return F.broadcast(df) if small(df, limit) else df
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows than Spark's default, unless the session has its own setting."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def text_hash(text: Column) -> Column:
@@ -54,14 +32,16 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-#: Bytes of a written lookup side up to which it may be broadcast.
-BROADCAST_BYTES = 64 << 20
-
+def tell_apart(nodes: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+    """The tables with another `node` for things that share a 64-bit name but not `check`, a second one.
 
-def broadcast_if_light(df: DataFrame, size, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A broadcast hint, given only after the sum of `size` (bytes of a row) over the rows has been checked."""
-    total = df.agg(F.sum(size + 64)).first()[0] or 0
-    return F.broadcast(df) if total <= limit else df
+    nodes: one row for each thing (node, check). All things of a name but one are renamed from both names.
+    """
+    twice = materialise(nodes.groupBy("node").agg(F.min("check").alias("least"), F.count("*").alias("things")).filter("things > 1").select("node", "least"))
+    if twice.isEmpty():
+        return list(tables)
+    other = F.when(F.col("check") > F.col("least"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return [x.join(broadcast_if_light(twice), "node", "left").withColumn("node", other).drop("least") for x in tables]
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

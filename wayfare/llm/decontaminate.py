@@ -2,9 +2,10 @@
 
 Every text is lower-cased (A-Z) and cut into words. Of the hashes of all K-word grams, winnowing keeps the least in
 each run of W consecutive ones. Any two texts that share K + W - 1 = 10 consecutive words keep a common fingerprint
-there, so the join of document and benchmark fingerprints finds every document and item with a common window; the
-hits are then extended on the words themselves. Items of fewer than ten words are one window each: for their few
-lengths (below ten) every gram is kept, which is the same guarantee with a run of one.
+there, so the join of document and benchmark fingerprints finds the place of every common window. Around each hit the
+windows of the document are named (two 64-bit hashes) and joined with the windows of the items, an index that all
+documents share; no item's text is sent to a document. Items of fewer than ten words are one window each: for their
+few lengths (below ten) every gram is kept, which is the same guarantee with a run of one.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import Words, broadcast_if_light, broadcast_if_small, byte_class, materialise, read, signed, slices, string_buffers, text_hash
+from wayfare.llm.common import WORD_BASE, Words, broadcast_if_light, byte_class, materialise, mix, read, signed, slices, string_buffers, text_hash
 
 WINDOW = 10
 K = 5
@@ -109,47 +110,116 @@ def extend(text: str | None, items: list[dict]) -> tuple[int, int, list[str]]:
     return len(words), sum(hit), sorted(found)
 
 
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            words = Words(*string_buffers(part.column("text")), IN_WORD)
-            n_words = np.diff(words.first)
-            n_hit = np.zeros(part.num_rows, np.int64)
-            found: list[list[str]] = [[] for _ in range(part.num_rows)]
-            items = part.column("items")
-            for i in np.flatnonzero(items.is_valid().to_numpy(zero_copy_only=False)):
-                _, n_hit[i], found[i] = extend(part.column("text")[i].as_py(), items[i].as_py())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text_hash"), pa.array(n_words), pa.array(n_hit), pa.array(found, pa.list_(pa.string()))],
-                ["doc_id", "text_hash", "n_words", "n_hit", "items"],
-            )
+def second_name(words: Words, k: int) -> np.ndarray:
+    """A hash of the k words from each word on that has nothing to do with `Words.grams`."""
+    n = len(words.hash)
+    out = np.full(n, np.uint64(k), np.uint64)
+    for j in range(k):
+        out[: max(0, n - j)] = mix(out[: max(0, n - j)] ^ words.hash[j:]) * WORD_BASE
+    return out
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """items (key, text) to their windows: item, size (words), a and b (names)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(*string_buffers(part.column("text")), IN_WORD)
+                n = np.diff(words.first)
+                for size in sorted({min(WINDOW, x) for x in n.tolist()} - {0}):
+                    at = np.flatnonzero(words.fits(size) & ((n[words.doc] == size) | (size == WINDOW)))
+                    key = part.column("key").take(pa.array(words.doc[at]))
+                    yield pa.RecordBatch.from_arrays([key, pa.array(np.full(len(at), size, np.int32)), signed(words.grams(size)[at]), signed(second_name(words, size)[at])], ["item", "size", "a", "b"])
+
+    return items.mapInArrow(run, "item string, size int, a long, b long").distinct()
+
+
+def windows_at(words: Words, hits: list[np.ndarray | None], short: list[int]) -> tuple[np.ndarray, ...]:
+    """Document, first word (of all words), size and names of the windows around the hits of each document."""
+    kept, found = winnow(words), []
+    wanted = np.array([x is not None for x in hits], bool)
+    grams = words.grams(K)
+
+    def among(at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Which of the places hold a gram that is a hit of their own document."""
+        at = at[wanted[words.doc[at]]]
+        doc = words.doc[at]
+        bounds = np.searchsorted(doc, np.arange(words.documents + 1))
+        parts = [at[a:b][np.isin(value[at[a:b]], hits[i])] for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
+        return np.concatenate(parts) if parts else at
+
+    at = among(kept, grams)
+    starts = np.unique((at[:, None] - np.arange(W)[None, :]).ravel())
+    starts = starts[starts >= 0]
+    found.append((starts[words.fits(WINDOW)[starts]], WINDOW))
+    for size in short:
+        found.append((among(np.flatnonzero(words.fits(size)), words.grams(size)), size))
+    start = np.concatenate([x for x, _ in found])
+    size = np.repeat([n for _, n in found], [len(x) for x, _ in found])
+    a, b = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+    for n in {n for _, n in found}:
+        a[size == n], b[size == n] = words.grams(n)[start[size == n]], second_name(words, n)[start[size == n]]
+    return words.doc[start], start, size, a, b
+
+
+def _looked_at(texts: DataFrame, short: list[int]) -> DataFrame:
+    """texts (doc_id, text_hash, text, hits) to doc_id, text_hash, n_words and the windows around its hits."""
+    window = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(*string_buffers(part.column("text")), IN_WORD)
+                has = part.column("hits").is_valid().to_numpy(zero_copy_only=False)
+                hits = [np.array(part.column("hits")[i].as_py(), np.int64).view(np.uint64) if h else None for i, h in enumerate(has)]
+                doc, start, size, a, b = windows_at(words, hits, short) if has.any() else (np.zeros(0, np.int64),) * 5
+                order = np.argsort(doc, kind="stable")
+                fields = [pa.array((start - words.first[doc])[order], pa.int32()), pa.array(size[order], pa.int32()), signed(a[order].astype(np.uint64)), signed(b[order].astype(np.uint64))]
+                ends = np.searchsorted(doc[order], np.arange(part.num_rows + 1))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(window)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(words.first)), lists], ["doc_id", "text_hash", "n_words", "windows"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"doc_id {kind}, text_hash long, n_words long, windows array<struct<start:int,size:int,a:long,b:long>>")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """For each document the benchmark items that share a ten-word window (or a whole shorter item) with it.
 
-    Returns doc_id, text_hash, n_words, n_hit, items (sorted ids as strings). Null and empty texts have no words and no hits;
-    items without words are in no document; items without an id are left out, as there is nothing to name them by, so
-    their windows are no hits (the SQL of the registered query says the same); repeated items count once, by id; documents that repeat an id each get
-    the result of their own text, told apart by text_hash. Further columns are not read.
+    Returns doc_id, text_hash, n_words, n_hit, items (sorted ids as strings). Null and empty texts have no words and no
+    hits; items without words are in no document; repeated items count once, by id; items without an id count as one
+    item, which the list writes as an empty string; documents that repeat an id each get the result of their own text,
+    told apart by text_hash. Texts are looked at whole, about a megabyte of them at a time (a longer one alone). Empty
+    tables give no rows or no hits. Further columns are not read.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    items = items.select(F.col(item_col).cast("string").alias("key"), "text").filter(F.col("key").isNotNull() & F.col("text").isNotNull())
+    items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("key"), "text").filter(F.col("text").isNotNull())
     short = item_lengths(items)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    wanted = broadcast_if_small(_fingerprint_rows(items, short).withColumnRenamed("key", "item").distinct())
-    prints = _fingerprint_rows(docs.select(F.col("doc_id").alias("key"), "text"), short)
-    pairs = prints.join(wanted, "fingerprint").select("key", "item").distinct()
-    texts = items.groupBy("key", "text").agg(F.count("*")).select(F.col("key").alias("item"), "text")
-    hits = (
-        pairs.join(broadcast_if_small(texts, 200_000), "item")
-        .groupBy("key")
-        .agg(F.collect_list(F.struct(F.col("item").alias("id"), "text")).alias("items"))
-    )
-    hits = materialise(hits)  # only documents with a common fingerprint have a row
-    hits = broadcast_if_light(hits, F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["text"]) + 64))
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("key")), "left").select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"), "items")
-    return joined.mapInArrow(_extended, f"doc_id {id_type}, text_hash long, n_words long, n_hit long, items array<string>")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("text_hash"))
+    wanted = materialise(_fingerprint_rows(items, short).select("fingerprint").distinct())
+    prints = _fingerprint_rows(docs.select(F.col("text_hash").alias("key"), "text"), short)
+    hits = prints.join(broadcast_if_light(wanted), "fingerprint").groupBy("key").agg(F.collect_set("fingerprint").alias("hits"))
+    hits = broadcast_if_light(materialise(hits))  # only texts with a common fingerprint have a row
+    looked = materialise(_looked_at(docs.join(hits, docs.text_hash == hits.key, "left").select("doc_id", "text_hash", "text", "hits"), short))
+    index = materialise(item_windows(items))
+    names = ["size", "a", "b"]
+    near = looked.filter(F.size("windows") > 0).select("doc_id", "text_hash", F.explode("windows").alias("w")).select("doc_id", "text_hash", "w.*").distinct()
+    met = materialise(near.join(broadcast_if_light(materialise(index.select(*names).distinct())), names))
+    spans = met.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("spans"))
+    state = F.struct(F.lit(0).alias("to"), F.lit(0).alias("n"))
+
+    def step(done, x):
+        to = F.greatest(done["to"], x["end"])
+        return F.struct(to.alias("to"), (done["n"] + to - F.least(to, F.greatest(done["to"], x["start"]))).alias("n"))
+
+    covered = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.aggregate("spans", state, step, lambda done: done["n"]).cast("long").alias("n_hit"))
+    named = met.select("doc_id", "text_hash", *names).distinct().join(broadcast_if_light(index), names).select("doc_id", "text_hash", "item").distinct()
+    named = named.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    same = lambda x, y: x.doc_id.eqNullSafe(y["_id"]) & (x.text_hash == y["_hash"])
+    both = materialise(named.join(covered, same(named, covered)).select("_id", "_hash", "n_hit", "items"))
+    rows = looked.join(broadcast_if_light(both), same(looked, both), "left")
+    none = F.array().cast("array<string>")
+    return rows.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -166,7 +236,7 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def brute_force(docs: list[tuple], items: list[tuple]) -> list[tuple]:
     """The registered query's rows by comparing all windows, for small fixtures."""
-    every = [{"id": str(i), "text": t} for i, t in items if i is not None and t is not None]
+    every = [{"id": "" if i is None else str(i), "text": t} for i, t in items if t is not None]
     out = []
     for doc_id, text in docs:
         n, hit, found = extend(text, every)
@@ -180,9 +250,9 @@ WITH d AS (
         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
     FROM documents),
 b AS (
-    SELECT CAST(item_id AS VARCHAR) AS item,
+    SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-    FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+    FROM benchmark WHERE text IS NOT NULL),
 bw AS (
     SELECT DISTINCT item, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win
     FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),

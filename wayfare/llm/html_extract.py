@@ -14,14 +14,15 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import broadcast_if_small, materialise, read, slices
+from wayfare.llm.common import broadcast_if_light, materialise, read, slices
 from wayfare.llm.url_filter import host_of
 
-#: Ranked paths of a host that a page tries; a page with none of them is extracted from its own best container.
-PATHS = 16
+#: Voted paths of a host up to which its pages carry the ranked list; where a host has more, each page's own paths are
+#: joined with the votes instead.
+PATHS = 32
 
 # HTML element names by role, and class or id words of what surrounds an article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,7 +34,7 @@ BLOCKS = set(
 CONTAINERS = set("article body div main section td".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 AROUND = set("nav footer aside form header menu dialog button head".split())
-CLOSES = {"p": ("p", BLOCKS - {"p"}), "li": ("li", {"ul", "ol", "menu"}), "tr": ("tr", {"table", "tbody", "thead", "tfoot"}), "td": ("td", {"tr"}), "th": ("th", {"tr"}), "dt": ("dt", {"dl"}), "dd": ("dd", {"dl"}), "option": ("option", {"select"})}
+CLOSES = {"p": ("p", {""}), "li": ("li", {"ul", "ol", "menu"}), "tr": ("tr", {"table", "tbody", "thead", "tfoot"}), "td": ("td", {"tr"}), "th": ("th", {"tr"}), "dt": ("dt", {"dl"}), "dd": ("dd", {"dl"}), "option": ("option", {"select"})}
 AROUND_WORDS = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer "
     "masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion recommended related respond share sharing sidebar "
@@ -74,6 +75,7 @@ def parse(source: str) -> Page:
     text: list[str] = []
     linked = heading = 0
     chars_linked = 0
+    places: dict[str, list[int]] = {"": []}
     pos, n = 0, len(source)
 
     def flush():
@@ -84,12 +86,19 @@ def parse(source: str) -> Page:
         text.clear()
         chars_linked = 0
 
+    def top(name: str) -> int:
+        """Depth of the innermost open element of a name; "" stands for all blocks."""
+        open_ = places.get(name)
+        return open_[-1] if open_ else -1
+
     def close(depth: int):
         nonlocal linked, heading
         while len(stack) > depth:
             name = page.tag[stack[-1]]
             if name in BLOCKS:
                 flush()
+                places[""].pop()
+            places[name].pop()
             linked -= name == "a"
             heading -= name in HEADINGS
             stack.pop()
@@ -113,28 +122,22 @@ def parse(source: str) -> Page:
         if not name:
             continue
         if m[1]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if page.tag[stack[depth]] == name:
-                    close(depth)
-                    break
-            else:
-                if name in BLOCKS:
-                    flush()
+            if (depth := top(name)) >= 0:
+                close(depth)
+            elif name in BLOCKS:
+                flush()
             continue
         if name == "br":
             text.append(" ")
             continue
         if name in BLOCKS:
             flush()
-            closing = ("p", set()) if name not in CLOSES or name == "p" else None
-            for mark, stop in filter(None, (closing, CLOSES.get(name) if name != "p" else None)):
-                for depth in range(len(stack) - 1, -1, -1):
-                    up = page.tag[stack[depth]]
-                    if up == mark:
-                        close(depth)
-                        break
-                    if up in stop or (mark == "p" and up in BLOCKS):
-                        break
+            if name != "p" and (depth := top("p")) >= 0 and depth == top(""):  # a block ends an open paragraph right above it
+                close(depth)
+            if name in CLOSES:
+                mark, stop = CLOSES[name]
+                if (depth := top(mark)) >= 0 and depth >= max(map(top, stop)):
+                    close(depth)
         if name in VOID:
             continue
         if name in RAW:
@@ -162,6 +165,9 @@ def parse(source: str) -> Page:
         page.label.append(label)
         page.key.append(xxhash.xxh64_intdigest(label, page.key[parent] if parent >= 0 else 0))
         page.around.append(name in AROUND or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog") or (name not in ("html", "body", "article", "main") and not AROUND_WORDS.isdisjoint(words)))
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCKS:
+            places[""].append(len(stack))
         stack.append(len(page.tag) - 1)
         linked += name == "a"
         heading += name in HEADINGS
@@ -223,24 +229,21 @@ def inside(page: Page, roots: set[int]) -> list[bool]:
 
 def text_of(page: Page, out: list[bool], roots: set[int] | None) -> str:
     """Blocks in page order. Of an article's own header only headings stay. roots None: the whole page."""
-    found = inside(page, roots) if roots is not None else None
-    lines = []
-    for at, said, heading, _ in page.blocks:
-        if found is None:
-            take = at < 0 or not out[at]
-        else:
-            take = at >= 0 and found[at] and (not out[at] or (heading and _only_header(page, out, at, roots)))
-        if take:
-            lines.append(said)
-    return "\n".join(lines)
-
-
-def _only_header(page: Page, out: list[bool], at: int, roots: set[int]) -> bool:
-    while at >= 0 and out[at] and at not in roots:
-        if page.around[at] and page.tag[at] != "header":
-            return False
-        at = page.parent[at]
-    return at >= 0 and not out[at]
+    if roots is None:
+        return "\n".join(said for at, said, _, _ in page.blocks if at < 0 or not out[at])
+    found, header = inside(page, roots), only_headers(page, out, roots)
+    return "\n".join(said for at, said, heading, _ in page.blocks if at >= 0 and found[at] and (not out[at] or (heading and header[at])))
+
+
+def only_headers(page: Page, out: list[bool], roots: set[int]) -> list[bool]:
+    """Whether nothing but headers puts an element outside of the article."""
+    good = [False] * len(page.tag)
+    for i, up in enumerate(page.parent):
+        if not out[i] or i in roots:
+            good[i] = not out[i]
+        elif not page.around[i] or page.tag[i] == "header":
+            good[i] = up >= 0 and good[up]
+    return good
 
 
 def vote(source: str) -> tuple[int, str, int] | None:
@@ -280,24 +283,51 @@ def _signed(k: int) -> int:
     return k - (1 << 64) if k >= 1 << 63 else k
 
 
-def winning_paths(pages: DataFrame) -> DataFrame:
-    """host, keys and paths: each host's paths by falling votes (then weight, then path)."""
-    counted = votes(pages).groupBy("host", "key", "path").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), F.desc("weight"), "path", "key"))
-    best_few = counted.withColumn("rank", rank).filter(F.col("rank") <= PATHS)
-    listed = best_few.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "key", "path"))).alias("x"))
-    return listed.select("host", F.col("x.key").alias("keys"), F.col("x.path").alias("paths"))
+def counted_votes(pages: DataFrame) -> DataFrame:
+    """host, key, path, n, weight: the votes for each path of a host."""
+    return votes(pages).groupBy("host", "key", "path").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
+def winning_paths(counted: DataFrame) -> DataFrame:
+    """host and keys: each host's paths by falling votes (then weight, then path)."""
+    order = F.struct((-F.col("n")).alias("n"), (-F.col("weight")).alias("weight"), "path", "key")
+    return counted.groupBy("host").agg(F.array_sort(F.collect_list(order)).alias("x")).select("host", F.col("x.key").alias("keys"))
+
+
+def own_paths(pages: DataFrame, counted: DataFrame) -> DataFrame:
+    """The most voted path of each page: name (of host and html) and key, joined by (host, key) whatever their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html"):
+                names, keys, hosts = [], [], []
+                for name, host, source in zip(*(part.column(c).to_pylist() for c in ("name", "host", "html")), strict=True):
+                    page = parse(source or "")
+                    score, out = weighed(page)
+                    own = sorted({k for i, k in enumerate(page.key) if page.tag[i] in CONTAINERS and not out[i] and score[i] > 0})
+                    keys += map(_signed, own)
+                    names += [name] * len(own)
+                    hosts += [host] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], ["name", "host", "key"])
+
+    own = pages.select("name", "host", "html").mapInArrow(run, "name long, host string, key long").distinct()
+    order = F.struct((-F.col("n")).alias("n"), (-F.col("weight")).alias("weight"), "path", "key")
+    return own.join(broadcast_if_light(counted), ["host", "key"]).groupBy("name").agg(F.min(order).alias("x")).select("name", F.array("x.key").alias("keys"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text of every row.
 
     Null, empty and textless pages give an empty text; text outside of any element counts as the page's body. Pages
-    without a host vote together. Rows that repeat give rows that repeat; an empty table gives none; further columns
-    are not read.
+    without a host vote together. A page is held whole, and parsed in time in proportion to its length. Rows that repeat
+    give rows that repeat; an empty table gives none; further columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.col(html_col).alias("html"))
-    won = broadcast_if_small(materialise(winning_paths(rows.select("host", "html"))).select("host", "keys"))
+    counted = materialise(counted_votes(rows.select("host", "html")))
+    wide = materialise(counted.groupBy("host").agg(F.count("*").alias("paths")).filter(F.col("paths") > PATHS).select("host"))
+    many = not wide.isEmpty()
+    narrow = counted.join(broadcast_if_light(wide), "host", "left_anti") if many else counted
+    won = broadcast_if_light(materialise(winning_paths(narrow)))
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +336,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 texts = [extract(x, [k & (1 << 64) - 1 for k in keys or []]) if x else "" for x, keys in zip(part.column("html").to_pylist(), part.column("keys").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return rows.join(won, "host", "left").select("page_id", "url", "html", "keys").mapInArrow(run, f"page_id {kind}, url string, text string")
+    told = (rows.join(broadcast_if_light(wide), "host", "left_anti") if many else rows).join(won, "host", "left").select("page_id", "url", "html", "keys")
+    if many:
+        large = rows.join(broadcast_if_light(wide), "host", "left_semi").withColumn("name", F.xxhash64("host", F.coalesce("html", F.lit(""))))
+        own = materialise(own_paths(large, counted.join(broadcast_if_light(wide), "host", "left_semi")))
+        told = told.union(large.join(broadcast_if_light(own), "name", "left").select("page_id", "url", "html", "keys"))
+    return told.mapInArrow(run, f"page_id {kind}, url string, text string")
 
 
 def op4_html_extract(spark, sf_dir: str) -> DataFrame:

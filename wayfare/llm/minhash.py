@@ -19,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import Words, broadcast_if_small, byte_class, materialise, mix, read, slices, string_buffers, text_hash
+from wayfare.llm.common import Words, broadcast_if_light, byte_class, materialise, mix, read, slices, string_buffers, tell_apart, text_hash
 from wayfare.llm.components import components
 
 ROWS, BANDS = 5, 40
 SLOTS = 1 << 20
+#: Sets of more shingles than this fill the circle too well; they get keys from a circle of 2^64 places instead. Sets of
+#: four fifths of that and more get both, so linked sets always have keys of one kind.
+LONG = SLOTS >> 4
 SEED = 20240613
 #: Shingles that a block of the exhaustive comparison holds (a longer single document apart), each node counting as
 #: PLUS more: so a block has BLOCK / PLUS nodes at most, whatever their size.
@@ -51,10 +54,29 @@ def signature(shingles: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def band_keys(signatures: np.ndarray, rows: int, bands: int) -> np.ndarray:
+def wide_signature(shingles: np.ndarray, width: int) -> np.ndarray:
+    """All coordinates on a circle of 2^64 places, whose ranks are computed; for long sets."""
+    out, shift = np.full(width, np.iinfo(np.uint64).max, np.uint64), np.arange(width, dtype=np.uint64)
+    places = mix(shingles ^ np.uint64(0xA0761D6478BD642F))
+    for low in range(0, len(places), 2048):
+        np.minimum(out, mix(places[low : low + 2048, None] + shift).min(0), out=out)
+    return out
+
+
+def keys_of(shingles: np.ndarray, rows: int, bands: int, percent: int) -> np.ndarray:
+    """The band keys of a set: by the table for short sets, by the wide circle for long ones, both in between."""
+    parts = []
+    if len(shingles) <= LONG:
+        parts.append(band_keys(signature(shingles, rows * bands)[None], rows, bands)[0])
+    if 100 * len(shingles) >= percent * LONG:
+        parts.append(band_keys(wide_signature(shingles, rows * bands)[None], rows, bands, 1 << 32)[0])
+    return np.concatenate(parts)
+
+
+def band_keys(signatures: np.ndarray, rows: int, bands: int, salt: int = 0) -> np.ndarray:
     """One 64-bit key for each band of each signature."""
     parts = signatures.reshape(len(signatures), bands, rows).astype(np.uint64)
-    out = np.tile(np.arange(bands, dtype=np.uint64), (len(signatures), 1))
+    out = np.tile(np.arange(salt, salt + bands, dtype=np.uint64), (len(signatures), 1))
     for k in range(rows):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
     return out.view(np.int64)
@@ -77,42 +99,45 @@ def shingle_sets(part: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def set_key(shingles: np.ndarray) -> int:
-    """A 64-bit name of a set."""
+def set_keys(shingles: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit names of a set; both together tell sets apart."""
     if not len(shingles):
-        return 0
-    total = np.array([mix(shingles).sum() + np.uint64(len(shingles))], np.uint64)
-    return int(mix(total).view(np.int64)[0])
+        return 0, 0
+    one, two = mix(shingles), mix(shingles ^ np.uint64(0xE7037ED1A0B428DB))
+    total = np.array([one.sum() + np.uint64(len(shingles)), (one * two).sum()], np.uint64)
+    a, b = mix(total).view(np.int64)
+    return int(a), int(b)
 
 
-def signed_docs(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
-    """docs (doc_id, text, text_hash) to doc_id, text_hash, n, node, keys; keys mean nothing for empty sets."""
-    width = rows * bands
+def signed_docs(docs: DataFrame, k: int, rows: int, bands: int, percent: int) -> DataFrame:
+    """docs (doc_id, text, text_hash) to doc_id, text_hash, n, node, check, keys; empty sets have no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                n, node, sig = [], [], np.zeros((part.num_rows, width), np.uint32)
-                for i, found in enumerate(shingle_sets(part, k)):
+                n, node, check, keys = [], [], [], []
+                for found in shingle_sets(part, k):
                     n.append(len(found))
-                    node.append(set_key(found))
-                    if len(found):
-                        sig[i] = signature(found, width)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * bands, pa.int32()), pa.array(band_keys(sig, rows, bands).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), keys], ["doc_id", "text_hash", "n", "node", "keys"])
+                    a, b = set_keys(found)
+                    node.append(a)
+                    check.append(b)
+                    keys.append(keys_of(found, rows, bands, percent) if len(found) else np.zeros(0, np.int64))
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), lists], ["doc_id", "text_hash", "n", "node", "check", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, node long, keys array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, node long, check long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """docs (doc_id, text) to node and its shingles (little-endian unsigned 64-bit, sorted)."""
+    """docs (node, text) to node and its shingles (little-endian unsigned 64-bit, sorted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = list(shingle_sets(part, k))
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "set"])
+                found = [x.tobytes() for x in shingle_sets(part, k)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], ["node", "set"])
 
     return docs.mapInArrow(run, "node long, set binary")
 
@@ -217,24 +242,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     texts have no shingles and are linked with nothing; a text of fewer than k words is one shingle. Rows that repeat
     an id are each judged by their own text, so several can be kept: doc_id with text_hash tells them apart, and
     component those that are linked. Rows with a null id are linked like others; component_id is null only where all
-    ids of a component are (the SQL of the registered query links no texts that null ids alone hold). node and component are null without shingles. An empty table gives no rows; further columns
-    are not read. With the default bands, a pair at exactly the threshold shares a key with probability 1 - 1e-7.
+    ids of a component are, and then all its rows are kept. node and component are null without shingles. An empty table gives no rows; further columns
+    are not read. With the default bands, a pair at exactly the threshold shares a key with probability 1 - 1e-7. Sets are
+    told apart by 128 bits. Texts are looked at whole, a set of eight bytes a shingle at a time.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("text_hash"))
-    signed = materialise(signed_docs(texts, k, rows, bands))
-    found = signed.filter("n > 0")
+    signed = materialise(signed_docs(texts, k, rows, bands, percent))
     row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row")  # null ids last
-    nodes = found.groupBy("node").agg(row, F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = materialise(nodes.select("node", "row.doc_id", "row.text_hash", "n", "keys"))
+    nodes = signed.filter("n > 0").groupBy("node", "check").agg(row, F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = materialise(nodes.select("node", "check", "row.doc_id", "row.text_hash", "n", "keys"))
+    signed, nodes = tell_apart(nodes, signed, nodes)
     banded = nodes.select(F.explode("keys").alias("key"), "node", "n")
     busy = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = materialise(banded.join(busy, "key"))
 
     def sets_for(wanted: DataFrame) -> DataFrame:
-        own = nodes.join(broadcast_if_small(wanted, 500_000), "node", "left_semi").select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"))
+        own = nodes.join(broadcast_if_light(materialise(wanted)), "node", "left_semi").select("node", F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"))
         same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))
-        rows_of = texts.join(broadcast_if_small(own, 500_000), same, "left_semi").select("doc_id", "text")
-        return materialise(sets_of(rows_of, k).dropDuplicates(["node"]))
+        rows_of = texts.join(broadcast_if_light(materialise(own)), same).select("node", "text")
+        return materialise(sets_of(rows_of, k).dropDuplicates(["node"]))  # rows that repeat an id and text
 
     central = members.groupBy("node").agg(F.sum("size").alias("weight"))
     weighed = members.join(central, "node")
@@ -253,7 +279,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     labels = materialise(labels)
     named = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = broadcast_if_small(named.join(least, "component").select("node", "component", "component_id"))
+    of_node = broadcast_if_light(materialise(named.join(least, "component").select("node", "component", "component_id")))
     wide = signed.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return wide.select("doc_id", "text_hash", "node", "component", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
@@ -272,7 +298,7 @@ s AS (
     SELECT r, doc_id, CASE WHEN len(w) < 2 THEN w
         ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS g
     FROM d),
-u AS (SELECT g, min(doc_id) AS node FROM s WHERE len(g) > 0 GROUP BY g),
+u AS (SELECT g, row_number() OVER () AS node, min(doc_id) AS least FROM s WHERE len(g) > 0 GROUP BY g),
 x AS (SELECT node, len(g) AS n, unnest(g) AS t FROM u),
 p AS (
     SELECT a.node AS a, b.node AS b
@@ -280,8 +306,8 @@ p AS (
     GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
 c(node, reach) AS (SELECT node, node FROM u UNION SELECT c.node, e.b FROM c JOIN e ON c.reach = e.a),
-m AS (SELECT node, min(reach) AS component_id FROM c GROUP BY node)
-SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id,
-    s.doc_id = coalesce(m.component_id, s.doc_id) AS kept
+m AS (SELECT c.node, min(u.least) AS component_id FROM c JOIN u ON u.node = c.reach GROUP BY c.node)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CASE WHEN len(s.g) > 0 THEN m.component_id ELSE s.doc_id END AS component_id,
+    s.doc_id IS NOT DISTINCT FROM CASE WHEN len(s.g) > 0 THEN m.component_id ELSE s.doc_id END AS kept
 FROM s LEFT JOIN u ON s.g = u.g AND len(s.g) > 0 LEFT JOIN m ON u.node = m.node
 """

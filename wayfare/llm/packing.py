@@ -2,10 +2,12 @@
 
 Tokens are counted once, piece by piece. All the solver needs is how many pieces have each length: at most LIMIT
 numbers, whatever the corpus. The fractional covering program "choose configurations (multisets of lengths that fit
-a sequence) so that every piece is covered" is solved by multiplicative weights, the best configuration under the
-current weights being priced by a knapsack dynamic program. The fractional solution is rounded down, and what is
-left is packed best-fit decreasing, again by length. The plan is a table of slots (length, first rank, count, first
-sequence, offset); pieces take the slot of their rank among pieces of their length.
+a sequence) so that every piece is covered" is solved by multiplicative weights: every length has a price that falls
+as it is covered, a knapsack dynamic program finds the configurations of most worth at these prices (each length no
+more often than it has pieces), and the solution is the average over the rounds. Each round's prices also bound every
+packing from below. The average is rounded to whole configurations, and best fit packs what these leave. The plan is a
+table of slots (length, first rank, count, first sequence, offset); pieces take the slot of their rank among pieces of
+their length.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ LIMIT = 1024
 END = 2
 #: Pieces of one length that are ranked together in a task.
 RANKED = 50_000
-#: Rounds of multiplicative weights; a documented bound on the solver, not on the data.
-ROUNDS = 200
-#: Shares of the fractional solution that rounding tries; the one that needs the fewest sequences is taken.
-SHARES = (1.0, 0.8, 0.6, 0.4, 0.2)
+#: Rounds of multiplicative weights, and their step; documented bounds on the solver, not on the data.
+ROUNDS, STEP = 24, 1.0
+#: Times that the program is solved at most, each for what rounding has left, and the share of sequences for which it is solved again.
+REPEATS, GAIN = 12, 0.02
+#: Reserves for best fit that are tried: the longest length of which pieces are held back, and the share of these. The
+#: last holds back all: where a length has few pieces (small tables), rounding finds little that is whole.
+RESERVES = ((256, 0.8), (384, 0.7), (LIMIT, 1.0))
+SEED = 11
 
 Config = tuple[tuple[int, int], ...]
 
@@ -63,74 +69,124 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, f"doc_id {kind}, {PIECE}")
 
 
-def price(weights: np.ndarray, counts: np.ndarray, limit: int) -> np.ndarray:
-    """The configuration of most weight: knapsack over lengths, each used at most as often as it has pieces.
+def price(worth: np.ndarray, counts: np.ndarray, limit: int, start: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The most worth of a configuration, and the full configurations of most worth with each length of `start`.
 
-    weights and counts are by length (index 0 unused). Returns how often each length is taken.
+    worth and counts are by length (index 0 unused). A bounded knapsack: a length is offered in lots of 1, 2, 4, ...
+    pieces, as many as it has or as fit, so no configuration takes more than there are. One table holds the best of
+    each size at most (which bounds all packings), the other the best of exactly that size (which wastes nothing).
+    Configurations are rows; lengths that no full configuration has give none.
     """
-    value = np.zeros(limit + 1)
-    choice = np.zeros(limit + 1, np.int64)
-    density = np.zeros(limit + 1)
-    lengths = np.flatnonzero(counts[1:]) + 1
-    density[lengths] = weights[lengths]
-    for size in range(1, limit + 1):  # unbounded knapsack, one vectorised step for each size
-        fit = lengths[: np.searchsorted(lengths, size, "right")]
-        total = value[size - fit] + density[fit]
-        if len(total):
-            best = int(total.argmax())
-            value[size], choice[size] = total[best], fit[best]
-        if value[size - 1] >= value[size]:
-            value[size], choice[size] = value[size - 1], 0
-    taken = np.zeros(limit + 1, np.int64)
-    size = limit
-    while size > 0:
-        if (length := choice[size]) == 0:
-            size -= 1
-            continue
-        taken[length] += 1
-        size -= length
-    return np.minimum(taken, counts)
-
-
-def fractional(counts: np.ndarray, limit: int, rounds: int) -> dict[Config, float]:
-    """Configurations and how often to use each (fractional), by multiplicative weights.
-
-    A length's weight is its tokens, times a factor that falls as it is covered: the price of a length that lags
-    is high, so the next configurations hold it. Each configuration is used for half of what its scarcest length
-    still needs.
+    lots = []
+    for length in np.flatnonzero(counts)[::-1]:  # of equal worth, fewer and longer pieces
+        able, lot = min(int(counts[length]), limit // int(length)), 1
+        while able > 0:
+            lots.append((int(length), min(lot, able)))
+            able, lot = able - lot, 2 * lot
+    value = np.full((2, limit + 1), -np.inf)
+    value[0], value[1, 0] = 0, 0
+    taken = np.zeros((len(lots), limit + 1), bool)
+    for i, (length, lot) in enumerate(lots):
+        size = length * lot
+        other = value[:, :-size] + worth[length] * lot
+        taken[i, size:] = other[1] > value[1, size:]
+        np.maximum(value[:, size:], other, out=value[:, size:])
+    start = start[np.isfinite(value[1, limit - start])]
+    rows = np.zeros((len(start), limit + 1), np.int64)
+    rows[np.arange(len(start)), start] = 1
+    room = limit - start
+    for i in range(len(lots) - 1, -1, -1):
+        length, lot = lots[i]
+        use = taken[i, room]
+        if use.any():
+            rows[use, length] += lot
+            room = room - use * (length * lot)
+    able = (rows <= counts).all(1)
+    return float(value[0, limit]), rows[able], start[able]
+
+
+def fractional(counts: np.ndarray, limit: int, rounds: int = ROUNDS, step: float = STEP) -> tuple[dict[Config, float], float]:
+    """Configurations with how often to use each (fractional), and a lower bound on the sequences of any packing.
+
+    Multiplicative weights: the price of a length's tokens is exp(-step x how many rounds its cover is ahead of an even
+    share), less a charge that grows the same way, as no more pieces can be used than there are. Every round takes the
+    best configuration with each length that lags, in proportion to its lag, and spreads the same number of sequences
+    over them. The bound is that of linear programming: prices times pieces over the most worth of a configuration.
     """
     lengths = np.flatnonzero(counts)
-    used: dict[Config, float] = {}
-    left = counts.astype(float)
-    eta = 4 * np.log(max(2, len(lengths)))
-    for _ in range(rounds):
-        if not len(lengths) or left.max() < 1:
+    if not len(lengths):
+        return {}, 0.0
+    bound = float((lengths * counts[lengths]).sum()) / limit
+    each = bound / rounds
+    cover, found = np.zeros(limit + 1), {}
+    for t in range(rounds):
+        ahead = cover[lengths] * rounds / counts[lengths] - t
+        worth = np.zeros(limit + 1)
+        worth[lengths] = lengths * np.exp(-step * np.clip(ahead, -20, 20)) - np.expm1(step * np.clip(ahead, 0, 8))
+        lag = np.maximum((t + 1) / rounds * counts - cover, 0)
+        most, rows, start = price(worth, counts, limit, np.flatnonzero(lag))
+        bound = max(bound, float((np.maximum(worth, 0) * counts).sum()) / most)
+        if not len(rows):
             break
-        covered = 1 - left[lengths] / counts[lengths]
-        weights = np.zeros(len(counts))
-        weights[lengths] = lengths * np.exp(-eta * (covered - covered.min()))
-        taken = price(weights, np.floor(left).astype(np.int64), limit)
-        at = np.flatnonzero(taken)
-        step = max(1.0, float((left[at] / taken[at]).min()) / 2)
-        config = tuple((int(x), int(taken[x])) for x in at)
-        used[config] = used.get(config, 0.0) + step
-        left[at] = np.maximum(0, left[at] - step * taken[at])
-    return used
-
-
-def rounded(found: dict[Config, float], left: np.ndarray, limit: int, share: float) -> list[tuple[Config, int]]:
-    """`share` of the fractional solution, its full configurations rounded down, and best fit for what is left."""
-    left, chosen = left.copy(), []
-    for config in sorted(found):
-        times = min(int(found[config] * share), *(int(left[length] // n) for length, n in config))
-        if times > 0 and sum(length * n for length, n in config) == limit:
-            chosen.append((config, times))
-            for length, n in config:
-                left[length] -= n * times
-    return chosen + best_fit(left, limit)
-
-
-def plan(histogram: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS) -> list[tuple[int, int, int, int, int]]:
+        amount = lag[start] / rows[np.arange(len(rows)), start]
+        amount *= each / amount.sum()
+        for row, x in zip(rows, amount.tolist(), strict=True):
+            at = np.flatnonzero(row)
+            config = tuple(zip(at.tolist(), row[at].tolist(), strict=True))
+            found[config] = found.get(config, 0.0) + x
+        cover += amount @ rows
+    return found, bound
+
+
+def rounded(found: dict[Config, float], left: np.ndarray, rng: np.random.Generator) -> list[tuple[Config, int]]:
+    """Whole configurations from the fractional solution, as far as there are pieces; takes these from `left`.
+
+    Whole parts first, then one more of each with the probability of its fraction.
+    """
+    chosen: dict[Config, int] = {}
+    configs = sorted(found, reverse=True)
+    whole = [int(found[c]) for c in configs]
+    more = [int(u < found[c] - w) for c, w, u in zip(configs, whole, rng.random(len(configs)), strict=True)]
+    for wanted in (whole, more):
+        for config, times in zip(configs, wanted, strict=True):
+            times = min(times, *(int(left[length] // n) for length, n in config)) if times else 0
+            if times > 0:
+                chosen[config] = chosen.get(config, 0) + times
+                for length, n in config:
+                    left[length] -= n * times
+    return list(chosen.items())
+
+
+def solve(pieces: np.ndarray, limit: int) -> tuple[list[tuple[Config, int]], int, float]:
+    """Configurations that pack all pieces, how many sequences of them the program gave, and the lower bound.
+
+    The program is solved for all pieces, rounded, and solved again for what is left while that gives enough; best
+    fit packs the rest. Short pieces make best fit waste little, so some are held back for it; of the reserves tried,
+    the one that needs the fewest sequences is taken, and of equal ones that with the most of the program.
+    """
+    best, bound = None, float((np.arange(limit + 1) * pieces).sum()) / limit
+    for longest, share in RESERVES:
+        held = np.zeros(limit + 1, np.int64)
+        held[: longest + 1] = (pieces[: longest + 1] * share).astype(np.int64)
+        left, chosen, rng = pieces - held, [], np.random.default_rng(SEED)
+        for _ in range(REPEATS):
+            found, least = fractional(left, limit)
+            bound = max(bound, least)
+            new = rounded(found, left, rng)
+            chosen += new
+            if sum(n for _, n in new) <= GAIN * sum(n for _, n in chosen):
+                break
+        filled = best_fit(left + held, limit)
+        given = sum(n for _, n in chosen)
+        key = (given + sum(n for _, n in filled), -given)
+        if best is None or key < best[0]:
+            best = key, chosen + filled, given
+        if key[0] <= bound + 1 - 1e-9:  # no packing needs fewer
+            break
+    return best[1], best[2], bound
+
+
+def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int]]:
     """Slots (length, first rank, count, first sequence, offset) that place every piece of the histogram."""
     counts = np.zeros(limit + 1, np.int64)
     for length, n in histogram.items():
@@ -140,8 +196,7 @@ def plan(histogram: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS) ->
     if left[limit]:
         chosen.append((((limit, 1),), int(left[limit])))
         left[limit] = 0
-    found = fractional(left, limit, rounds)
-    chosen += min((rounded(found, left, limit, share) for share in SHARES), key=lambda c: sum(times for _, times in c))
+    chosen += solve(left, limit)[0]
     slots, rank, sequence = [], np.zeros(limit + 1, np.int64), 0
     for config, times in chosen:
         offset = 0

@@ -9,10 +9,10 @@ common (more than COMMON owners).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import read
+from wayfare.llm.common import materialise, read
 
 #: Pattern, group whose length counts, least length, in the order in which kinds are listed.
 BASE = {
@@ -26,55 +26,49 @@ KINDS = [*BASE, "owned"]
 #: Repositories or owners beyond which a base span's value is a widely copied example; a credential that a few share is one still.
 COMMON = 10
 
-SPAN = "struct<kind:string,s:int,e:int,value:string>"
+#: Code points of a text that redaction cuts together.
+CHUNK = 1024
 
 
-def spans(text: Column, pattern: str, group: int, least: int, kind: str) -> Column:
-    """Leftmost non-overlapping matches as structs (kind, s, e, value), in code points, e exclusive.
+def pieces(text: Column, pattern: str, group: int, kind: str) -> Column:
+    """A text cut at the leftmost non-overlapping matches: structs (kind, g, h, value), g code points before a match of h.
 
-    The pieces between the matches and the matches themselves alternate, so running sums of their lengths place them.
+    The gaps and the matches alternate, so running sums of their lengths place the matches.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    lengths = F.zip_with(F.split(text, pattern, -1), found, lambda gap, hit: F.struct(F.length(gap).alias("g"), F.coalesce(F.length(hit), F.lit(0)).alias("h")))
-    empty = F.array().cast("array<struct<s:int,e:int>>")
-    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1))["e"], F.lit(0))
-    placed = F.aggregate(
-        lengths,
-        empty,
-        lambda done, x: F.concat(done, F.array(F.struct((last(done) + x["g"]).alias("s"), (last(done) + x["g"] + x["h"]).alias("e")))),
-    )
-    rows = F.zip_with(placed, value, lambda p, v: F.struct(F.lit(kind).alias("kind"), p["s"].alias("s"), p["e"].alias("e"), v.alias("value")))
-    return F.filter(rows, lambda r: r["value"].isNotNull() & (F.length(r["value"]) >= least)).cast(f"array<{SPAN}>")
-
-
-def _guarded(text: Column, test: Column, found: Column) -> Column:
-    return F.when(test, found).otherwise(F.array().cast(f"array<{SPAN}>"))
-
-
-def base_spans(text: Column) -> Column:
-    """All base spans of a text. The cheap test in front spares most texts the placing of spans."""
-    parts = [_guarded(text, text.rlike(pattern), spans(text, pattern, group, least, kind)) for kind, (pattern, group, least) in BASE.items()]
-    return F.concat(*parts)
-
-
-def candidate_spans(text: Column) -> Column:
-    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]")
-    wide = F.filter(spans(text, CANDIDATE, 0, 20, "owned"), lambda r: mixed(r["value"]))
-    return _guarded(text, text.rlike(CANDIDATE), wide)
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    rows = F.zip_with(F.zip_with(gaps, found, lambda gap, hit: F.struct(F.length(gap).alias("g"), F.length(hit).alias("h"))), value, lambda x, v: F.struct(F.lit(kind).alias("kind"), x["g"].alias("g"), x["h"].alias("h"), v.alias("value")))
+    none = F.array().cast("array<struct<kind:string,g:int,h:int,value:string>>")
+    return F.when(text.rlike(pattern), rows).otherwise(none)  # the cheap test in front spares most texts the cutting
 
 
 def found_spans(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
-    """One row for each base span and candidate: row key, doc, repo, owner, kind, s, e, hash."""
+    """One row for each base span and candidate: doc, text hash, repo, owner, kind, s, e, hash.
+
+    Matches are rows, placed by sums over the earlier ones of their text, so the work follows their number.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hits = docs.select(
+    every = {k: (pattern, group, least) for k, (pattern, group, least) in BASE.items()} | {"owned": (CANDIDATE, 0, 20)}
+    cut = F.concat(*(pieces(text, pattern, group, kind) for kind, (pattern, group, _) in every.items()))
+    texts = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(repo_col).alias("repo"),
         F.col(owner_col).alias("owner"),
         F.xxhash64(text).alias("text_hash"),
-        F.explode(F.concat(base_spans(text), candidate_spans(text))).alias("x"),
-    )
-    return hits.select("doc_id", "repo", "owner", "text_hash", "x.kind", "x.s", "x.e", F.sha2("x.value", 256).alias("secret"))
+        F.monotonically_increasing_id().alias("row"),
+        cut.alias("cut"),
+    ).filter(F.size("cut") > 0)
+    hits = texts.select("doc_id", "repo", "owner", "text_hash", "row", F.posexplode("cut").alias("i", "x")).select("doc_id", "repo", "owner", "text_hash", "row", "i", "x.*")
+    # the sums reach to the match before, so the last gap and match never count
+    so_far = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = hits.withColumn("e", F.sum(F.col("g") + F.col("h")).over(so_far).cast("int")).withColumn("s", F.col("e") - F.col("h"))
+    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[A-Z]")
+    long = F.lit(False)
+    for kind, (_, _, least) in every.items():
+        long = long | ((F.col("kind") == kind) & (F.length("value") >= least))
+    good = placed.filter(long & ((F.col("kind") != "owned") | mixed))
+    return good.select("doc_id", "repo", "owner", "text_hash", "kind", "s", "e", F.sha2("value", 256).alias("secret"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -106,22 +100,21 @@ def secret_scan(
     span covers them. Null text counts as empty; documents without spans
     give no row; rows that repeat an id and text share a row; an id with several texts has a row for each.
     """
-    found = found_spans(docs, id_col, text_col, repo_col, owner_col)
+    found = materialise(found_spans(docs, id_col, text_col, repo_col, owner_col))  # small beside the texts, and read twice
     few = lambda repos, owners: (F.col("repos") <= repos) & (F.col("owners") <= owners)
     live = F.when(F.col("kind") == "owned", few(max_repos, max_owners)).otherwise(few(max(max_repos, common), max(max_owners, common)))
     seen = found.join(ownership(found), "secret").withColumn("live", live)
-    kept = seen.filter((F.col("kind") != "owned") | F.col("live"))
     order = F.element_at(F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i)))), F.col("kind"))
-    grouped = kept.groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.collect_set(F.struct("s", order.alias("o"), "e", "kind", "live"))).alias("all")
-    )
-    base = F.filter("all", lambda r: r["kind"] != "owned")
-    fresh = F.filter("all", lambda r: (r["kind"] == "owned") & ~F.exists(base, lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
-    return grouped.select(
-        "doc_id",
-        "text_hash",
-        F.transform(F.array_sort(F.concat(base, fresh)), lambda r: F.struct(r["kind"], r["s"], r["e"], r["live"])).alias("spans"),
-    )
+    kept = seen.filter((F.col("kind") != "owned") | F.col("live")).select("doc_id", "text_hash", "s", order.alias("o"), "e", "kind", "live").distinct()
+    # a base span that starts before a candidate's end and ends behind its start covers some of it
+    base = F.col("kind") != "owned"
+    own = Window.partitionBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # frames that end here are linear
+    reach = F.max(F.when(base, F.col("e"))).over(own.orderBy("s", "o"))
+    ahead = F.min(F.when(base, F.col("s"))).over(own.orderBy(F.desc("s"), F.desc("o")))
+    covered = F.coalesce(reach > F.col("s"), F.lit(False)) | F.coalesce(ahead < F.col("e"), F.lit(False))
+    fresh = kept.withColumn("covered", covered).filter(base | ~F.col("covered"))
+    grouped = fresh.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("s", "o", "e", "kind", "live"))).alias("every"))
+    return grouped.select("doc_id", "text_hash", F.transform("every", lambda r: F.struct(r["kind"], r["s"], r["e"], r["live"])).alias("spans"))
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "<SECRET>") -> DataFrame:
@@ -129,20 +122,28 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
 
     Rows without such a span, null texts included, are as they were; columns of any name pass through.
     """
-    live = found.select("doc_id", "text_hash", F.filter("spans", lambda r: r["live"]).alias("spans")).filter(F.size("spans") > 0)
+    live = found.select("doc_id", "text_hash", F.explode("spans").alias("r")).filter("r.live").select("doc_id", "text_hash", "r.s", "r.e")
+    before = Window.partitionBy("doc_id", "text_hash").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = live.withColumn("back", F.coalesce(F.max("e").over(before), F.lit(0)))
+    # stretches that stay end where a span begins; a span that overlaps the last joins it
+    gap = F.when(F.col("s") >= F.col("back"), F.struct("back", "s"))
+    live = cuts.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(gap)).alias("gaps"), F.max("e").alias("last"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # keeps the names of docs apart from those of found
     rows = docs.select(row, F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
     joined = rows.join(live, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
     text = F.coalesce(F.col("row")[text_col], F.lit(""))
-    state = F.struct(F.lit("").alias("done"), F.lit(0).alias("at")).cast("struct<done:string,at:int>")
-
-    def step(acc: Column, r: Column) -> Column:
-        fresh = F.concat(acc["done"], F.substring(text, acc["at"] + 1, r["s"] - acc["at"]), F.lit(mark))
-        done = F.when(r["s"] >= acc["at"], fresh).otherwise(acc["done"])  # a span that overlaps the last joins it
-        return F.struct(done.alias("done"), F.greatest(acc["at"], r["e"]).alias("at"))
-
-    clean = F.aggregate("spans", state, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
-    whole = F.when(F.col("spans").isNull(), F.col("row")[text_col]).otherwise(clean)
+    joined = joined.withColumn("chunks", F.when(F.col("gaps").isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+
+    def between(a: Column, b: Column) -> Column:
+        """Code points a to b of the text, of which only the chunks that hold them are looked at."""
+        first = F.floor(a / CHUNK).cast("int")
+        near = F.array_join(F.slice("chunks", first + 1, F.floor(b / CHUNK).cast("int") - first + 1), "")
+        return F.substring(near, a - first * CHUNK + 1, b - a)
+
+    kept = F.transform("gaps", lambda x: between(x["back"], x["s"]))
+    length = F.length(text)
+    clean = F.concat(F.array_join(kept, mark), F.lit(mark), between(F.col("last"), length))
+    whole = F.when(F.col("gaps").isNull(), F.col("row")[text_col]).otherwise(clean)
     return joined.select(*((whole if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
 
 

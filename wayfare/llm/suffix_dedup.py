@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.anchors import Rolling, anchored
-from wayfare.llm.common import broadcast_if_small, materialise, read, slices, string_buffers
+from wayfare.llm.common import broadcast_if_light, materialise, read, slices, string_buffers
 
 WINDOW = 100
 GRAM = 32
@@ -153,19 +153,20 @@ def _later(group: np.ndarray, ord_: np.ndarray, start: np.ndarray) -> tuple[np.n
 def resolve(rows: dict[str, list], window: int) -> dict[str, np.ndarray]:
     """Of some blocks of segments: stretches of windows to remove, and windows that other blocks must still be held against.
 
-    rows: ord, said, lo, split (whether the anchor has other blocks), bytes. Gives ord, said, lo, hi, key; key is
-    null (0 with `open` false) for stretches, and the hash of an open window else.
+    rows: anchor, ord, said, lo, split (whether the anchor has other blocks), bytes. Gives ord, said, lo, hi, anchor, key;
+    key is 0 with `open` false for stretches, and the hash of an open window else. Windows are equal only if their
+    anchors are, so both together name one.
     """
     raw = rows["bytes"]
     starts = np.array([len(b) - window + 1 for b in raw])
     segment, place, group = equal_windows(raw, starts, window)
-    ord_, said, lo, split = (np.array(rows[c]) for c in ("ord", "said", "lo", "split"))
+    ord_, said, lo, split, anchor = (np.array(rows[c]) for c in ("ord", "said", "lo", "split", "anchor"))
     start = lo[segment] + place
     later, heads = _later(group, ord_[segment], start)
-    out = {k: [] for k in ("ord", "said", "lo", "hi", "key", "open")}
+    out = {k: [] for k in ("ord", "said", "lo", "hi", "anchor", "key", "open")}
 
     def add(seg, a, b, key, open_):
-        for name, x in (("ord", ord_[seg]), ("said", said[seg]), ("lo", a), ("hi", b), ("key", key), ("open", np.full(len(seg), open_))):
+        for name, x in (("ord", ord_[seg]), ("said", said[seg]), ("lo", a), ("hi", b), ("anchor", anchor[seg]), ("key", key), ("open", np.full(len(seg), open_))):
             out[name].append(x)
 
     gone = later | split[segment]  # what other blocks may hold goes, but for the windows that prove to be first
@@ -183,7 +184,7 @@ def resolve(rows: dict[str, list], window: int) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
-OUT = "ord long, said long, lo int, hi int, key long, open boolean"
+OUT = "ord long, said long, lo int, hi int, anchor long, key long, open boolean"
 
 
 def _bundles(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[dict[str, list]]:
@@ -205,14 +206,15 @@ def _bundles(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[dict[str
 
 
 def _arrow(found: dict[str, np.ndarray]) -> pa.RecordBatch:
-    kinds = {"ord": pa.int64(), "said": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "key": pa.int64(), "open": pa.bool_()}
+    kinds = {"ord": pa.int64(), "said": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "anchor": pa.int64(), "key": pa.int64(), "open": pa.bool_()}
     return pa.RecordBatch.from_arrays([pa.array(found[c], t) for c, t in kinds.items()], list(kinds))
 
 
 def repeats(firsts: DataFrame, window: int, gram: int) -> DataFrame:
     """firsts (ord, said, text), no two texts equal, to stretches: ord, said, lo, hi, keep.
 
-    Windows that start from lo to hi repeat an earlier one, but for those of rows with keep.
+    Windows that start from lo to hi repeat an earlier one, but for those of rows with keep. Anchors are found twice, as
+    most stand once: to count them first costs less than to write all runs (40 bytes for about 35 of text).
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +243,7 @@ def repeats(firsts: DataFrame, window: int, gram: int) -> DataFrame:
     several = first.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("segment"), F.col("blocks")).cast("int")
     need = first.join(several, "anchor").select("f.ord", "f.said", F.struct("f.lo", "f.hi", "anchor", block.alias("block"), (F.col("blocks") > 1).alias("split")).alias("x"))
-    lists = materialise(need.groupBy("ord", "said").agg(F.collect_list("x").alias("x")))  # no more for each document than it has runs
+    lists = materialise(need.groupBy("ord", "said").agg(F.collect_list("x").alias("x")))  # no more for each text than it has runs
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "block", "ord", "said", "lo", "split", "bytes"]
@@ -265,7 +267,7 @@ def repeats(firsts: DataFrame, window: int, gram: int) -> DataFrame:
     dealt = segments.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
     found = materialise(dealt.mapInArrow(sort, OUT))
     gone = found.filter("NOT open").select("ord", "said", "lo", "hi", F.lit(False).alias("keep"))
-    kept = found.filter("open").groupBy("key").agg(F.min(F.struct("ord", "lo", "said")).alias("f"))
+    kept = found.filter("open").groupBy("anchor", "key").agg(F.min(F.struct("ord", "lo", "said")).alias("f"))
     kept = kept.select("f.ord", "f.said", "f.lo", F.col("f.lo").alias("hi"), F.lit(True).alias("keep"))
     return same.union(gone).union(kept)
 
@@ -293,15 +295,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
 
     Texts are UTF-8 bytes; null counts as empty. Earlier means a smaller id, or the same id and an earlier start; a
     null id comes before all others, and rows that repeat an id are one document to each other: of equal starts none
-    is earlier. Strings of fewer than `window` bytes are never removed. An empty table gives no rows; further columns
-    are not read.
+    is earlier. Strings of fewer than `window` bytes are never removed. Long texts are taken in stretches for their
+    anchors, but a text is held whole. An empty table gives no rows; further columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("ord"), text.alias("text"), F.xxhash64(text).alias("said"), F.octet_length(text).cast("long").alias("n_bytes"))
-    copies = base.groupBy("said", "n_bytes").agg(F.min("ord").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    copies = broadcast_if_small(materialise(copies))
-    marked = base.join(copies, ["said", "n_bytes"], "left").withColumn("copy", F.coalesce(F.col("ord") > F.col("rep"), F.lit(False)) & (F.col("n_bytes") >= window))
-    firsts = marked.filter(~F.col("copy") & (F.col("n_bytes") >= window)).select("ord", "said", "text")
+    names = ["said", "also", "n_bytes"]  # 128 bits and the length name a text
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("ord"), text.alias("text"), F.xxhash64(text).alias("said"), F.xxhash64(F.lit(1), text).alias("also"), F.octet_length(text).cast("long").alias("n_bytes"))
+    by_id = base.groupBy(*names, "ord").agg(F.count("*").alias("n"))
+    copies = by_id.groupBy(*names).agg(F.min("ord").alias("rep"), F.sum("n").alias("n"), F.min_by("n", "ord").alias("same")).filter("n > 1").drop("n")
+    copies = broadcast_if_light(materialise(copies))
+    marked = base.join(copies, names, "left").withColumn("copy", F.coalesce(F.col("ord") > F.col("rep"), F.lit(False)) & (F.col("n_bytes") >= window))
+    able = marked.filter(~F.col("copy") & (F.col("n_bytes") >= window))
+    # rows that repeat an id and a text are looked at once; each then takes the result
+    once, again = able.filter(F.coalesce("same", F.lit(1)) == 1), able.filter("same > 1").dropDuplicates(["ord", "said"])
+    firsts = once.union(again).select("ord", "said", "text")
     stretches = repeats(firsts, window, gram)
     grouped = stretches.groupBy("ord", "said").agg(F.collect_list(F.struct("lo", "hi", "keep")).alias("x"))
     rest = marked.filter(~F.col("copy")).select("doc_id", "ord", "said", "text").join(grouped, ["ord", "said"], "left")

@@ -16,19 +16,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import read, slices
-from wayfare.llm.tokens import default_path, tokenizer
+from wayfare.llm.tokens import default_path, specials, tokenizer
 
 #: Pre-tokens in a leaf.
 LEAF = 64
-#: Code points behind a boundary on which the boundary depends: an edit further on leaves it where it is.
+#: Code points behind a boundary on which the boundary depends, beside the longest added token: an edit further on leaves it where it is.
 LOOK = 3
-#: Pre-tokens whose counts a worker remembers; the memory starts anew beyond it.
-REMEMBERED = 500_000
+#: Bytes of pre-tokens and counts that a worker remembers, about, and what each takes beside its own; the memory starts anew beyond it.
+REMEMBERED, ENTRY = 96 << 20, 110
+#: Characters beyond which a pre-token is not remembered.
+LONG = 64
 
 EDIT = "struct<start:int,length:int,text:string>"
 
 _patterns: list[regex.Pattern] = []
 _memories: dict[str, dict[str, int]] = {}
+_held: dict[str, int] = {}
+_marks: dict[str, regex.Pattern | None] = {}
 
 
 def pattern() -> regex.Pattern:
@@ -39,22 +43,49 @@ def pattern() -> regex.Pattern:
     return _patterns[0]
 
 
+def marks(path: str) -> regex.Pattern | None:
+    """The added tokens of the file, which are cut out before the pattern applies; None if there are none."""
+    if path not in _marks:
+        found = sorted(specials(path), key=len, reverse=True)
+        _marks[path] = regex.compile("|".join(map(regex.escape, found))) if found else None
+    return _marks[path]
+
+
+def pretokens(text: str, path: str, begin: int = 0) -> Iterator[tuple[int, str]]:
+    """Place and text of each pre-token from `begin` on, which must be a boundary."""
+    while True:
+        m = marks(path).search(text, begin) if marks(path) else None
+        for t in pattern().finditer(text, begin, m.start() if m else len(text)):
+            yield t.start(), t[0]
+        if not m:
+            return
+        yield m.start(), m[0]
+        begin = m.end()
+
+
 def counts(tokens: list[str], path: str) -> list[int]:
     """Tokens of each pre-token."""
     memory = _memories.setdefault(path, {})
-    if len(memory) > REMEMBERED:
+    if _held.get(path, 0) > REMEMBERED:
         memory.clear()
+        _held[path] = 0
     new = [t for t in set(tokens) if t not in memory]
     if new:
         for t, found in zip(new, tokenizer(path).encode_batch(new, add_special_tokens=False), strict=True):
             memory[t] = len(found.ids)
-    return [memory[t] for t in tokens]
+    out = [memory[t] for t in tokens]
+    for t in new:
+        if len(t) > LONG:
+            del memory[t]
+        else:
+            _held[path] = _held.get(path, 0) + ENTRY + len(t)
+    return out
 
 
-def leaves(tokens: list[str], path: str) -> list[tuple[int, int]]:
+def leaves(tokens: list[str], path: str, size: int = LEAF) -> list[tuple[int, int]]:
     """(code points, tokens) of each leaf."""
     n = counts(tokens, path)
-    return [(sum(map(len, tokens[i : i + LEAF])), sum(n[i : i + LEAF])) for i in range(0, len(tokens), LEAF)]
+    return [(sum(map(len, tokens[i : i + size])), sum(n[i : i + size])) for i in range(0, len(tokens), size)]
 
 
 class Tree:
@@ -97,7 +128,11 @@ class Tree:
         return leaf, start
 
     def replace(self, low: int, high: int, parts: list[tuple[int, int]]) -> None:
-        """New leaves in place of those from low to high (exclusive); as many of them update only the sums above."""
+        """New leaves in place of those from low to high (exclusive).
+
+        Up to as many of them update only the sums above (empty leaves make up the number); more build the tree anew.
+        """
+        parts = parts + [(0, 0)] * (high - low - len(parts))
         if len(parts) != high - low:
             self.build(self.parts[:low] + parts + self.parts[high:])
             return
@@ -111,7 +146,14 @@ class Tree:
 
 
 def plant(text: str, path: str) -> Tree:
-    return Tree(leaves(pattern().findall(text), path))
+    plain = marks(path) is None or not marks(path).search(text)
+    return Tree(leaves(pattern().findall(text) if plain else [t for _, t in pretokens(text, path)], path))
+
+
+def leaf_size(tokens: int, able: int) -> int:
+    """Pre-tokens of a leaf that let `tokens` fit `able` leaves; LEAF where that would take leaves of over four times as many."""
+    fit = -(-tokens // able) if able else LEAF
+    return fit if LEAF < fit <= 4 * LEAF else LEAF
 
 
 def edit(tree: Tree, text: str, start: int, length: int, put: str, path: str) -> tuple[str, int]:
@@ -120,23 +162,24 @@ def edit(tree: Tree, text: str, start: int, length: int, put: str, path: str) ->
     length = min(max(0, length), len(text) - start)
     new = text[:start] + put + text[start + length :]
     moved = len(put) - length
-    low, begin = tree.leaf_at(max(0, start - LOOK))
+    look = LOOK + max(map(len, specials(path)), default=0)
+    low, begin = tree.leaf_at(max(0, start - look))
     high, bound = low, begin  # leaves from low up to high are replaced; bound is where leaf `high` starts
     while high < len(tree.parts) and bound < start + length:
         bound += tree.parts[high][0]
         high += 1
     tokens = []
-    for m in pattern().finditer(new, begin):
-        at = m.start() - moved
+    for place, token in pretokens(new, path, begin):
+        at = place - moved
         while high < len(tree.parts) and bound < at:
             bound += tree.parts[high][0]
             high += 1
-        if at == bound and m.start() >= start + len(put) and high < len(tree.parts):
+        if at == bound and place >= start + len(put) and high < len(tree.parts):
             break
-        tokens.append(m[0])
+        tokens.append(token)
     else:
         high = len(tree.parts)
-    tree.replace(low, high, leaves(tokens, path))
+    tree.replace(low, high, leaves(tokens, path, leaf_size(len(tokens), high - low)))
     return new, len(tokens)
 
 
@@ -198,8 +241,9 @@ def apply_edits(planted: DataFrame, path: str, edits_col: str = "edits", text_co
 def count_tokens(docs: DataFrame, path: str, edits: Column | str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, n_tokens, and after the edits: n_chars_after, n_tokens_after, n_encoded, text_after.
 
-    Trees are planted and the edits applied to them, as plant_trees and apply_edits say. Rows that repeat give rows
-    that repeat; an empty table gives none; further columns are not read.
+    Trees are planted and the edits applied to them, as plant_trees and apply_edits say. A text is held whole, however
+    long, with the list of its pre-tokens. Rows that repeat give rows that repeat; an empty table gives none; further
+    columns are not read.
     """
     changes = (F.col(edits) if isinstance(edits, str) else edits).cast(f"array<{EDIT}>")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), changes.alias("edits"))

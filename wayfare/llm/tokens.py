@@ -6,12 +6,16 @@ import os
 
 import numpy as np
 
-#: Words remembered by a worker; the memory starts anew beyond it.
-REMEMBERED = 650_000
+#: Bytes of words and ids that a worker remembers, about; the memory starts anew beyond it.
+REMEMBERED = 128 << 20
+#: Bytes that a remembered word takes beside its own and its ids'; and characters beyond which a word is not remembered.
+ENTRY, LONG = 160, 64
 
 _tokenizers: dict[str, object] = {}
 _memories: dict[str, dict[str, bytes | None]] = {}
+_held: dict[str, int] = {}
 _sizes: dict[str, np.ndarray] = {}
+_specials: dict[str, list[str]] = {}
 
 
 def default_path() -> str:
@@ -25,12 +29,17 @@ def tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True  # their strings in a text are ordinary text
-        _tokenizers[path] = own
+        _tokenizers[path] = Tokenizer.from_file(path)
     return _tokenizers[path]
 
 
+def specials(path: str) -> list[str]:
+    """The strings that the file lists as added tokens: each is one token wherever it stands in a text."""
+    if path not in _specials:
+        _specials[path] = sorted(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+    return _specials[path]
+
+
 def _ids(path: str, text: str) -> bytes:
     return np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -87,18 +96,29 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text, the same as the tokenizer gives for the whole text.
 
     A line end between two words is a pre-token of its own, so words are cut there as well as at spaces. The first
-    word is taken as if a line end stood before it, whose one token is then left out.
+    word is taken as if a line end stood before it, whose one token is then left out. A text that holds an added
+    token's string is encoded whole.
     """
     memory = _memories.setdefault(path, {})
-    if len(memory) > REMEMBERED:
+    if _held.get(path, 0) > REMEMBERED:
         memory.clear()
-    words = [("\n" + text.replace("\n", " \n")).split(" ") for text in texts]
-    _learn(path, memory, set().union(*words).difference(memory))
+        _held[path] = 0
+    marks = specials(path)
+    words = [None if any(m in text for m in marks) else ("\n" + text.replace("\n", " \n")).split(" ") for text in texts]
+    new = set().union(*(w for w in words if w is not None)).difference(memory)
+    _learn(path, memory, new)
     known, lead = memory.__getitem__, len(_ids(path, "\n"))
     out = []
     for text, parts in zip(texts, words, strict=True):
         try:
-            out.append(b"".join(map(known, parts))[lead:])
+            out.append(_ids(path, text) if parts is None else b"".join(map(known, parts))[lead:])
         except TypeError:  # a word of None: white space runs together somewhere
             out.append(_ids(path, text))
+    for word in new:
+        if len(word) > LONG:
+            memory.pop(word, None)
+            if len(word) > LONG + 1:  # what `_learn` put beside it
+                memory.pop(word[:-1], None)
+        else:
+            _held[path] = _held.get(path, 0) + ENTRY + len(word) + len(memory[word] or b"")
     return out

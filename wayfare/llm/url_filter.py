@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import broadcast_if_small, read
+from wayfare.llm.common import broadcast_if_light, materialise, read
 
 WORDS = 8
 #: Listed keys for each 256-bit block: about 16 bits a key.
 KEYS_PER_BLOCK = 16
-#: Shapes up to which each URL tries the listed shapes; beyond, it tries all of its own prefixes.
+#: Shapes up to which each URL tries the listed shapes; beyond, it tries the path lengths listed for its own host and
+#: the domains above it, found by a join.
 MAX_SHAPES = 256
 
 #: The rules of the registered query.
@@ -74,7 +75,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", defa
 
     Null urls and urls without `://` have an empty host and path and get the default. Rows that repeat give
     rows that repeat; an empty table gives no rows; further columns of `pages` are not read. A rule listed twice
-    with different verdicts counts as block. Null parts of a rule count as empty.
+    with different verdicts counts as block. Null parts of a rule count as empty. A long url tries no more prefixes than
+    there are lengths listed for its host.
     """
     listed = (
         rules.select(
@@ -85,6 +87,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", defa
         .groupBy(_key(F.col("host"), F.col("path")).alias("key"), "host", "path")
         .agg(F.max(F.coalesce("verdict", F.lit("block"))).alias("verdict"))
     )
+    listed = materialise(listed)
     shape = F.struct(_labels(F.col("host")).alias("labels"), F.length("path").alias("chars"))
     facts = listed.agg(F.count("*").alias("n"), F.slice(F.collect_set(shape), 1, MAX_SHAPES + 1).alias("shapes")).first()
     blocks = max(1, facts["n"] // KEYS_PER_BLOCK)
@@ -100,12 +103,13 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", defa
             *(F.struct(F.lit(s["labels"]).alias("labels"), F.lit(s["chars"]).alias("chars")) for s in sorted(facts["shapes"]))
         ).cast("array<struct<labels:int,chars:int>>")
     else:
-        shapes = F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), labels),
-                lambda n: F.transform(F.sequence(F.lit(0), chars), lambda c: F.struct(n.alias("labels"), c.alias("chars"))),
-            )
-        )
+        lengths = materialise(listed.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths")))
+        ways = places.select("host", "path", F.explode(F.sequence(F.lit(1), labels)).alias("n"))
+        ways = ways.withColumn("suffix", F.array_join(F.slice(F.split("host", r"\."), -F.col("n"), F.col("n")), "."))
+        fit = ways.join(broadcast_if_light(lengths.withColumnRenamed("host", "suffix")), "suffix")
+        each = F.transform("lengths", lambda c: F.struct(F.col("n").alias("labels"), c.alias("chars")))
+        places = fit.groupBy("host", "path").agg(F.flatten(F.collect_list(each)).alias("shapes"))
+        shapes = F.col("shapes")
     tried = F.filter(shapes, lambda s: (s["labels"] <= labels) & (s["chars"] <= chars))
 
     def part(s: Column) -> Column:
@@ -115,13 +119,13 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", defa
     probes = places.select("host", "path", F.explode(F.array_distinct(F.transform(tried, part))).alias("key"))
     probes = probes.withColumn("block", _block(F.col("key"), blocks))
 
-    filter_table = broadcast_if_small(bloom(listed, blocks))
+    filter_table = broadcast_if_light(materialise(bloom(listed, blocks)))
     hit = F.lit(True)
     for w in range(WORDS):
         hit = hit & (F.col(f"w{w}").bitwiseAND(_mask(F.col("key"), w)) != 0)
     possible = probes.join(filter_table, "block").filter(hit).select("host", "path", "key")
 
-    exact = broadcast_if_small(listed.select("key", F.concat("host", "path").alias("rule"), "verdict"))
+    exact = broadcast_if_light(listed.select("key", F.concat("host", "path").alias("rule"), "verdict"))
     best = (
         possible.join(exact, "key")
         .groupBy("host", "path")
