@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,9 @@ from pyspark.sql import functions as F
 from wayfare.session import ARROW_ROWS, broadcast_if_light, materialise, shared_dir  # noqa: F401 - for the operators
 
 #: Bytes of text that a kernel looks at together.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: What workers remember from task to task, by kind; tasks of another kind drop it.
+CACHES: dict[str, list[dict]] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +31,35 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def _forget(kind: str) -> None:
+    for name, caches in CACHES.items():
+        if name != kind:
+            for cache in caches:
+                cache.clear()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run, kind: str = ""):
+    """A function of batches whose task starts without what other kinds of tasks remember, and gives freed memory back at its end.
+
+    Workers live on from task to task; without this each keeps what its largest task took.
+    """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget(kind)  # by reference: a nested function's own globals would be copies in the worker
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return tidy
+
+
 def text_hash(text: Column) -> Column:
     """A 64-bit name of a text; with its id it tells the rows of a table apart. Null counts as empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import WORD_BASE, Words, broadcast_if_light, byte_class, materialise, mix, read, signed, slices, string_buffers, text_hash
+from wayfare.llm.common import broadcast_if_light, byte_class, materialise, mix, read, signed, slices, string_buffers, text_hash, tidied, WORD_BASE, Words
 
 WINDOW = 10
 K = 5
@@ -73,7 +73,7 @@ def _fingerprint_rows(texts: DataFrame, short: list[int]) -> DataFrame:
             for part in slices(batch, "text"):
                 yield fingerprints(part, short)
 
-    return texts.mapInArrow(run, f"key {texts.schema['key'].dataType.simpleString()}, fingerprint long")
+    return texts.mapInArrow(tidied(run), f"key {texts.schema['key'].dataType.simpleString()}, fingerprint long")
 
 
 def item_lengths(items: DataFrame) -> list[int]:
@@ -132,7 +132,7 @@ def item_windows(items: DataFrame) -> DataFrame:
                     key = part.column("key").take(pa.array(words.doc[at]))
                     yield pa.RecordBatch.from_arrays([key, pa.array(np.full(len(at), size, np.int32)), signed(words.grams(size)[at]), signed(second_name(words, size)[at])], ["item", "size", "a", "b"])
 
-    return items.mapInArrow(run, "item string, size int, a long, b long").distinct()
+    return items.mapInArrow(tidied(run), "item string, size int, a long, b long").distinct()
 
 
 def windows_at(words: Words, hits: list[np.ndarray | None], short: list[int]) -> tuple[np.ndarray, ...]:
@@ -181,7 +181,7 @@ def _looked_at(texts: DataFrame, short: list[int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(words.first)), lists], ["doc_id", "text_hash", "n_words", "windows"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, text_hash long, n_words long, windows array<struct<start:int,size:int,a:long,b:long>>")
+    return texts.mapInArrow(tidied(run), f"doc_id {kind}, text_hash long, n_words long, windows array<struct<start:int,size:int,a:long,b:long>>")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:

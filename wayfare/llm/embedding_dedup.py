@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import broadcast_if_light, materialise, read, tell_apart
+from wayfare.llm.common import broadcast_if_light, materialise, read, tell_apart, tidied
 from wayfare.llm.components import components
 
 #: Vectors that fit the coarse lists and the codewords: a bounded sample, chosen by hash.
@@ -166,7 +166,7 @@ def as_bytes(vectors: DataFrame, kind: np.dtype) -> DataFrame:
             sizes, out = usable(batch, kind)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], ["vec_id", "dim", "vec"])
 
-    return vectors.mapInArrow(run, f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, dim int, vec binary")
+    return vectors.mapInArrow(tidied(run), f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, dim int, vec binary")
 
 
 def matrix(column, kind: np.dtype) -> np.ndarray:
@@ -191,7 +191,7 @@ def fitted(entries: DataFrame, n: int, cosine: float, kind: np.dtype):
             at = first.value.nearest(matrix(batch.column("vec"), kind)) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column("node")], ["list", "node"])
 
-    lists = materialise(entries.select("node", "vec").mapInArrow(listed, "list int, node long"))
+    lists = materialise(entries.select("node", "vec").mapInArrow(tidied(listed), "list int, node long"))
     large = lists.groupBy("list").agg(F.count("*").alias("held")).filter(F.col("held") > SPLIT)
     large = materialise(large)
     if large.isEmpty():
@@ -232,7 +232,7 @@ def dealt(entries: DataFrame, quantiser, kind: np.dtype) -> DataFrame:
                     names,
                 )
 
-    return entries.mapInArrow(run, "list int, side int, home int, node long, n long, vec binary, codes binary, error double")
+    return entries.mapInArrow(tidied(run), "list int, side int, home int, node long, n long, vec binary, codes binary, error double")
 
 
 def block_result(q: Quantiser, at: int, asking: dict, asked: dict, cosine: float) -> tuple[dict[int, int], list[tuple[int, int]]]:

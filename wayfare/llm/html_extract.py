@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import broadcast_if_light, materialise, read, slices
+from wayfare.llm.common import broadcast_if_light, materialise, read, slices, tidied
 from wayfare.llm.url_filter import host_of
 
 #: Voted paths of a host up to which its pages carry the ranked list; where a host has more, each page's own paths are
@@ -276,7 +276,7 @@ def votes(pages: DataFrame) -> DataFrame:
                 cols = list(zip(*found, strict=True)) if found else [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array([_signed(k) for k in cols[1]], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], ["host", "key", "path", "weight"])
 
-    return pages.mapInArrow(run, "host string, key long, path string, weight long")
+    return pages.mapInArrow(tidied(run), "host string, key long, path string, weight long")
 
 
 def _signed(k: int) -> int:
@@ -310,7 +310,7 @@ def own_paths(pages: DataFrame, counted: DataFrame) -> DataFrame:
                     hosts += [host] * len(own)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], ["name", "host", "key"])
 
-    own = pages.select("name", "host", "html").mapInArrow(run, "name long, host string, key long").distinct()
+    own = pages.select("name", "host", "html").mapInArrow(tidied(run), "name long, host string, key long").distinct()
     order = F.struct((-F.col("n")).alias("n"), (-F.col("weight")).alias("weight"), "path", "key")
     return own.join(broadcast_if_light(counted), ["host", "key"]).groupBy("name").agg(F.min(order).alias("x")).select("name", F.array("x.key").alias("keys"))
 
@@ -341,7 +341,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         large = rows.join(broadcast_if_light(wide), "host", "left_semi").withColumn("name", F.xxhash64("host", F.coalesce("html", F.lit(""))))
         own = materialise(own_paths(large, counted.join(broadcast_if_light(wide), "host", "left_semi")))
         told = told.union(large.join(broadcast_if_light(own), "name", "left").select("page_id", "url", "html", "keys"))
-    return told.mapInArrow(run, f"page_id {kind}, url string, text string")
+    return told.mapInArrow(tidied(run), f"page_id {kind}, url string, text string")
 
 
 def op4_html_extract(spark, sf_dir: str) -> DataFrame:

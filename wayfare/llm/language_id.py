@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import read, slices
+from wayfare.llm.common import read, slices, tidied
 
 #: n-grams in a profile.
 K = 400
@@ -96,7 +96,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
                     codes, n = counted("\n".join(texts))
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], ["lang", "code", "n"])
 
-    totals = sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    totals = sample.mapInArrow(tidied(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.shiftrightunsigned("code", 1), "code"))
     rows = totals.withColumn("rank", rank).filter(F.col("rank") <= k).orderBy("lang", "rank").collect()  # k rows a language
     profiles: dict[str, list[int]] = {}
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
             arrays = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *arrays], [*rest, "lang_pred", "score"])
 
-    return docs.select(*rest).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.select(*rest).mapInArrow(tidied(run), f"{fields}, lang_pred string, score double")
 
 
 def least_scores(judged: DataFrame, margin: float = MARGIN) -> dict[str, float]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import Words, broadcast_if_light, byte_class, materialise, mix, read, slices, string_buffers, tell_apart, text_hash
+from wayfare.llm.common import broadcast_if_light, byte_class, materialise, mix, read, slices, string_buffers, tell_apart, text_hash, tidied, Words
 from wayfare.llm.components import components
 
 ROWS, BANDS = 5, 40
@@ -127,7 +127,7 @@ def signed_docs(docs: DataFrame, k: int, rows: int, bands: int, percent: int) ->
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), lists], ["doc_id", "text_hash", "n", "node", "check", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, node long, check long, keys array<long>")
+    return docs.mapInArrow(tidied(run), f"doc_id {kind}, text_hash long, n long, node long, check long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -139,7 +139,7 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
                 found = [x.tobytes() for x in shingle_sets(part, k)]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], ["node", "set"])
 
-    return docs.mapInArrow(run, "node long, set binary")
+    return docs.mapInArrow(tidied(run), "node long, set binary")
 
 
 def alike(shared: int | np.ndarray, a: int | np.ndarray, b: int | np.ndarray, percent: int):
@@ -161,7 +161,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long")
 
 
 def block_links(node: list[int], group: list[int], side: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import materialise, read, slices
+from wayfare.llm.common import materialise, read, slices, tidied
 from wayfare.llm.tokens import default_path, encode
 
 LIMIT = 1024
@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, {PIECE}")
+    return rows.mapInArrow(tidied(run, "tokens"), f"doc_id {kind}, {PIECE}")
 
 
 def price(worth: np.ndarray, counts: np.ndarray, limit: int, start: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -280,7 +280,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranked(rows, sum(histogram.values())).mapInArrow(place, f"doc_id {kind}, {PIECE}, sequence_id long, offset long")
+    return ranked(rows, sum(histogram.values())).mapInArrow(tidied(place), f"doc_id {kind}, {PIECE}, sequence_id long, offset long")
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.anchors import Rolling, anchored
-from wayfare.llm.common import broadcast_if_light, materialise, read, slices, string_buffers
+from wayfare.llm.common import broadcast_if_light, materialise, read, slices, string_buffers, tidied
 
 WINDOW = 100
 GRAM = 32
@@ -233,9 +233,9 @@ def repeats(firsts: DataFrame, window: int, gram: int) -> DataFrame:
                     ["ord", "said", "lo", "hi", "anchor", "segment"],
                 )
 
-    repeated = firsts.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+    repeated = firsts.select("text").mapInArrow(tidied(count), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
     repeated = materialise(repeated)
-    all_runs = materialise(firsts.mapInArrow(runs, "ord long, said long, lo int, hi int, anchor long, segment long").join(repeated, "anchor"))
+    all_runs = materialise(firsts.mapInArrow(tidied(runs), "ord long, said long, lo int, hi int, anchor long, segment long").join(repeated, "anchor"))
     first = materialise(all_runs.groupBy("anchor", "segment").agg(F.min(F.struct("ord", "lo", "said", "hi")).alias("f")))
     same = all_runs.join(first, ["anchor", "segment"]).filter((F.col("ord") > F.col("f.ord")) | ((F.col("ord") == F.col("f.ord")) & (F.col("lo") > F.col("f.lo"))))
     same = same.select("ord", "said", "lo", "hi", F.lit(False).alias("keep"))
@@ -258,14 +258,14 @@ def repeats(firsts: DataFrame, window: int, gram: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    segments = firsts.join(lists, ["ord", "said"]).mapInArrow(cut, "anchor long, block int, ord long, said long, lo int, split boolean, bytes binary")
+    segments = firsts.join(lists, ["ord", "said"]).mapInArrow(tidied(cut), "anchor long, block int, ord long, said long, lo int, split boolean, bytes binary")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _bundles(batches, BUNDLE):
             yield _arrow(resolve(rows, window))
 
     dealt = segments.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
-    found = materialise(dealt.mapInArrow(sort, OUT))
+    found = materialise(dealt.mapInArrow(tidied(sort), OUT))
     gone = found.filter("NOT open").select("ord", "said", "lo", "hi", F.lit(False).alias("keep"))
     kept = found.filter("open").groupBy("anchor", "key").agg(F.min(F.struct("ord", "lo", "said")).alias("f"))
     kept = kept.select("f.ord", "f.said", "f.lo", F.col("f.lo").alias("hi"), F.lit(True).alias("keep"))
@@ -328,7 +328,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
                     spans.append([{"lo": a, "hi": b} for a, b in own])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(spans, span), pa.array(kept, pa.binary())], names)
 
-    done = rest.mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary")
+    done = rest.mapInArrow(tidied(run), f"doc_id {kind}, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))
     return done.union(marked.filter("copy").select("doc_id", "n_bytes", whole.alias("spans"), F.lit(b"").alias("kept")))
 

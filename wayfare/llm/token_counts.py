@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import read, slices
+from wayfare.llm.common import CACHES, read, slices, tidied
 from wayfare.llm.tokens import default_path, specials, tokenizer
 
 #: Pre-tokens in a leaf.
@@ -23,7 +23,7 @@ LEAF = 64
 #: Code points behind a boundary on which the boundary depends, beside the longest added token: an edit further on leaves it where it is.
 LOOK = 3
 #: Bytes of pre-tokens and counts that a worker remembers, about, and what each takes beside its own; the memory starts anew beyond it.
-REMEMBERED, ENTRY = 96 << 20, 110
+REMEMBERED, ENTRY = 64 << 20, 110
 #: Characters beyond which a pre-token is not remembered.
 LONG = 64
 
@@ -33,6 +33,7 @@ _patterns: list[regex.Pattern] = []
 _memories: dict[str, dict[str, int]] = {}
 _held: dict[str, int] = {}
 _marks: dict[str, regex.Pattern | None] = {}
+CACHES.setdefault("tokens", []).extend([_memories, _held])
 
 
 def pattern() -> regex.Pattern:
@@ -203,7 +204,7 @@ def plant_trees(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
                 found = [[{"chars": c, "tokens": t} for c, t in plant(text or "", path).parts] for text in part.column(text_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(found, LEAVES)], [*rest, "leaves"])
 
-    return docs.select(*rest).mapInArrow(run, f"{_fields(docs, rest)}leaves array<struct<chars:int,tokens:int>>")
+    return docs.select(*rest).mapInArrow(tidied(run, "tokens"), f"{_fields(docs, rest)}leaves array<struct<chars:int,tokens:int>>")
 
 
 def apply_edits(planted: DataFrame, path: str, edits_col: str = "edits", text_col: str = "text") -> DataFrame:
@@ -235,7 +236,7 @@ def apply_edits(planted: DataFrame, path: str, edits_col: str = "edits", text_co
                 )
 
     longs = "".join(f"{c} long, " for c in numbers)
-    return planted.select(*rest, text_col, "leaves", edits_col).mapInArrow(run, f"{_fields(planted, rest)}{longs}`{text_col}` string, leaves array<struct<chars:int,tokens:int>>")
+    return planted.select(*rest, text_col, "leaves", edits_col).mapInArrow(tidied(run, "tokens"), f"{_fields(planted, rest)}{longs}`{text_col}` string, leaves array<struct<chars:int,tokens:int>>")
 
 
 def count_tokens(docs: DataFrame, path: str, edits: Column | str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

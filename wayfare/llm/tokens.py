@@ -6,8 +6,10 @@ import os
 
 import numpy as np
 
+from wayfare.llm.common import CACHES
+
 #: Bytes of words and ids that a worker remembers, about; the memory starts anew beyond it.
-REMEMBERED = 128 << 20
+REMEMBERED = 96 << 20
 #: Bytes that a remembered word takes beside its own and its ids'; and characters beyond which a word is not remembered.
 ENTRY, LONG = 160, 64
 
@@ -16,6 +18,7 @@ _memories: dict[str, dict[str, bytes | None]] = {}
 _held: dict[str, int] = {}
 _sizes: dict[str, np.ndarray] = {}
 _specials: dict[str, list[str]] = {}
+CACHES.setdefault("tokens", []).extend([_memories, _held])
 
 
 def default_path() -> str:
