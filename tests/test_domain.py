@@ -210,3 +210,23 @@ def test_sources(spark, tmp_path):
     writers.write_reach(reached, spark.createDataFrame([(0, 0, 0.5), (0, 1, 0.0)], "r int, c int, density double"), str(tmp_path / "r"))
     doc = json.loads(spark.read.text(str(tmp_path / "r")).first().value)
     assert doc["bus_stops"] == [[13.5, 100.5, 1.25, 3.0]] and doc["moto_density"] == [[0.5, 0.0]]
+
+
+def test_snap_meets_across_cells(spark):
+    """Long and short segments meet points in any cell of their widened boxes, as brute force over all segments finds."""
+    import random
+
+    from wayfare.operators import lines
+
+    random.seed(3)
+    spot = lambda: (13.5 + random.random() / 2, 100.3 + random.random() / 2)
+    routes = [("a", i, *spot()) for i in range(25)] + [("b", i, 13.7 + i / 1000, 100.5) for i in range(20)]
+    points = [(k, random.choice("abc"), *spot()) for k in range(80)]
+    got = lines.snap(spark.createDataFrame(points, "point int, line string, lat double, lng double"), spark.createDataFrame(routes, "line string, i int, lat double, lng double")).collect()
+    for r in got:
+        own = sorted((i, la, ln) for line, i, la, ln in routes if line == r.line)
+        inside = [1 for (_, a, b), (_, c, d) in zip(own, own[1:]) if min(a, c) - lines.BOX <= r.lat <= max(a, c) + lines.BOX and min(b, d) - lines.BOX <= r.lng <= max(b, d) + lines.BOX]
+        assert (r.snap_km is None) or inside
+        if not inside:
+            assert (r.snap_lat, r.snap_lng) == (r.lat, r.lng)
+    assert sum(r.snap_km is not None for r in got) > 20

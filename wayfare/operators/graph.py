@@ -51,6 +51,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     nodes that got better in the last one; its tables are written to the shared folder, so a lost executor costs a
     round at most.
     """
+    edges = materialise(edges.select("src", "dst", "km", "minutes").repartition("src"))  # read in every round
     first = F.min(F.struct("km", "minutes")).alias("d")
     best = materialise(seeds.groupBy("node").agg(first).select("node", "d.km", "d.minutes", F.lit(0).alias("round")))
     number = 0
@@ -91,3 +92,25 @@ def positions(routes: DataFrame, route: str, order: str) -> DataFrame:
 def boat_edges(nodes: DataFrame) -> DataFrame:
     w = Window.partitionBy("route").orderBy("pos", "pier")
     return nodes.select(F.col("node").alias("src"), F.lead("node").over(w).alias("dst")).filter("dst IS NOT NULL")
+
+
+def timed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges (src, dst, km) between known nodes (node, kind), both ways and with minutes."""
+    kind = lambda end: nodes.select(F.col("node").alias(end), F.col("kind").alias(f"{end}_kind"))
+    known = both_ways(edges).join(kind("src"), "src").join(kind("dst"), "dst")
+    return known.select("src", "dst", "km", F.round(ride_minutes(F.col("km"), F.col("src_kind"), F.col("dst_kind")), 6).alias("minutes"))
+
+
+def multimodal_reach(nodes: DataFrame, rides: list[DataFrame], entries: DataFrame) -> DataFrame:
+    """What can be reached in the graph of all kinds: node, kind, lat, lng, km, minutes, rounded as in the reach file.
+
+    nodes (node, kind, lat, lng); rides: edge lists (src, dst, km), kept as a bag, to which walks between near nodes
+    are added; entries (node, km, minutes) beside the bus stops and piers within a walk of the origin.
+    """
+    edges = transfers(nodes).withColumn("km", F.round("km", 6))
+    for more in rides:
+        edges = edges.unionByName(more)
+    seeds = entries.unionByName(origin_seeds(nodes.filter(F.col("kind").isin("bus", "boat"))))
+    found = shortest_paths(timed(edges, nodes), seeds)
+    places = [F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"), F.round("km", 2).alias("km"), F.round("minutes", 1).alias("minutes")]
+    return found.join(nodes, "node").select("node", "kind", *places)

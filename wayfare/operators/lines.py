@@ -10,27 +10,32 @@ from wayfare.functions.geo import haversine_km, segment_share
 
 #: Degrees around a segment's box in which points can snap to it, and km beyond which a point stays where it is.
 BOX, SNAP_KM = 0.05, 10.0
+#: Degrees of a hash cell in which points and segments meet.
+CELL = 2 * BOX
 
 
 def walk_lines(links: DataFrame, starts: DataFrame) -> DataFrame:
     """links (line, src, dst, type), starts (line, start) to line, i, node.
 
-    From the start, to the smallest unvisited neighbour on the line each time, real links before connections. A line's
-    stations are few, so one task walks one line.
+    From the start, to the smallest unvisited neighbour on the line each time, real links before connections. Each step
+    depends on all before it and a line's stations are few, so one task walks one line, in time in proportion to its links.
     """
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, list[tuple[bool, str]]] = {}
         for a, b, t in zip(part.src, part.dst, part.type, strict=True):
+            if a is None or b is None:  # a line without links is its start alone
+                continue
             near.setdefault(a, []).append((t != "link", b))
             near.setdefault(b, []).append((t != "link", a))
-        at, seen = part.start.iloc[0], []
+        at, seen, done = part.start.iloc[0], [], set()
         while at is not None:
             seen.append(at)
-            at = min(((t, n) for t, n in near.get(at, []) if n not in seen), default=(None, None))[1]
+            done.add(at)
+            at = min(((t, n) for t, n in near.get(at, []) if n not in done), default=(None, None))[1]
         return pd.DataFrame({"line": key[0], "i": pd.Series(range(len(seen)), dtype="int32"), "node": seen})
 
-    return links.join(F.broadcast(starts), "line").groupBy("line").applyInPandas(run, "line string, i int, node string")
+    return starts.join(links, "line", "left").groupBy("line").applyInPandas(run, "line string, i int, node string")
 
 
 def between_anchors(items: DataFrame) -> DataFrame:
@@ -40,10 +45,10 @@ def between_anchors(items: DataFrame) -> DataFrame:
     neighbour; without any anchor where they are. Only fixable stations count as steps.
     """
     line = Window.partitionBy("line").orderBy("i")
-    before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    before, after = (Window.partitionBy("line").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("i", F.desc("i")))  # frames that end here are linear
     place = F.struct("i", "lat", "lng", *(F.coalesce(F.col(c) - f(c).over(line), F.lit(0.0)).alias(f"{n}_{c}") for n, f in (("b", F.lag), ("a", F.lead)) for c in ("lat", "lng")))
     marked = items.withColumn("_p", place)
-    marked = marked.withColumn("prev", F.last(F.when(F.col("anchor"), F.col("_p")), True).over(before)).withColumn("next", F.first(F.when(F.col("anchor"), F.col("_p")), True).over(after))
+    marked = marked.withColumn("prev", F.last(F.when(F.col("anchor"), F.col("_p")), True).over(before)).withColumn("next", F.last(F.when(F.col("anchor"), F.col("_p")), True).over(after))
     gaps = marked.filter(~F.col("anchor") & F.col("fixable"))
     gap = Window.partitionBy("line", "prev.i", "next.i")
     steps = gaps.withColumn("k", F.row_number().over(gap.orderBy("i"))).withColumn("n", F.count("*").over(gap))
@@ -69,13 +74,16 @@ def segments(routes: DataFrame) -> DataFrame:
 def snap(points: DataFrame, routes: DataFrame) -> DataFrame:
     """points (point, line, lat, lng) with snap_lat, snap_lng, snap_km: the nearest place on the line's polyline.
 
-    A segment is looked at if the point is in its box, widened. The first of equally near segments wins; farther than
-    10 km, or without a segment, the point stays and snap_km is null.
+    A segment is looked at if the point is in its box, widened; both meet by line and hash cell, in each cell that the
+    widened box touches. The first of equally near segments wins; farther than 10 km, or without a segment, the point
+    stays and snap_km is null.
     """
-    s = segments(routes)
-    near = points.join(s, "line").filter(
-        F.col("lat").between(F.least("lat1", "lat2") - BOX, F.greatest("lat1", "lat2") + BOX) & F.col("lng").between(F.least("lng1", "lng2") - BOX, F.greatest("lng1", "lng2") + BOX)
-    )
+    low = lambda c: F.least(f"{c}1", f"{c}2") - BOX
+    high = lambda c: F.greatest(f"{c}1", f"{c}2") + BOX
+    cells = lambda c: F.explode(F.sequence(F.floor(low(c) / CELL), F.floor(high(c) / CELL)))
+    s = segments(routes).withColumn("_r", cells("lat")).withColumn("_c", cells("lng"))
+    at = points.withColumn("_r", F.floor(F.col("lat") / CELL)).withColumn("_c", F.floor(F.col("lng") / CELL))
+    near = at.join(s, ["line", "_r", "_c"]).filter(F.col("lat").between(low("lat"), high("lat")) & F.col("lng").between(low("lng"), high("lng")))
     t = segment_share("lat", "lng", "lat1", "lng1", "lat2", "lng2")
     on = near.withColumn("t", t).withColumn("s_lat", F.col("lat1") + F.col("t") * (F.col("lat2") - F.col("lat1"))).withColumn("s_lng", F.col("lng1") + F.col("t") * (F.col("lng2") - F.col("lng1")))
     best = on.groupBy("point").agg(F.min(F.struct(F.round(haversine_km("lat", "lng", "s_lat", "s_lng"), 9).alias("km"), "i", "s_lat", "s_lng")).alias("x"))
@@ -88,11 +96,17 @@ def snap(points: DataFrame, routes: DataFrame) -> DataFrame:
     )
 
 
-def repair(items: DataFrame, branches: DataFrame, routes: DataFrame) -> DataFrame:
-    """line, node, lat, lng: fixable stations between anchors moved to their estimates and snapped; branches snapped only."""
+def repair(items: DataFrame, stations: DataFrame, routes: DataFrame) -> DataFrame:
+    """line, node, lat, lng of repaired stations: estimates between anchors and branches, snapped to the line's route.
+
+    items: the stations of the walk (line, i, node, anchor, fixable, lat, lng); stations: all of them, without i. Those
+    that the walk misses are branches, which are snapped from where they are. Lines without a route are left alone.
+    """
+    routed = routes.select("line").distinct()
     guessed = between_anchors(items).select(F.col("node").alias("point"), "line", F.col("est_lat").alias("lat"), F.col("est_lng").alias("lng"))
-    every = guessed.unionByName(branches.select(F.col("node").alias("point"), "line", "lat", "lng"))
-    return snap(every, routes).select("line", F.col("point").alias("node"), F.round("snap_lat", 5).alias("lat"), F.round("snap_lng", 5).alias("lng"))
+    missed = stations.join(items.select("line", "node"), ["line", "node"], "left_anti").filter("NOT anchor AND fixable")
+    every = guessed.unionByName(missed.select(F.col("node").alias("point"), "line", "lat", "lng")).join(routed, "line", "left_semi")
+    return snap(every, routes).select("line", F.col("point").alias("node"), *(F.round(F.round(f"snap_{c}", 9), 5).alias(c) for c in ("lat", "lng")))
 
 
 def line_geometry(stations: DataFrame, features: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions.text import confidence, either, is_transit, normal, on_line
+from wayfare.session import broadcast_if_light
 
 #: Metres up to which names match, and up to which the assignment pairs stations.
 NAME_M, ASSIGN_M = 4000.0, 2000.0
@@ -29,7 +30,7 @@ def transit_stations(raw: DataFrame) -> DataFrame:
 def line_members(stations: DataFrame, rules: DataFrame) -> DataFrame:
     """stations (ref, name_en) with each line whose rule (line, patterns, hints) they fit; rules are a few lines."""
     fits = on_line(F.col("ref"), F.col("name_en"), F.col("patterns"), F.col("hints"))
-    return stations.crossJoin(F.broadcast(rules)).filter(fits).drop("patterns", "hints")
+    return stations.crossJoin(broadcast_if_light(rules)).filter(fits).drop("patterns", "hints")
 
 
 def _metres(lat1, lng1, lat2, lng2):
@@ -143,3 +144,18 @@ def merge_entities(rows: DataFrame) -> DataFrame:
     first = F.min(F.struct("ord", "name", "lat", "lng")).alias("f")
     sets = [F.array_sort(F.collect_set(c)).alias(f"{c}s") for c in ("code", "line")]
     return rows.groupBy("qid").agg(first, *sets).select("qid", "f.name", "f.lat", "f.lng", "codes", "lines")
+
+
+def correction_report(corrected: DataFrame, matches: DataFrame) -> DataFrame:
+    """What apply_corrections did: name, n for updated, kept, renamed, and rows that lack a required field."""
+    used = matches.filter(~F.col("status").isin("phantom", "no_osm_line", "phantom_duplicate")).select("sid").withColumn("_used", F.lit(True))
+    rows = corrected.join(used, "sid", "left")
+    lacking = F.col("new_lat").isNull() | F.col("new_lng").isNull() | (F.coalesce("new_name", F.lit("")) == "")
+    counts = {"updated": F.col("_used") & F.col("moved"), "kept": F.col("_used").isNull(), "renamed": F.col("_used") & F.col("renamed"), "lacking": lacking}
+    wide = rows.agg(*(F.count_if(c).alias(k) for k, c in counts.items()))
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias("n")) for k in counts))).alias("x")).select("x.*")
+
+
+def line_report(matches: DataFrame) -> DataFrame:
+    """line, status, n: how well each line is matched; a missing line is `?`."""
+    return matches.groupBy(F.coalesce("line", F.lit("?")).alias("line"), "status").agg(F.count("*").alias("n"))

@@ -55,3 +55,36 @@ def below(links: DataFrame, roots: DataFrame) -> DataFrame:
 def label(names: list[Column], key: Column) -> Column:
     """The first name that there is, else the key."""
     return F.coalesce(*names, key)
+
+
+def objects(triples: DataFrame, predicate: str, name: str) -> DataFrame:
+    """subject and the object of a predicate's triples (subject, predicate, object), under a name."""
+    return triples.filter(F.col("predicate") == predicate).select("subject", F.col("object").alias(name))
+
+
+def pattern(triples: DataFrame, required: dict[str, str], optional: dict[str, str], fixed: dict[str, str]) -> DataFrame:
+    """Subjects with all required predicates (predicate to column), the optional ones where there are any, and fixed objects.
+
+    A basic graph pattern: several objects of a predicate give several rows.
+    """
+    out = None
+    for predicate, value in fixed.items():
+        own = objects(triples, predicate, "_o").filter(F.col("_o") == value).select("subject").distinct()
+        out = own if out is None else out.join(own, "subject", "left_semi")
+    for predicate, name in required.items():
+        own = objects(triples, predicate, name)
+        out = own if out is None else out.join(own, "subject")
+    for predicate, name in optional.items():
+        out = out.join(objects(triples, predicate, name), "subject", "left")
+    return out
+
+
+def members_of(triples: DataFrame, classes: list[str], is_a: str, part_of: str) -> DataFrame:
+    """subject of everything that is one of the classes or of what is below them; once for each class that it fits (a bag)."""
+    spark, out = triples.sparkSession, None
+    for name in classes:
+        roots = spark.createDataFrame([(name,)], "node string")
+        under = below(triples.filter(F.col("predicate") == part_of).select(F.col("subject").alias("child"), F.col("object").alias("parent")), roots)
+        own = objects(triples, is_a, "node").join(under, "node").select("subject")
+        out = own if out is None else out.union(own)
+    return out

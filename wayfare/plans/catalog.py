@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.plans import networks, surfaces
+from wayfare.plans import chains, networks, surfaces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,8 @@ FLAGSHIP = surfaces.multimodal_grid
 
 
 def queries() -> dict[str, Query]:
-    return surfaces.Q | networks.Q
+    return surfaces.Q | networks.Q | chains.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return surfaces.SQL | networks.SQL
+    return surfaces.SQL | networks.SQL | chains.SQL

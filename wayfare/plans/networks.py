@@ -279,7 +279,7 @@ def assign_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.match_stations(own, near)
 
 
-@query()
+@query("SELECT CAST(s_nationkey % 5 AS VARCHAR) AS line, CAST(row_number() OVER (PARTITION BY s_nationkey % 5 ORDER BY s_suppkey) - 1 AS INT) AS i, printf('%06d', s_suppkey) AS node FROM supplier")
 def line_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each nation's suppliers walked from the smallest along their links."""
     s = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).cast("string").alias("line"), F.format_string("%06d", "s_suppkey").alias("src"))
@@ -314,12 +314,16 @@ _RAIL_LINKS = "(SELECT s_suppkey AS src, s_suppkey + 1 AS dst, 'link' AS type FR
 _RAIL = f"(SELECT src, dst, round({_KM} + CASE WHEN type = 'connection' THEN 0.3e0 ELSE 0.0e0 END, 6) AS km FROM {_RAIL_LINKS} WHERE dst IN (SELECT s_suppkey FROM supplier))"
 
 
+def rail_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"))
+    pairs = keys.select("src", (F.col("src") + 1).alias("dst"), F.lit("link").alias("type"))
+    return pairs.unionByName(keys.filter("src % 2 = 0 AND src > 0").select("src", F.expr("src DIV 3").alias("dst"), F.lit("connection").alias("type")))
+
+
 @query(f"SELECT src, dst, km FROM {_RAIL} UNION ALL SELECT dst, src, km FROM {_RAIL}")
 def rail_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of known stations, both ways, a change of line at extra cost."""
-    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"))
-    pairs = keys.select("src", (F.col("src") + 1).alias("dst"), F.lit("link").alias("type"))
-    pairs = pairs.unionByName(keys.filter("src % 2 = 0 AND src > 0").select("src", F.expr("src DIV 3").alias("dst"), F.lit("connection").alias("type")))
+    pairs = rail_links(spark, sf_dir)
     edges = graph.rail_edges(pairs, points(spark, sf_dir, "supplier", "s_suppkey").withColumnRenamed("id", "node"))
     return graph.both_ways(edges.withColumn("km", F.round("km", 6)))
 
