@@ -506,3 +506,40 @@ def test_null_ids_are_linked(spark):
     assert len({r.component for r in got if r.doc_id is None and r.component_id is None}) == 1
     assert {(r.doc_id, r.component_id, r.kept) for r in got if r.component_id is not None} == {(None, 5, False), (5, 5, True), (6, 6, True)}
     assert len({r.component for r in got}) == 3
+
+
+def test_language_against_plain_python(spark):
+    """Every prediction on the smallest table against profiles and distances in plain Python."""
+    import collections
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+
+    def grams(text):
+        out = collections.Counter()
+        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            marked = f" {word} "
+            out.update((1, c) for c in word)
+            out.update((2, marked[i : i + 2]) for i in range(len(marked) - 1))
+            out.update((3, marked[i : i + 3]) for i in range(len(marked) - 2))
+        return out
+
+    def points(g):  # the order of equal counts: shorter n-grams first, then by code points, a word's end as 0
+        return g[0], [0 if c == " " else ord(c) for c in g[1]]
+
+    def ranks(counts):
+        return {g: i for i, g in enumerate(sorted(counts, key=lambda g: (-counts[g], points(g)))[: language_id.K])}
+
+    totals = {}
+    for i, text, lang in docs:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            totals.setdefault(lang, collections.Counter()).update(grams(text))
+    profiles = {lang: ranks(c) for lang, c in totals.items()}
+    got = {r.doc_id: (r.lang_pred, r.score, r.held_out) for r in language_id.op1_language_id(spark, SF).collect()}
+    for i, text, _ in docs:
+        own = ranks(grams(text or ""))
+        want = ("und", 0.0)
+        if own:
+            far = {lang: sum(abs(p[g] - r) if g in p else language_id.K for g, r in own.items()) / (language_id.K * len(own)) for lang, p in profiles.items()}
+            best = min(sorted(far), key=far.get)
+            want = (best, 1 - far[best])
+        assert got[i][0] == want[0] and abs(got[i][1] - want[1]) < 1e-9 and got[i][2] == (zlib.crc32(str(i).encode()) % 3 == 1)
