@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.session import ARROW_ROWS, broadcast_if_light, materialise, shared_dir  # noqa: F401 - for the operators
+from wayfare.session import ARROW_ROWS, BROADCAST_BYTES, broadcast_if_light, materialise, shared_dir  # noqa: F401 - for the operators
 
 #: Bytes of text that a kernel looks at together.
 CHUNK_BYTES = 1 << 19

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfare.llm import decontaminate, embedding_dedup, html_extract, language_id, minhash, packing, secret_scan, suffix_dedup, token_counts, url_filter
+from wayfare.llm import decontaminate, embedding_dedup, fill_in_middle, html_extract, language_id, minhash, packing, secret_scan, suffix_dedup, token_alignment, token_counts, token_frames, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_minhash": minhash.op10_minhash,
+        "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+        "op12_token_alignment": token_alignment.op12_token_alignment,
+        "op13_token_frames": token_frames.op13_token_frames,
     }
 
 
@@ -28,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_secret_scan": secret_scan.OP7_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
         "op10_minhash": minhash.OP10_SQL,
+        "op11_fill_in_middle": fill_in_middle.OP11_SQL,
     }

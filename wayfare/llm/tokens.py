@@ -12,6 +12,7 @@ from wayfare.llm.common import CACHES
 REMEMBERED = 96 << 20
 #: Bytes that a remembered word takes beside its own and its ids'; and characters beyond which a word is not remembered.
 ENTRY, LONG = 160, 64
+PLAIN = "plain:"
 
 _tokenizers: dict[str, object] = {}
 _memories: dict[str, dict[str, bytes | None]] = {}
@@ -28,18 +29,20 @@ def default_path() -> str:
 
 
 def tokenizer(path: str):
+    """The tokenizer of a file; of a path with PLAIN before it, one that takes the strings of added tokens for plain text."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
+        _tokenizers[path] = Tokenizer.from_file(path.removeprefix(PLAIN))
+        _tokenizers[path].encode_special_tokens = path.startswith(PLAIN)
     return _tokenizers[path]
 
 
 def specials(path: str) -> list[str]:
     """The strings that the file lists as added tokens: each is one token wherever it stands in a text."""
     if path not in _specials:
-        _specials[path] = sorted(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+        _specials[path] = [] if path.startswith(PLAIN) else sorted(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
     return _specials[path]
 
 
@@ -95,13 +98,14 @@ def _learn(path: str, memory: dict[str, bytes | None], new: set[str]) -> None:
         memory[word] = memory[word[:-1]] + marks[word[-1]]
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
+def encode(texts: list[str], path: str, plain: bool = False) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text, the same as the tokenizer gives for the whole text.
 
     A line end between two words is a pre-token of its own, so words are cut there as well as at spaces. The first
     word is taken as if a line end stood before it, whose one token is then left out. A text that holds an added
-    token's string is encoded whole.
+    token's string is encoded whole, or, if `plain`, as any other.
     """
+    path = PLAIN + path if plain else path
     memory = _memories.setdefault(path, {})
     if _held.get(path, 0) > REMEMBERED:
         memory.clear()
