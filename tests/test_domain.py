@@ -141,17 +141,6 @@ def test_snap_and_walk(spark):
     assert [r.node for r in walk] == ["a", "c", "b"]
 
 
-def test_assignment_is_least():
-    rng = np.random.default_rng(1)
-    for n, m in [(1, 1), (3, 3), (2, 5), (5, 2), (4, 6)]:
-        cost = rng.uniform(0, 10, (n, m))
-        pairs = resolve.assign(cost)
-        assert len(pairs) == min(n, m) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
-        small, big = (cost, m) if n <= m else (cost.T, n)
-        least = min(sum(small[i, p[i]] for i in range(len(small))) for p in itertools.permutations(range(big), len(small)))
-        assert sum(cost[a, b] for a, b in pairs) == pytest.approx(least)
-
-
 def test_matching_and_corrections(spark):
     own = spark.createDataFrame([("l", "s1", 1, "Alpha", "", 13.5, 100.5), ("l", "s2", 2, "Beta", "", 13.6, 100.5), ("l", "s3", 3, "Far", "", 13.9, 100.9)], "line string, sid string, ord long, name string, name_th string, lat double, lng double")
     other = spark.createDataFrame([("l", 10, " alpha ", "", 13.501, 100.5), ("l", 11, "", "", 13.601, 100.501)], "line string, ord long, name_en string, name_th string, lat double, lng double")
@@ -230,3 +219,75 @@ def test_snap_meets_across_cells(spark):
         if not inside:
             assert (r.snap_lat, r.snap_lng) == (r.lat, r.lng)
     assert sum(r.snap_km is not None for r in got) > 20
+
+
+def _metres(a, b):
+    la, ln, lb, lm = (np.radians(x) for x in (*a, *b))
+    h = np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin((lm - ln) / 2) ** 2
+    return 2 * 6371000 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+
+
+def _match_line(own, other):
+    """Stations one after the other, then every way to pair the rest of a small line."""
+    taken, found = set(), {}
+    for sid, name, th, *at in own:
+        able = [(_metres(at, o[3:]), o[0]) for o in other if o[0] not in taken and ((name and name == o[1]) or (th and th == o[2]))]
+        if able and min(able)[0] <= 4000:
+            found[sid] = min(able)[1]
+            taken.add(min(able)[1])
+    a, b = [s for s in own if s[0] not in found], [o for o in other if o[0] not in taken]
+    cost = lambda s, o: d if (d := _metres(s[3:], o[3:])) <= 2000 else 1e9
+    small, big, turned = (a, b, False) if len(a) <= len(b) else (b, a, True)
+    table = [[cost(x, y) if not turned else cost(y, x) for y in big] for x in small]
+    best = min(itertools.permutations(range(len(big)), len(small)), key=lambda p: sum(table[i][j] for i, j in enumerate(p)))
+    for i, j in enumerate(best):
+        if table[i][j] < 1e9:
+            s, o = (big[j], small[i]) if turned else (small[i], big[j])
+            found[s[0]] = o[0]
+    return found
+
+
+def test_matching_equals_taking_turns(spark):
+    random.seed(8)
+    own, other, want = [], [], set()
+    for k in range(12):
+        spot = lambda: (13.5 + random.random() / 25, 100.5 + random.random() / 25)
+        a = [(f"s{i}", random.choice(["", "x", "y", "z"]), random.choice(["", "", "t"]), *spot()) for i in range(random.randint(0, 9))]
+        b = [(i, random.choice(["", "x", "y", "w"]), random.choice(["", "t"]), *spot()) for i in range(random.randint(0, 7))]
+        own += [(f"l{k}", s[0], i, f" {s[1].upper()} ", *s[2:]) for i, s in enumerate(a)]
+        other += [(f"l{k}", *o) for o in b]
+        want |= {(f"l{k}", s, o) for s, o in _match_line(a, b).items()}
+    x = spark.createDataFrame([*own, (None, "n", 1, "x", "", 13.5, 100.5)], "line string, sid string, ord long, name string, name_th string, lat double, lng double")
+    y = spark.createDataFrame([*other, (None, 1, "x", "", 13.5, 100.5)], "line string, ord long, name_en string, name_th string, lat double, lng double")
+    got = {(r.line, r.sid, r.other_ord) for r in resolve.match_stations(x, y).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_displaced_stations_ask_again(spark):
+    """A station that waits for an earlier one's refusal still goes before a later one that asked first."""
+    at = lambda k: 13.5 + k / 1000
+    own = [("l", "a", 1, "x", "", at(0), 100.5), ("l", "b", 2, "x", "", at(0.1), 100.5), ("l", "c", 3, "x", "", at(9), 100.5)]
+    other = [("l", 1, "x", "", at(0), 100.5), ("l", 2, "x", "", at(8), 100.5), ("l", 3, "x", "", at(12), 100.5)]
+    got = resolve.match_names(spark.createDataFrame(own, "line string, sid string, ord long, name string, name_th string, lat double, lng double"), spark.createDataFrame(other, "line string, ord long, name_en string, name_th string, lat double, lng double"))
+    assert {(r.sid, r.o_ord) for r in got.collect()} == {("a", 1), ("b", 2), ("c", 3)}
+
+
+def test_least_pairs():
+    rng = random.Random(5)
+    for _ in range(300):
+        n, m = rng.randint(1, 6), rng.randint(1, 6)
+        pairs = sorted({(rng.randrange(n), rng.randrange(m)) for _ in range(rng.randint(1, 14))})
+        cost = [round(rng.uniform(0, 10), 2) for _ in pairs]
+        best = (0, 0.0)
+        for k in range(1, min(n, m) + 1):
+            for some in itertools.combinations(range(len(pairs)), k):
+                if len({pairs[p][0] for p in some}) == k == len({pairs[p][1] for p in some}):
+                    best = min(best, (-k, sum(cost[p] for p in some)))
+        got = resolve.least_pairs([p[0] for p in pairs], [p[1] for p in pairs], cost)
+        assert (-len(got), pytest.approx(sum(cost[p] for p in got))) == best
+
+
+def test_components_of_links(spark):
+    links = [(str(i), str(i + 1)) for i in range(100, 140)] + [("z", "a"), ("b", "a"), ("q", "q"), ("a", "b")]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {**{str(i): "100" for i in range(100, 141)}, "z": "a", "a": "a", "b": "a"}

@@ -9,7 +9,7 @@ from wayfare.functions import constants as K
 from wayfare.functions.geo import haversine_km, origin_km
 from wayfare.functions.fares import walk_minutes
 from wayfare.operators.spatial import radius_join
-from wayfare.session import materialise
+from wayfare.session import bucketed, materialise
 
 
 def rail_edges(links: DataFrame, stations: DataFrame) -> DataFrame:
@@ -44,25 +44,58 @@ def ride_minutes(km: Column, src_kind: Column, dst_kind: Column) -> Column:
     return km / F.when(src_kind != dst_kind, K.WALK_SPEED).otherwise(speed) * 60
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+#: Width of a distance bucket of shortest_paths, in mean edge lengths.
+BUCKET_EDGES = 8.0
+
+
+def relax(costs: DataFrame, frontier: DataFrame, known: DataFrame) -> DataFrame:
+    """node, km, minutes of the steps from `frontier` over `costs` (src, dst, km, minutes) that beat all that is known (node, km, minutes).
+
+    With costs in buckets of src and the other two in buckets of node, only the steps are shuffled.
+    """
+    start = frontier.select(F.col("node").alias("src"), F.col("km").alias("km0"), F.col("minutes").alias("min0"))
+    steps = costs.join(start, "src").select(F.col("dst").alias("node"), (F.col("km0") + F.col("km")).alias("km"), (F.col("min0") + F.col("minutes")).alias("minutes"))
+    new = steps.groupBy("node").agg(F.min(F.struct("km", "minutes")).alias("d")).select("node", "d.km", "d.minutes").alias("new")
+    as_good = F.struct("old.km", "old.minutes") <= F.struct("new.km", "new.minutes")
+    return new.join(known.alias("old"), (F.col("new.node") == F.col("old.node")) & as_good, "left_anti")
+
+
+def shortest_paths(edges: DataFrame, seeds: DataFrame, width: float | None = None) -> DataFrame:
     """edges (src, dst, km, minutes), taken as directed, and seeds (node, km, minutes) to node, km, minutes.
 
-    Minutes are those of the way of fewest km (of equal ones the fewest minutes). Each round relaxes the edges of the
-    nodes that got better in the last one; its tables are written to the shared folder, so a lost executor costs a
-    round at most.
+    Minutes are those of the way of fewest km (of equal ones the fewest minutes). Delta-stepping: nodes are settled in
+    buckets of `width` km (None: BUCKET_EDGES mean edges). Inside a bucket only edges up to the width are relaxed, from
+    the nodes that the last round made better, until none is; then the longer ones once, from the whole bucket.
+    Edges are written once, in buckets of src, and never shuffled again; a round adds the nodes that it made better to
+    a table in buckets of node and writes nothing else, so a lost executor costs a round at most.
     """
-    edges = materialise(edges.select("src", "dst", "km", "minutes").repartition("src"))  # read in every round
-    first = F.min(F.struct("km", "minutes")).alias("d")
-    best = materialise(seeds.groupBy("node").agg(first).select("node", "d.km", "d.minutes", F.lit(0).alias("round")))
-    number = 0
+    spark = edges.sparkSession
+    costs = spark.table(bucketed(edges.select("src", "dst", "km", "minutes"), "src"))
+    if width is None:
+        width = BUCKET_EDGES * (costs.agg(F.avg("km")).first()[0] or 1.0)
+    light, heavy = costs.filter(F.col("km") <= width), costs.filter(F.col("km") > width)
+    least = lambda df: df.groupBy("node").agg(F.min(F.struct("km", "minutes")).alias("d")).select("node", "d.km", "d.minutes")
+    found = bucketed(least(seeds).withColumn("round", F.lit(0)), "node", parts=("round",))
+    low, high, number = 0.0, width, 0
+    many = not heavy.isEmpty()
     while True:
-        moved = best.filter(F.col("round") == number).select(F.col("node").alias("src"), F.col("km").alias("km0"), F.col("minutes").alias("min0"))
-        number += 1
-        steps = edges.join(moved, "src").select(F.col("dst").alias("node"), (F.col("km0") + F.col("km")).alias("km"), (F.col("min0") + F.col("minutes")).alias("minutes"), F.lit(number).alias("round"))
-        least = F.min(F.struct("km", "minutes", "round")).alias("d")  # of equal ways the older one stays
-        best = materialise(best.unionByName(steps).groupBy("node").agg(least).select("node", "d.km", "d.minutes", "d.round"))
-        if best.filter(F.col("round") == number).isEmpty():
-            return best.select("node", "km", "minutes")
+        moved = spark.table(found).filter((F.col("km") < high) & (F.col("km") >= low))
+        moved = least(moved) if low else moved.filter("round = 0")
+        while not moved.isEmpty():
+            number += 1
+            bucketed(relax(light, moved, spark.table(found)).withColumn("round", F.lit(number)), "node", found, ("round",))
+            moved = spark.table(found).filter((F.col("round") == number) & (F.col("km") < high))
+        best = least(spark.table(found))
+        if many:
+            number += 1
+            inside = best.filter((F.col("km") >= low) & (F.col("km") < high))
+            bucketed(relax(heavy, inside, spark.table(found)).withColumn("round", F.lit(number)), "node", found, ("round",))
+            best = least(spark.table(found))
+        after = best.filter(F.col("km") >= high).agg(F.min("km")).first()[0]
+        if after is None:
+            return best
+        low = after // width * width
+        low, high = (low, low + width) if low + width > after else (after, after + width)
 
 
 def origin_seeds(nodes: DataFrame, km: float = K.WALK_KM) -> DataFrame:
@@ -114,3 +147,24 @@ def multimodal_reach(nodes: DataFrame, rides: list[DataFrame], entries: DataFram
     found = shortest_paths(timed(edges, nodes), seeds)
     places = [F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"), F.round("km", 2).alias("km"), F.round("minutes", 1).alias("minutes")]
     return found.join(nodes, "node").select("node", "kind", *places)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links (a, b) to node, component: the least node that a node is linked with, itself included. Only linked nodes have a row.
+
+    Rounds of stars: a node's larger neighbours move to the least of its neighbours, then it and its smaller ones do.
+    The number of rounds grows with the logarithm of the largest component; each is written to the shared folder.
+    """
+    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges, mark = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()), None
+    while True:
+        near = both(edges)
+        up = near.filter("b > a").join(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = up.groupBy("a").agg(F.min("b").alias("m"))
+        down = up.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        edges = materialise(down.filter("a <> b").distinct())
+        found = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if tuple(found) == mark:
+            roots = edges.select(F.col("b").alias("node")).distinct()
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
+        mark = tuple(found)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions.geo import haversine_km, segment_share
+from wayfare.session import materialise
 
 #: Degrees around a segment's box in which points can snap to it, and km beyond which a point stays where it is.
 BOX, SNAP_KM = 0.05, 10.0
@@ -14,28 +15,76 @@ BOX, SNAP_KM = 0.05, 10.0
 CELL = 2 * BOX
 
 
+def stretches(ways: DataFrame, joints: DataFrame) -> DataFrame:
+    """ways (line, u, v), both directions of each link, with where each leads: end, back (the node before it) and steps.
+
+    A way runs on through nodes that are no joints (line, node) and have two neighbours. Pointer doubling: each round
+    doubles the stretch that a way knows, so a line without branches takes as many rounds as its length has binary
+    digits. Ways that run in a circle without a joint have no row.
+    """
+    inner = ways.join(joints.withColumnRenamed("node", "u"), ["line", "u"], "left_anti").select("line", F.col("u").alias("v"), F.col("v").alias("w"))
+    on = ways.join(inner, ["line", "v"]).filter("w <> u").select("line", "u", "v", F.col("v").alias("nu"), F.col("w").alias("nv"))
+    known = ways.join(on, ["line", "u", "v"], "left").select("line", "u", "v", F.col("v").alias("end"), F.col("u").alias("back"), F.lit(1).alias("steps"), "nu", "nv")
+    known, done = materialise(known), -1
+    while True:
+        count = known.filter("nu IS NULL").count()
+        if count == done:
+            return known.filter("nu IS NULL").drop("nu", "nv")
+        done = count
+        ahead = known.select("line", F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("end").alias("e"), F.col("back").alias("b"), F.col("steps").alias("s"), F.col("nu").alias("mu"), F.col("nv").alias("mv"))
+        longer = known.filter("nu IS NOT NULL").join(ahead, ["line", "nu", "nv"]).select("line", "u", "v", F.col("e").alias("end"), F.col("b").alias("back"), (F.col("steps") + F.col("s")).alias("steps"), F.col("mu").alias("nu"), F.col("mv").alias("nv"))
+        known = materialise(known.filter("nu IS NULL").unionByName(longer))
+
+
+def _walk(start: str, part: pd.DataFrame) -> list[tuple[str | None, str, int]]:
+    """From joint to joint: (None, node, place) of each that is reached, (joint, first node, place) of each stretch between."""
+    near: dict[str, list[tuple]] = {}
+    for row in part[["u", "other", "v", "end", "back", "steps"]].itertuples(index=False, name=None):
+        near.setdefault(row[0], []).append(row[1:])
+    at, place, seen, used, out = start, 0, {start}, set(), [(None, start, 0)]
+    while True:
+        able = [x for x in near.get(at, ()) if ((at, x[1]) not in used if x[4] > 1 else x[2] not in seen)]
+        if not able:
+            return out
+        _, first, end, back, steps = min(able)
+        out.append((at, first, place))
+        used |= {(at, first), (end, back)}
+        if end in seen:  # the last node before it is where the walk ends
+            return out
+        place += steps
+        seen.add(end)
+        out.append((None, end, place))
+        at = end
+
+
 def walk_lines(links: DataFrame, starts: DataFrame) -> DataFrame:
     """links (line, src, dst, type), starts (line, start) to line, i, node.
 
-    From the start, to the smallest unvisited neighbour on the line each time, real links before connections. Each step
-    depends on all before it and a line's stations are few, so one task walks one line, in time in proportion to its links.
+    From the start, to the smallest unvisited neighbour on the line each time, real links before connections. Where
+    nodes have two neighbours there is nothing to choose: such stretches are contracted by pointer doubling, and only
+    the start and the nodes with one, three or more neighbours are walked, a line in a task. The nodes between get their
+    places from the stretches. Links with a null or two equal ends are none; a line without links is its start alone.
     """
+    both = links.select("line", F.col("src").alias("u"), F.col("dst").alias("v"), "type").unionByName(links.select("line", F.col("dst").alias("u"), F.col("src").alias("v"), "type"))
+    other = F.min((F.coalesce("type", F.lit("")) != "link").cast("int")).alias("other")
+    ways = materialise(both.filter("line IS NOT NULL AND u <> v").groupBy("line", "u", "v").agg(other))
+    begin = starts.select("line", F.col("start").alias("node"))
+    joints = ways.groupBy("line", F.col("u").alias("node")).agg(F.count("*").alias("n")).filter("n <> 2").select("line", "node").unionByName(begin).distinct()
+    joints = materialise(joints)
+    runs = materialise(stretches(ways.select("line", "u", "v"), joints))
+    walked = runs.join(joints.withColumnRenamed("node", "u"), ["line", "u"]).join(ways, ["line", "u", "v"])
+    kind = {f.name: f.dataType.simpleString() for f in starts.schema.fields}
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[tuple[bool, str]]] = {}
-        for a, b, t in zip(part.src, part.dst, part.type, strict=True):
-            if a is None or b is None:  # a line without links is its start alone
-                continue
-            near.setdefault(a, []).append((t != "link", b))
-            near.setdefault(b, []).append((t != "link", a))
-        at, seen, done = part.start.iloc[0], [], set()
-        while at is not None:
-            seen.append(at)
-            done.add(at)
-            at = min(((t, n) for t, n in near.get(at, []) if n not in done), default=(None, None))[1]
-        return pd.DataFrame({"line": key[0], "i": pd.Series(range(len(seen)), dtype="int32"), "node": seen})
-
-    return starts.join(links, "line", "left").groupBy("line").applyInPandas(run, "line string, i int, node string")
+        found = _walk(part.start.iloc[0], part.dropna(subset=["u"]))
+        return pd.DataFrame([(key[0], *x) for x in found], columns=["line", "joint", "node", "i"])
+
+    steps = starts.join(walked, "line", "left").groupBy("line").applyInPandas(run, f"line {kind['line']}, joint {kind['start']}, node {kind['start']}, i int")
+    steps = materialise(steps)
+    through = steps.filter("joint IS NOT NULL").select("line", F.col("joint").alias("end"), F.col("node").alias("back"), F.col("i").alias("before"))
+    inner = runs.join(joints.withColumnRenamed("node", "u"), ["line", "u"], "left_anti").join(through, ["line", "end", "back"])
+    between = inner.select("line", (F.col("before") + F.col("steps")).alias("i"), F.col("u").alias("node"))
+    return steps.filter("joint IS NULL").select("line", "i", "node").unionByName(between)
 
 
 def between_anchors(items: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +9,7 @@ from wayfare.functions import constants as K
 from wayfare.functions.fares import minutes, mode_fare, modes, walk_minutes
 from wayfare.functions.geo import circuity, origin_km
 from wayfare.operators.spatial import cell_join, radius_join
+from wayfare.session import materialise
 
 
 def grid(spark: SparkSession) -> DataFrame:
@@ -108,36 +108,38 @@ def outline(mask: DataFrame) -> DataFrame:
     return open_.select("band", "side", "r", "c", corner("r", "ar").alias("r1"), corner("c", "ac").alias("c1"), corner("r", "br").alias("r2"), corner("c", "bc").alias("c2"))
 
 
-def chain(sides: pd.DataFrame) -> list[tuple[int, int]]:
-    """One ring of corners from the first side on: each step goes to the first neighbour that is not yet visited."""
-    sides = sides.sort_values(["r", "c", "side"], kind="stable")
-    near: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for a, b in zip(zip(sides.r1, sides.c1, strict=True), zip(sides.r2, sides.c2, strict=True), strict=True):
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    at = (sides.r1.iloc[0], sides.c1.iloc[0])
-    ring, seen = [at], {at}
-    while at is not None:
-        at = next((p for p in near[at] if p not in seen), None)
-        if at is not None:
-            ring.append(at)
-            seen.add(at)
-    return ring
+def successors(sides: DataFrame) -> DataFrame:
+    """band, id, next: which side of an outline begins where a side ends; where cells touch by a corner, the one of the same cell."""
+    ends = sides.select("band", "id", "r", "c", F.col("r2").alias("r1"), F.col("c2").alias("c1"))
+    begins = sides.select("band", "r1", "c1", F.col("id").alias("next"), F.col("r").alias("nr"), F.col("c").alias("nc"))
+    other = (F.col("r") != F.col("nr")) | (F.col("c") != F.col("nc"))
+    return ends.join(begins, ["band", "r1", "c1"]).groupBy("band", "id").agg(F.min(F.struct(other, "next"))["next"].alias("next"))
 
 
 def rings(sides: DataFrame) -> DataFrame:
-    """band, i, lat, lng: the first component's ring of each band with more than two corners; a band's sides are few (the raster bounds them)."""
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        ring = chain(part)
-        if len(ring) <= 2:
-            ring = []
-        lat = [K.LAT_LOW + r * (K.LAT_HIGH - K.LAT_LOW) / K.GRID for r, _ in ring]
-        lng = [K.LNG_LOW + c * (K.LNG_HIGH - K.LNG_LOW) / K.GRID for _, c in ring]
-        return pd.DataFrame({"band": pd.Series([key[0]] * len(ring), dtype="int32"), "i": pd.Series(range(len(ring)), dtype="int32"), "lat": lat, "lng": lng}).round(5)
-
-    return sides.groupBy("band").applyInPandas(run, "band int, i int, lat double, lng double")
-
-
-def color(index: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, K.COLORS)), index + 1)
+    """band, i, lat, lng: corners in walking order of the outline that holds a band's first side (by row, column, name).
+
+    Other components and holes have no row, nor rings of one or two corners; the ring is not closed. A corner that is
+    passed twice keeps its first place. The places come from pointer doubling over the links from each side to the one
+    before it, cut at the first side: after k rounds a side knows its way back over 2^k others, so a ring takes as many
+    rounds as its length has binary digits, and no task holds a whole ring.
+    """
+    named = sides.withColumn("id", (F.col("r").cast("long") * (1 << 24) + F.col("c")) * len(SIDES) + F.array_position(F.array(*map(F.lit, sorted(SIDES))), F.col("side")) - 1)
+    named = materialise(named)
+    first = named.groupBy("band").agg(F.min("id").alias("first"))  # a row for each band
+    back = successors(named).select("band", F.col("next").alias("id"), F.col("id").alias("to")).join(F.broadcast(first), "band")
+    at_first = F.col("id") == F.col("first")
+    way = materialise(back.select("band", "id", F.when(~at_first, F.col("to")).alias("to"), F.when(at_first, 0).otherwise(1).cast("long").alias("i")))
+    done = 0
+    while True:
+        on = way.select("band", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("i").alias("i2"))
+        ahead = way.filter("to IS NOT NULL").join(on, ["band", "to"]).select("band", "id", F.col("to2").alias("to"), (F.col("i") + F.col("i2")).alias("i"))
+        way = materialise(way.filter("to IS NULL").unionByName(ahead))
+        known = way.filter("to IS NULL").count()
+        if known == done:  # what is left runs in other rings
+            break
+        done = known
+    corners = named.join(way.filter("to IS NULL").select("band", "id", "i"), ["band", "id"]).groupBy("band", F.col("r1").alias("r"), F.col("c1").alias("c")).agg(F.min("i").cast("int").alias("i"))
+    drawn = corners.groupBy("band").agg(F.count("*").alias("n")).filter("n > 2").select("band")
+    at = lambda low, high, n: F.round(F.lit(low) + F.col(n) * F.lit(high - low) / F.lit(K.GRID), 5)
+    return corners.join(F.broadcast(drawn), "band").select("band", "i", at(K.LAT_LOW, K.LAT_HIGH, "r").alias("lat"), at(K.LNG_LOW, K.LNG_HIGH, "c").alias("lng"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
+import heapq
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions.text import confidence, either, is_transit, normal, on_line
-from wayfare.session import broadcast_if_light
+from wayfare.operators.graph import components
+from wayfare.operators.spatial import radius_join
+from wayfare.session import broadcast_if_light, materialise
 
 #: Metres up to which names match, and up to which the assignment pairs stations.
 NAME_M, ASSIGN_M = 4000.0, 2000.0
@@ -33,84 +37,123 @@ def line_members(stations: DataFrame, rules: DataFrame) -> DataFrame:
     return stations.crossJoin(broadcast_if_light(rules)).filter(fits).drop("patterns", "hints")
 
 
-def _metres(lat1, lng1, lat2, lng2):
-    lat1, lng1, lat2, lng2 = map(np.radians, (lat1, lng1, lat2, lng2))
-    a = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lng2 - lng1) / 2) ** 2
-    return 2 * 6371000 * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
-
-
-def assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of rows and columns of least total cost, every row or every column in one: shortest augmenting paths."""
-    turned = cost.shape[0] > cost.shape[1]
-    c = cost.T if turned else cost
-    n, m = c.shape
-    u, v, owner, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        owner[0], j0 = i, 0
-        low, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
-        while True:
-            used[j0] = True
-            i0 = owner[j0]
-            free = ~used[1:]
-            now = c[i0 - 1] - u[i0] - v[1:]
-            better = free & (now < low[1:])
-            low[1:][better] = now[better]
-            way[1:][better] = j0
-            j1 = int(np.where(free, low[1:], np.inf).argmin()) + 1
-            delta = low[j1]
-            u[owner[used]] += delta
-            v[used] -= delta
-            low[1:][free] -= delta
-            j0 = j1
-            if owner[j0] == 0:
-                break
-        while j0:
-            owner[j0] = owner[way[j0]]
-            j0 = way[j0]
-    pairs = [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j]]
-    return sorted((j, i) for i, j in pairs) if turned else sorted(pairs)
-
-
-def match_line(own: pd.DataFrame, other: pd.DataFrame) -> list[tuple[str, int, str, float]]:
-    """(sid, other's ord, method, metres) of one line: by name first, nearest and in order, then by least total way."""
-    taken, found = set(), []
-    own, other = own.sort_values("ord"), other.sort_values("ord")
-    for s in own.itertuples():
-        best = None
-        for o in other.itertuples():
-            same = (s.en != "" and s.en == o.en) or (s.th != "" and s.th == o.th)
-            if not same or o.ord in taken:
+def _rivals(own: DataFrame, other: DataFrame) -> DataFrame:
+    """Namesakes of a line within NAME_M metres: line, sid, ord, o_ord, metres. Empty names have none."""
+    names = lambda en, th: F.explode(F.array_distinct(F.array(F.struct(F.lit("en").alias("k"), normal(F.col(en)).alias("v")), F.struct(F.lit("th").alias("k"), normal(F.col(th)).alias("v")))))
+    a = own.select("line", "sid", "ord", "lat", "lng", names("name", "name_th").alias("name")).filter("name.v <> ''")
+    b = other.select("line", F.col("ord").alias("o_ord"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"), names("name_en", "name_th").alias("name")).filter("name.v <> ''")
+    near = radius_join(a, b, NAME_M / 1000 * 1.001, ("lat", "lng"), ("o_lat", "o_lng"), on=("line", "name"))
+    rows = near.select("line", "sid", "ord", "o_ord", F.round(F.col("km") * 1000, 6).alias("metres")).filter(F.col("metres") <= NAME_M)
+    return rows.distinct()  # a pair may share both names
+
+
+def match_names(own: DataFrame, other: DataFrame) -> DataFrame:
+    """line, sid, o_ord, metres: every station in turn (ord) takes the nearest free namesake of its line.
+
+    Taking turns is what deferred acceptance comes to when everyone on the other side prefers the earliest: in each
+    round every station asks for the nearest namesake that has not refused it, and each of these keeps the earliest
+    asker and refuses all later ones for good. No round depends on an order of rows, and none looks at a line as a
+    whole; keys are single stations. It ends when no two ask for the same.
+    """
+    pairs = materialise(_rivals(own, other))
+    while True:
+        asked = pairs.groupBy("line", "sid", "ord").agg(F.min(F.struct("metres", "o_ord")).alias("x")).select("line", "sid", "ord", "x.*")
+        held = asked.groupBy("line", "o_ord").agg(F.min(F.struct("ord", "sid", "metres")).alias("h"), F.count("*").alias("asking"))
+        held = materialise(held)
+        if held.filter("asking > 1").isEmpty():
+            return held.select("line", "h.sid", "o_ord", "h.metres")
+        refused = F.struct("ord", "sid") > F.struct("h.ord", "h.sid")
+        pairs = materialise(pairs.join(held.drop("asking"), ["line", "o_ord"], "left").filter(F.col("h").isNull() | ~refused).drop("h"))
+
+
+def least_pairs(left: list[int], right: list[int], cost: list[float]) -> list[int]:
+    """Which of the pairs to take: as many as can be without sharing an end, and of these the least total cost.
+
+    Shortest augmenting paths over the pairs that there are: memory in proportion to them, not to a matrix.
+    """
+    n, m = max(left) + 1, max(right) + 1
+    out: list[list[int]] = [[] for _ in range(n)]
+    for p, i in enumerate(left):
+        out[i].append(p)
+    of_left, of_right = [-1] * n, [-1] * m
+    high_left, high_right, sink = [0.0] * n, [0.0] * m, 0.0
+    while True:
+        reach_left, reach_right, came = [math.inf] * n, [math.inf] * m, [-1] * m
+        heap = [(0.0, i) for i in range(n) if of_left[i] < 0]
+        for _, i in heap:
+            reach_left[i] = 0.0
+        heapq.heapify(heap)
+        while heap:
+            d, i = heapq.heappop(heap)
+            if d > reach_left[i]:
                 continue
-            d = float(_metres(s.lat, s.lng, o.lat, o.lng))
-            if d <= NAME_M and (best is None or d < best[1]):
-                best = (o.ord, d)
-        if best:
-            taken.add(best[0])
-            found.append((s.sid, best[0], "name", best[1]))
-    done = {f[0] for f in found}
-    a, b = own[~own.sid.isin(done)], other[~other.ord.isin(taken)]
-    if len(a) and len(b):
-        d = _metres(a.lat.to_numpy()[:, None], a.lng.to_numpy()[:, None], b.lat.to_numpy()[None], b.lng.to_numpy()[None])
-        for i, j in assign(np.where(d > ASSIGN_M, 1e9, d)):
-            if d[i, j] <= ASSIGN_M:
-                found.append((a.sid.iloc[i], int(b.ord.iloc[j]), "assignment", float(d[i, j])))
-    return found
+            for p in out[i]:
+                j = right[p]
+                far = d + max(0.0, cost[p] + high_left[i] - high_right[j])
+                if p != of_left[i] and far < reach_right[j]:
+                    reach_right[j], came[j] = far, p
+                    if of_right[j] >= 0:  # on along the pair that holds it, at no cost
+                        k = left[of_right[j]]
+                        if far < reach_left[k]:
+                            reach_left[k] = far
+                            heapq.heappush(heap, (far, k))
+        free = [(reach_right[j] + high_right[j] - sink, j) for j in range(m) if of_right[j] < 0 and reach_right[j] < math.inf]
+        if not free:
+            return sorted(p for p in of_left if p >= 0)
+        far, j = min(free)
+        high_left = [h + min(d, far) for h, d in zip(high_left, reach_left, strict=True)]
+        high_right = [h + min(d, far) for h, d in zip(high_right, reach_right, strict=True)]
+        sink += far
+        while j >= 0:
+            p = came[j]
+            i = left[p]
+            before = right[of_left[i]] if of_left[i] >= 0 else -1
+            of_left[i], of_right[j] = p, p
+            j = before
+
+
+def match_rest(own: DataFrame, other: DataFrame) -> DataFrame:
+    """line, sid, o_ord, metres: the most pairs within ASSIGN_M metres on a line, and of these the least total way.
+
+    Where a pair beyond the limit costs more than all others together, this is what least total cost over all pairs
+    means. It splits by connected component of the candidate pairs: each is solved alone, whatever the line's size.
+    """
+    a, b = own.select("line", "sid", "lat", "lng"), other.select("line", F.col("ord").alias("o_ord"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"))
+    near = radius_join(a, b, ASSIGN_M / 1000 * 1.001, ("lat", "lng"), ("o_lat", "o_lng"), on=("line",))
+    pairs = near.select("line", "sid", "o_ord", F.round(F.col("km") * 1000, 6).alias("metres")).filter(F.col("metres") <= ASSIGN_M)
+    pairs = materialise(pairs.withColumn("a", F.to_json(F.struct("line", "sid"))).withColumn("b", F.to_json(F.struct("line", "o_ord"))))
+    grouped = pairs.join(components(pairs.select("a", "b")).withColumnRenamed("node", "a"), "a")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["sid", "o_ord"])
+        left, right = (pd.factorize(part[c])[0].tolist() for c in ("sid", "o_ord"))
+        return part.iloc[least_pairs(left, right, part.metres.tolist())][["line", "sid", "o_ord", "metres"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    return grouped.groupBy("component").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in ("line", "sid", "o_ord", "metres")))
 
 
 def match_stations(own: DataFrame, other: DataFrame) -> DataFrame:
     """own (line, sid, ord, name, name_th, lat, lng), other (line, ord, name_en, name_th, lat, lng) to line, sid, other_ord, method, delta_m, status.
 
-    Each line is one task: a line's stations are few. One station of `other` may match on several lines.
+    By name first, then by least total way among what is left. Claims are of a line: a station of `other` may match on several.
     """
-    a = own.select("line", "sid", "ord", normal(F.col("name")).alias("en"), normal(F.col("name_th")).alias("th"), "lat", "lng")
-    b = other.select("line", "ord", normal(F.col("name_en")).alias("en"), normal(F.col("name_th")).alias("th"), "lat", "lng")
+    named = materialise(match_names(own, other))
+    rest = match_rest(own.join(named, ["line", "sid"], "left_anti"), other.join(named.select("line", F.col("o_ord").alias("ord")), ["line", "ord"], "left_anti"))
+    out = named.withColumn("method", F.lit("name")).unionByName(rest.withColumn("method", F.lit("assignment")))
+    metres = F.col("metres")
+    return out.select("line", "sid", F.col("o_ord").cast("long").alias("other_ord"), "method", F.bround(metres).cast("long").alias("delta_m"), confidence(metres).alias("status"))
+
 
-    def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        rows = match_line(x, y) if len(x) and len(y) else []
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["line", "sid", "other_ord", "method", "delta"])
+def match_records(own: DataFrame, other: DataFrame, matches: DataFrame) -> DataFrame:
+    """Every station with its match in full: status, method, what it has now (current_*), what the match has (osm_*), delta_m.
 
-    out = a.groupBy("line").cogroup(b.groupBy("line")).applyInPandas(run, "line string, sid string, other_ord long, method string, delta double")
-    return out.select("line", "sid", "other_ord", "method", F.bround("delta").cast("long").alias("delta_m"), confidence(F.col("delta")).alias("status"))
+    other: line, ord, osm_id, ref, name_en, name_th, lat, lng. Stations without a match are phantoms with what they have now.
+    """
+    now = own.select("line", "sid", *(F.col(a).alias(f"current_{a}") for a in ("lat", "lng", "name", "name_th")))
+    theirs = other.select("line", F.col("ord").alias("other_ord"), "osm_id", F.col("ref").alias("osm_ref"), F.col("name_en").alias("osm_name_en"), F.col("name_th").alias("osm_name_th"), F.col("lat").alias("osm_lat"), F.col("lng").alias("osm_lng"))
+    rows = now.join(matches.join(theirs, ["line", "other_ord"]), ["line", "sid"], "left").drop("other_ord")
+    return rows.withColumn("status", F.coalesce("status", F.lit("phantom")))
 
 
 def with_phantoms(own: DataFrame, matches: DataFrame) -> DataFrame:

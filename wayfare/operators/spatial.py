@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.geo import haversine_km
@@ -23,16 +23,17 @@ def around(points: DataFrame, rows: int, columns: int) -> DataFrame:
     return points.withColumn("_dr", near(rows)).withColumn("_dc", near(columns)).withColumn("_r", F.col("_r") + F.col("_dr")).withColumn("_c", F.col("_c") + F.col("_dc")).drop("_dr", "_dc")
 
 
-def radius_join(left: DataFrame, right: DataFrame, km: float, left_at: tuple[str, str], right_at: tuple[str, str], side: float | None = None, strict: bool = False) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, km: float, left_at: tuple[str, str], right_at: tuple[str, str], side: float | None = None, strict: bool = False, on: tuple[str, ...] = ()) -> DataFrame:
     """All pairs within km of each other (less than km if strict), with their distance as `km`.
 
-    The left side, best the smaller one, goes to each cell that its circle can touch; both meet by cell.
+    The left side, best the smaller one, goes to each cell that its circle can touch; both meet by cell, and by the
+    columns `on` if there are any.
     """
     side = side or km / _LAT_KM
     rows, columns = math.ceil(km / _LAT_KM / side), math.ceil(km / _LNG_KM / side)
     a = around(binned(left, *left_at, side), rows, columns)
     b = binned(right, *right_at, side)
-    pairs = a.join(b, ["_r", "_c"]).withColumn("km", haversine_km(*left_at, *right_at)).drop("_r", "_c")
+    pairs = a.join(b, [*on, "_r", "_c"]).withColumn("km", haversine_km(*left_at, *right_at)).drop("_r", "_c")
     return pairs.filter(F.col("km") < km if strict else F.col("km") <= km)
 
 
@@ -40,8 +41,3 @@ def cell_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right
     """All pairs whose cells touch: the three by three cells around, however far the radius would go."""
     a = around(binned(left, *left_at, side), 1, 1)
     return a.join(binned(right, *right_at, side), ["_r", "_c"])
-
-
-def least(order: list[Column], values: list[str]) -> Column:
-    """For groupBy: the values of the row that comes first."""
-    return F.min(F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order)), *values))

@@ -11,7 +11,7 @@ from wayfare.functions.geo import band, haversine_km, origin_km
 from wayfare.operators import graph, lines, resolve, tags
 from wayfare.plans import networks as N
 from wayfare.plans.dialect import LAT, LNG, SQL_MODES, place, points, sql_band, sql_fare, sql_km, sql_origin_km, sql_points
-from wayfare.session import table
+from wayfare.session import materialise, table
 
 Q, SQL = {}, {}
 
@@ -53,45 +53,47 @@ def reach_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     visits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trip"), F.col("l_partkey").alias("stop"), "l_linenumber", "l_shipdate", F.col("l_partkey"), "l_suppkey")
     stops = points(spark, sf_dir, "part", "p_partkey")
     end = lambda e: stops.select(F.col("id").alias(e), F.col("lat").alias(f"{e}_lat"), F.col("lng").alias(f"{e}_lng"))
-    pairs = graph.trip_edges(visits, N._ORDER.split(", "))
+    pairs = materialise(graph.trip_edges(visits, N._ORDER.split(", ")))  # three times below
     km = F.round(haversine_km("src_lat", "src_lng", "dst_lat", "dst_lng"), 6)
     trips = pairs.join(end("src"), "src").join(end("dst"), "dst").select(named("bus", "src").alias("src"), named("bus", "dst").alias("dst"), km.alias("km"))
     used = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
     bus = stops.join(used, "id", "left_semi").select(named("bus", "id").alias("node"), F.lit("bus").alias("kind"), "lat", "lng")
     routes = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).alias("route"), F.col("s_suppkey").alias("i"), *place(F.col("s_suppkey")))
     piers = points(spark, sf_dir, "customer", "c_custkey").withColumnRenamed("id", "pier")
-    moored = graph.boat_nodes(piers, routes).join(piers, "pier")
+    moored = materialise(graph.boat_nodes(piers, routes).join(piers, "pier"))
     boat = moored.select("node", F.lit("boat").alias("kind"), "lat", "lng")
     spot = lambda e: moored.select(F.col("node").alias(e), F.col("lat").alias(f"{e}_lat"), F.col("lng").alias(f"{e}_lng"))
     boats = graph.boat_edges(moored).join(spot("src"), "src").join(spot("dst"), "dst").select("src", "dst", km.alias("km"))
-    nodes = rail.unionByName(bus).unionByName(boat)
+    nodes = materialise(rail.unionByName(bus).unionByName(boat))
     airport = rail.filter("node = 'rail_1'").withColumn("km", origin_km("lat", "lng")).select("node", "km", walk_minutes("km").alias("minutes"))
     entries = airport.unionByName(spark.createDataFrame([("rail_0", 0.0, 0.0)], "node string, km double, minutes double"))
     return graph.multimodal_reach(nodes, [tracks, trips, boats], entries)
 
 
 _NINE = "CAST(round(CAST(round(CASE WHEN x.km <= 10 THEN x.s_{0} ELSE {0} END, 9) AS DECIMAL(18, 9)), 5) AS DOUBLE)"
-_WALKED = N._ITEMS.replace("FROM part", "FROM part WHERE p_partkey % 11 <> 0")
 _ROUTE = f"(SELECT p_brand AS line, p_partkey AS i, {LAT.format('p_partkey')} AS lat, {LNG.format('p_partkey')} AS lng FROM part WHERE p_size % 5 = 0 AND p_brand NOT LIKE '%3')"
 
 
-@query(f"""WITH p AS (SELECT *, {{'i': i, 'lat': lat, 'lng': lng, 'b_lat': coalesce(lat - lag(lat) OVER w, 0.0e0), 'b_lng': coalesce(lng - lag(lng) OVER w, 0.0e0),
-        'a_lat': coalesce(lat - lead(lat) OVER w, 0.0e0), 'a_lng': coalesce(lng - lead(lng) OVER w, 0.0e0)}} AS s FROM {_WALKED} WINDOW w AS (PARTITION BY line ORDER BY i)),
+@query(f"""WITH RECURSIVE {N.sql_walk(f'(SELECT line, i AS node, i AS k FROM {N._ITEMS} WHERE i % 11 <> 0)')},
+    it AS (SELECT w.line, w.i, w.node, anchor, fixable, lat, lng FROM w JOIN {N._ITEMS} x ON x.line = w.line AND x.i = w.node),
+    p AS (SELECT *, {{'i': i, 'lat': lat, 'lng': lng, 'b_lat': coalesce(lat - lag(lat) OVER w, 0.0e0), 'b_lng': coalesce(lng - lag(lng) OVER w, 0.0e0),
+        'a_lat': coalesce(lat - lead(lat) OVER w, 0.0e0), 'a_lng': coalesce(lng - lead(lng) OVER w, 0.0e0)}} AS s FROM it WINDOW w AS (PARTITION BY line ORDER BY i)),
     q AS (SELECT *, last_value(CASE WHEN anchor THEN s END IGNORE NULLS) OVER (PARTITION BY line ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev,
         first_value(CASE WHEN anchor THEN s END IGNORE NULLS) OVER (PARTITION BY line ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM p),
     g AS (SELECT *, row_number() OVER (PARTITION BY line, prev.i, next.i ORDER BY i) AS k, count(*) OVER (PARTITION BY line, prev.i, next.i) AS n FROM q WHERE NOT anchor AND fixable),
-    v AS (SELECT * FROM (SELECT i AS point, line, {N._guess('lat')} AS lat, {N._guess('lng')} AS lng FROM g
-        UNION ALL SELECT i, line, lat, lng FROM {N._ITEMS} WHERE i % 11 = 0 AND NOT anchor AND fixable) WHERE line IN (SELECT line FROM {_ROUTE})),
+    v AS (SELECT * FROM (SELECT node AS point, line, {N._guess('lat')} AS lat, {N._guess('lng')} AS lng FROM g
+        UNION ALL SELECT i, line, lat, lng FROM {N._ITEMS} WHERE NOT anchor AND fixable AND (line, i) NOT IN (SELECT (line, node) FROM it)) WHERE line IN (SELECT line FROM {_ROUTE})),
     s AS (SELECT * FROM (SELECT line, i, lat AS lat1, lng AS lng1, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2 FROM {_ROUTE} WINDOW w AS (PARTITION BY line ORDER BY i)) WHERE lat2 IS NOT NULL),
     m AS (SELECT point, p.lat, p.lng, i, lat1 + {N._T} * (lat2 - lat1) AS s_lat, lng1 + {N._T} * (lng2 - lng1) AS s_lng FROM v p JOIN s ON p.line = s.line
         AND p.lat BETWEEN least(lat1, lat2) - 0.05e0 AND greatest(lat1, lat2) + 0.05e0 AND p.lng BETWEEN least(lng1, lng2) - 0.05e0 AND greatest(lng1, lng2) + 0.05e0),
     b AS (SELECT point, min({{'km': round({sql_km('lat', 'lng', 's_lat', 's_lng')}, 9), 'i': i, 's_lat': s_lat, 's_lng': s_lng}}) AS x FROM m GROUP BY point)
     SELECT v.line, v.point AS node, {_NINE.format('lat')} AS lat, {_NINE.format('lng')} AS lng FROM v LEFT JOIN b USING (point)""")
 def line_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unknown stations of lines with a route: estimated between anchors or taken as branches, then snapped."""
-    every = N._items(spark, sf_dir).withColumn("node", F.col("i"))
+    """Lines are walked; unknown stations of those with a route are estimated between anchors, or taken as branches where the walk misses them, then snapped."""
+    every = N._items(spark, sf_dir).withColumnRenamed("i", "node")
+    order = N.walked(every.filter("node % 11 <> 0").select("line", "node", F.col("node").alias("k")))
     route = table(spark, sf_dir, "part").filter("p_size % 5 = 0 AND p_brand NOT LIKE '%3'").select(F.col("p_brand").alias("line"), F.col("p_partkey").alias("i"), *place(F.col("p_partkey")))
-    return lines.repair(every.filter("i % 11 <> 0"), every.drop("i"), route)
+    return lines.repair(order.join(every, ["line", "node"]), every, route)
 
 
 @query("""SELECT ord, name FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(name, ''), name_en), round(lat, 3), round(lon, 3) ORDER BY ord) AS k FROM (

@@ -271,23 +271,33 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query()
-def assign_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers matched with parts of their line (nation and brand stand in), by name and by least total way."""
-    own = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).cast("string").alias("line"), F.col("s_suppkey").cast("string").alias("sid"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("name"), F.lit("").alias("name_th"), *place(F.col("s_suppkey")))
-    near = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).cast("string").alias("line"), F.col("s_suppkey").alias("ord"), F.when(F.col("s_suppkey") % 4 == 0, F.col("s_name")).otherwise("").alias("name_en"), F.lit("").alias("name_th"), *(F.round(c + 0.004, 4).alias(n) for c, n in zip(place(F.col("s_suppkey")), ("lat", "lng"), strict=True)))
-    return resolve.match_stations(own, near)
+def sql_walk(nodes: str) -> str:
+    """CTEs that walk the links of nodes (line, node, k): w has line, i, node."""
+    return f"""o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY line ORDER BY node) AS j FROM {nodes}),
+    l AS (SELECT a.line, a.node AS src, b.node AS dst, CASE WHEN b.j = a.j + 1 AND a.k % 4 > 0 OR b.j = a.j + 3 THEN 0 ELSE 1 END AS other FROM o a JOIN o b
+        ON a.line = b.line AND (b.j = a.j + 1 OR (a.k % 7 = 0 AND b.j = a.j + 3) OR (a.k % 11 = 0 AND b.j = a.j + 5))),
+    e AS MATERIALIZED (SELECT line, u, v, min(other) AS other FROM (SELECT line, src AS u, dst AS v, other FROM l UNION ALL SELECT line, dst, src, other FROM l) GROUP BY ALL),
+    w AS (SELECT line, 0 AS i, min(node) AS node, [min(node)] AS seen FROM o GROUP BY line
+        UNION ALL SELECT line, i + 1, x.v, list_append(seen, x.v) FROM (SELECT w.line, w.i, any_value(w.seen) AS seen, min({{'other': e.other, 'v': e.v}}) AS x
+            FROM w JOIN e ON e.line = w.line AND e.u = w.node AND NOT list_contains(w.seen, e.v) GROUP BY w.line, w.i))"""
+
+
+def walked(nodes: DataFrame) -> DataFrame:
+    """nodes (line, node, k) linked with the next one, and some with the third or fifth after them, and walked from the least."""
+    from pyspark.sql import Window
 
+    w = Window.partitionBy("line").orderBy("node")
+    after = lambda n, type_, able: F.when(able, F.struct(F.lead("node", n).over(w).alias("dst"), type_.alias("type")))
+    k = F.col("k")
+    hops = F.array(after(1, F.when(k % 4 > 0, "link").otherwise("connection"), F.lit(True)), after(3, F.lit("link"), k % 7 == 0), after(5, F.lit("connection"), k % 11 == 0))
+    links = nodes.select("line", F.col("node").alias("src"), hops.alias("x")).select("line", "src", F.explode("x").alias("x")).select("line", "src", "x.*").filter("dst IS NOT NULL")
+    return lines.walk_lines(links, nodes.groupBy("line").agg(F.min("node").alias("start")))
 
-@query("SELECT CAST(s_nationkey % 5 AS VARCHAR) AS line, CAST(row_number() OVER (PARTITION BY s_nationkey % 5 ORDER BY s_suppkey) - 1 AS INT) AS i, printf('%06d', s_suppkey) AS node FROM supplier")
-def line_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each nation's suppliers walked from the smallest along their links."""
-    s = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).cast("string").alias("line"), F.format_string("%06d", "s_suppkey").alias("src"))
-    from pyspark.sql import Window
 
-    w = Window.partitionBy("line").orderBy("src")
-    links = s.select("line", "src", F.lead("src").over(w).alias("dst"), F.lit("link").alias("type")).filter("dst IS NOT NULL")
-    return lines.walk_lines(links, s.groupBy("line").agg(F.min("src").alias("start")))
+@query(f"WITH RECURSIVE {sql_walk("(SELECT CAST(s_nationkey % 5 AS VARCHAR) AS line, printf('%06d', s_suppkey) AS node, s_suppkey AS k FROM supplier)")} SELECT line, i, node FROM w")
+def line_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's suppliers walked from the smallest along their links: branches, loops and both kinds of links."""
+    return walked(table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).cast("string").alias("line"), F.format_string("%06d", "s_suppkey").alias("node"), F.col("s_suppkey").alias("k")))
 
 
 @query("""WITH RECURSIVE b(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION ALL SELECT s_suppkey, depth + 1 FROM b JOIN supplier ON s_suppkey // 3 = node AND s_suppkey <> node) SELECT node, depth FROM b""")

@@ -180,20 +180,44 @@ def _mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.masks(roads.select("r", "c", F.round(minutes("road_km", 11.0), 5).alias("time")), "time", K.TIME_BANDS)
 
 
-@query(f"""WITH m AS {_MASK} SELECT band, side, m.r, m.c, CAST(m.r + ar AS INT) AS r1, CAST(m.c + ac AS INT) AS c1, CAST(m.r + br AS INT) AS r2, CAST(m.c + bc AS INT) AS c2
+_SIDES = f"""(SELECT band, side, m.r, m.c, CAST(m.r + ar AS INT) AS r1, CAST(m.c + ac AS INT) AS c1, CAST(m.r + br AS INT) AS r2, CAST(m.c + bc AS INT) AS c2
     FROM m, (VALUES {", ".join(f"('{n}', {dr}, {dc}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for n, (dr, dc, a, b) in raster.SIDES.items())}) AS s(side, dr, dc, ar, ac, br, bc)
-    WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.band = m.band AND o.r = m.r + dr AND o.c = m.c + dc)""")
+    WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.band = m.band AND o.r = m.r + dr AND o.c = m.c + dc))"""
+
+
+@query(f"WITH m AS {_MASK} SELECT * FROM {_SIDES}")
 def contour_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sides of each time band's mask of the taxi surface."""
     return raster.outline(_mask(spark, sf_dir))
 
 
-@query()
+def _walk_sql(mask: str) -> str:
+    return f"""WITH RECURSIVE m AS MATERIALIZED {mask}, s AS MATERIALIZED {_SIDES},
+    nx AS MATERIALIZED (SELECT a.band, a.r, a.c, a.side, min({{'other': (a.r, a.c) <> (b.r, b.c), 'r': b.r, 'c': b.c, 'side': b.side}}) AS n FROM s a JOIN s b ON a.band = b.band AND a.r2 = b.r1 AND a.c2 = b.c1 GROUP BY a.band, a.r, a.c, a.side),
+    f AS (SELECT band, min({{'r': r, 'c': c, 'side': side}}) AS f FROM s GROUP BY band),
+    w AS (SELECT band, f.r AS r, f.c AS c, f.side AS side, 0 AS i, f FROM f
+        UNION ALL SELECT w.band, n.r, n.c, n.side, i + 1, f FROM w JOIN nx ON nx.band = w.band AND nx.r = w.r AND nx.c = w.c AND nx.side = w.side WHERE (n.r, n.c, n.side) <> (f.r, f.c, f.side)),
+    k AS (SELECT s.band, s.r1, s.c1, min(i) AS i FROM w JOIN s ON s.band = w.band AND s.r = w.r AND s.c = w.c AND s.side = w.side GROUP BY s.band, s.r1, s.c1)
+    SELECT CAST(band AS INT) AS band, CAST(i AS INT) AS i, round({K.LAT_LOW}e0 + r1 * {K.LAT_HIGH - K.LAT_LOW!r}e0 / 60, 5) AS lat, round({K.LNG_LOW}e0 + c1 * {K.LNG_HIGH - K.LNG_LOW!r}e0 / 60, 5) AS lng
+    FROM k WHERE band IN (SELECT band FROM k GROUP BY band HAVING count(*) > 2)"""
+
+
+@query(_walk_sql(_MASK))
 def contour_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ring of corners for each band."""
     return raster.rings(raster.outline(_mask(spark, sf_dir)))
 
 
+@query(_walk_sql("(SELECT band, r, c FROM (SELECT r, c, count(*) AS n FROM (SELECT CAST(floor((lat - 13.45e0) / 0.02e0) AS INT) AS r, CAST(floor((lng - 100.30e0) / 0.02e0) AS INT) AS c FROM " + sql_points("customer", "c_custkey") + ") GROUP BY r, c), (VALUES (0, 3), (1, 2), (2, 1)) AS b(band, least) WHERE n >= least)"))
+def customer_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of where customers are dense: ragged masks with holes, islands and cells that touch by corners."""
+    at = lambda c, low: F.floor((F.col(c) - low) / F.lit(0.02)).cast("int")
+    cells = points(spark, sf_dir, "customer", "c_custkey").groupBy(at("lat", K.LAT_LOW).alias("r"), at("lng", K.LNG_LOW).alias("c")).agg(F.count("*").alias("n"))
+    levels = F.array(*(F.struct(F.lit(i).alias("band"), F.lit(3 - i).alias("least")) for i in range(3)))
+    mask = cells.withColumn("b", F.explode(levels)).filter("n >= b.least").select("b.band", "r", "c")
+    return raster.rings(raster.outline(mask))
+
+
 @query(f"""SELECT id, CAST(floor({LAT.format('c_custkey')} / 0.005e0) AS BIGINT) AS cell_r, CAST(floor({LNG.format('c_custkey')} / 0.005e0) AS BIGINT) AS cell_c
     FROM (SELECT c_custkey AS id, * FROM customer) WHERE {LAT.format('c_custkey')} BETWEEN 13.5e0 AND 14.0e0 AND {LNG.format('c_custkey')} BETWEEN 100.3e0 AND 100.9e0""")
 def bbox_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

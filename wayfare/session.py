@@ -58,8 +58,27 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str | None = None, parts: tuple[str, ...] = ()) -> str:
+    """Writes (or, with the name of such a table, adds) the rows to a table in as many buckets of `key` as there are shuffle partitions.
+
+    Joins and groups by the key then read it without a shuffle. The table is one of the session's catalog, its files
+    lie in the shared folder. Gives the name.
+    """
+    spark = df.sparkSession
+    known, name = name is not None, name or f"wayfare_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).mode("append")
+    if parts:
+        writer = writer.partitionBy(*parts)
+    if not known:
+        writer = writer.option("path", f"{shared_dir(spark)}/{name}")
+    writer.saveAsTable(name)
+    return name
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all intermediate tables; only for when the results that read them have been written."""
+    for found in spark.catalog.listTables(pattern="wayfare_*"):
+        spark.sql(f"DROP TABLE IF EXISTS {found.name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
