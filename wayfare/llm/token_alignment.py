@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import BROADCAST_BYTES, broadcast_if_light, materialise, read, slices, tidied
-from wayfare.llm.tokens import default_path, encode, tokenizer
+from wayfare.llm.common import BROADCAST_BYTES, CACHES, broadcast_if_light, materialise, read, slices, tidied
+from wayfare.llm.tokens import ENTRY, LONG, default_path, encode, tokenizer
 
 LINKS = ("ends", "overlaps", "products")
 #: Pairs with more than this share of all links are hot: at most its inverse of them can be, so they may be broadcast.
@@ -25,9 +25,15 @@ HOT = 1 / 1000
 #: Parts that the rows of a hot pair are dealt to where pairs are joined by shuffle.
 SALTS = 64
 
+#: Bytes of words and piece ids that a worker remembers, about; the memory starts anew beyond it.
+REMEMBERED = 64 << 20
+
 _pieces: dict[str, object] = {}
+_memories: dict[str, dict[str, bytes]] = {}
+_held: dict[str, int] = {}
 _tables: dict[str, Vocabulary] = {}
-_codes: dict[tuple[str, str], np.ndarray] = {}
+_codes: dict[tuple[str, int], np.ndarray] = {}
+CACHES.setdefault("tokens", []).extend([_memories, _held])
 
 
 def piece_path() -> str:
@@ -85,6 +91,38 @@ def pieces(path: str) -> Vocabulary:
     return _tables[path]
 
 
+def piece_ids(texts: list[str], path: str) -> list[bytes]:
+    """Little-endian unsigned 32-bit ids of each text, the same as the model gives for the whole text.
+
+    No piece has a space behind another character and none a line end, so words between single spaces or line ends are
+    encoded once and remembered. A text with other runs of spaces, at its ends or inside, or with U+2581, is encoded whole.
+    """
+    sp, memory = piece_model(path), _memories.setdefault(path, {})
+    if _held.get(path, 0) > REMEMBERED:
+        memory.clear()
+        _held[path] = 0
+    words = [None if "▁" in t or t[:1] == "\n" else t.replace("\n", " \n").split(" ") for t in texts]
+    words = [None if w is None or "" in w else w for w in words]
+    new = list(set().union(*(w for w in words if w is not None)).difference(memory))
+    for word, ids in zip(new, sp.encode(new, num_threads=1) if new else [], strict=True):
+        memory[word] = np.array(ids[1:] if word[:1] == "\n" else ids, "<u4").tobytes()  # without the space that the model adds before a line end
+    known = memory.__getitem__
+    out = [np.array(sp.encode(t), "<u4").tobytes() if w is None else b"".join(map(known, w)) for t, w in zip(texts, words, strict=True)]
+    for word in new:
+        if len(word) > LONG:
+            del memory[word]
+        else:
+            _held[path] = _held.get(path, 0) + ENTRY + len(word) + len(memory[word])
+    return out
+
+
+def union_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """np.union1d of two ascending arrays: a stable sort merges them in linear time."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return both[np.diff(both, prepend=-1) != 0]
+
+
 def _written(mark: str, size: int) -> np.ndarray:
     """Each id as text with a mark behind it."""
     if (mark, size) not in _codes:
@@ -124,7 +162,7 @@ def link(a: Side, b: Side, ends: np.ndarray, kind: str) -> tuple[np.ndarray, np.
     ends: where documents end. No token is empty, so each side's ends differ.
     """
     a_end, b_end = np.cumsum(a.sizes), np.cumsum(b.sizes)
-    edges = np.union1d(a_end, b_end)  # each closes an elementary interval
+    edges = union_of(a_end, b_end)  # each closes an elementary interval
     own_a, own_b = np.searchsorted(a_end, edges), np.searchsorted(b_end, edges)
     shared = (a_end[own_a] == edges) & (b_end[own_b] == edges)
     closing = edges[shared]
@@ -174,7 +212,7 @@ def aligned(texts: list[str], a_path: str, b_path: str, kind: str) -> tuple[list
     said = [texts[i] for i in some]
     data = [b" " + t.encode() for t in said]
     a = Side([np.frombuffer(x, "<u4") for x in encode([" " + t for t in said], a_path, plain=True)], byte_level(a_path))
-    b = Side([np.array(x, np.int64) for x in piece_model(b_path).encode(said, num_threads=1)] if said else [], pieces(b_path))
+    b = Side([np.frombuffer(x, "<u4") for x in piece_ids(said, b_path)], pieces(b_path))
     size = np.array([len(x) for x in data], np.int64)
     good = (a.bytes_of_documents() == size) & (b.bytes_of_documents() == size)
     for _ in range(2):  # by length first, then byte by byte

@@ -102,7 +102,8 @@ def encode(texts: list[str], path: str, plain: bool = False) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text, the same as the tokenizer gives for the whole text.
 
     A line end between two words is a pre-token of its own, so words are cut there as well as at spaces. The first
-    word is taken as if a line end stood before it, whose one token is then left out. A text that holds an added
+    word is taken as if a line end stood before it, whose one token is then left out, unless the text begins with a
+    space and a word. A text that holds an added
     token's string is encoded whole, or, if `plain`, as any other.
     """
     path = PLAIN + path if plain else path
@@ -111,14 +112,15 @@ def encode(texts: list[str], path: str, plain: bool = False) -> list[bytes]:
         memory.clear()
         _held[path] = 0
     marks = specials(path)
-    words = [None if any(m in text for m in marks) else ("\n" + text.replace("\n", " \n")).split(" ") for text in texts]
+    spaced = [text[:1] == " " and not text[1:2].isspace() and len(text) > 1 for text in texts]
+    words = [None if any(m in text for m in marks) else (text[1:] if own else "\n" + text).replace("\n", " \n").removeprefix(" ").split(" ") for text, own in zip(texts, spaced, strict=True)]
     new = set().union(*(w for w in words if w is not None)).difference(memory)
     _learn(path, memory, new)
     known, lead = memory.__getitem__, len(_ids(path, "\n"))
     out = []
-    for text, parts in zip(texts, words, strict=True):
+    for text, parts, own in zip(texts, words, spaced, strict=True):
         try:
-            out.append(_ids(path, text) if parts is None else b"".join(map(known, parts))[lead:])
+            out.append(_ids(path, text) if parts is None else b"".join(map(known, parts))[0 if own else lead :])
         except TypeError:  # a word of None: white space runs together somewhere
             out.append(_ids(path, text))
     for word in new:
