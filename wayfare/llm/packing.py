@@ -5,8 +5,8 @@ numbers, whatever the corpus. The fractional covering program "choose configurat
 a sequence) so that every piece is covered" is solved by multiplicative weights: every length has a price that falls
 as it is covered, a knapsack dynamic program finds the configurations of most worth at these prices (each length no
 more often than it has pieces), and the solution is the average over the rounds. Each round's prices also bound every
-packing from below. The average is rounded to whole configurations, and best fit packs what these leave. The plan is a
-table of slots (length, first rank, count, first sequence, offset); pieces take the slot of their rank among pieces of
+packing from below. The average is rounded to whole configurations; what these leave is priced again and again on the
+pieces that are left, and the best configurations are taken, down to the last piece. The plan is a table of slots (length, first rank, count, first sequence, offset); pieces take the slot of their rank among pieces of
 their length.
 """
 
@@ -31,9 +31,11 @@ RANKED = 50_000
 ROUNDS, STEP = 24, 1.0
 #: Times that the program is solved at most, each for what rounding has left, and the share of sequences for which it is solved again.
 REPEATS, GAIN = 12, 0.02
-#: Reserves for best fit that are tried: the longest length of which pieces are held back, and the share of these. The
-#: last holds back all: where a length has few pieces (small tables), rounding finds little that is whole.
-RESERVES = ((256, 0.8), (384, 0.7), (LIMIT, 1.0))
+#: Pieces kept from the first solutions, as short ones waste little at the end: the longest length, and the share of these.
+RESERVE = (384, 0.7)
+#: In the last phase a token's price rises with the length of its piece, to this power, and only configurations of pieces
+#: of at least this share of the longest one left are taken before the next pricing.
+RISE, AHEAD = 0.5, 0.5
 SEED = 11
 
 Config = tuple[tuple[int, int], ...]
@@ -69,13 +71,13 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(tidied(run, "tokens"), f"doc_id {kind}, {PIECE}")
 
 
-def price(worth: np.ndarray, counts: np.ndarray, limit: int, start: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """The most worth of a configuration, and the full configurations of most worth with each length of `start`.
+def price(worth: np.ndarray, counts: np.ndarray, limit: int, start: np.ndarray, full: bool = True) -> tuple[float, np.ndarray, np.ndarray]:
+    """The most worth of a configuration, and the configurations of most worth with each length of `start`.
 
     worth and counts are by length (index 0 unused). A bounded knapsack: a length is offered in lots of 1, 2, 4, ...
     pieces, as many as it has or as fit, so no configuration takes more than there are. One table holds the best of
     each size at most (which bounds all packings), the other the best of exactly that size (which wastes nothing).
-    Configurations are rows; lengths that no full configuration has give none.
+    Configurations are rows, by the second table if `full`, else by the first; lengths that no such configuration has give none.
     """
     lots = []
     for length in np.flatnonzero(counts)[::-1]:  # of equal worth, fewer and longer pieces
@@ -85,13 +87,14 @@ def price(worth: np.ndarray, counts: np.ndarray, limit: int, start: np.ndarray)
             able, lot = able - lot, 2 * lot
     value = np.full((2, limit + 1), -np.inf)
     value[0], value[1, 0] = 0, 0
+    of = int(full)
     taken = np.zeros((len(lots), limit + 1), bool)
     for i, (length, lot) in enumerate(lots):
         size = length * lot
         other = value[:, :-size] + worth[length] * lot
-        taken[i, size:] = other[1] > value[1, size:]
+        taken[i, size:] = other[of] > value[of, size:]
         np.maximum(value[:, size:], other, out=value[:, size:])
-    start = start[np.isfinite(value[1, limit - start])]
+    start = start[np.isfinite(value[of, limit - start])]
     rows = np.zeros((len(start), limit + 1), np.int64)
     rows[np.arange(len(start)), start] = 1
     room = limit - start
@@ -157,33 +160,55 @@ def rounded(found: dict[Config, float], left: np.ndarray, rng: np.random.Generat
     return list(chosen.items())
 
 
+def dive(left: np.ndarray, limit: int) -> tuple[list[tuple[Config, int]], int]:
+    """Configurations for all pieces of `left`, and how many sequences of them pricing gave.
+
+    The knapsack prices what is left; its best configurations with the longest pieces are taken as often as there are
+    pieces, and the rest is priced again. Where none can be taken, one sequence is filled by best fit.
+    """
+    lengths = np.arange(limit + 1)
+    worth = lengths * (lengths / limit) ** RISE
+    out, given, left = [], 0, left.copy()
+    while left.any():
+        start = np.flatnonzero(left)[::-1]
+        _, rows, start = price(worth, left, limit, start[start >= AHEAD * start[0]], full=False)
+        taken = 0
+        for row in rows[np.argsort(-start, kind="stable")]:
+            at = np.flatnonzero(row)[::-1]
+            times = int((left[at] // row[at]).min())
+            if times:
+                left[at] -= times * row[at]
+                taken += times
+                out.append((tuple(zip(at.tolist(), row[at].tolist(), strict=True)), times))
+        if not taken:
+            row = fill(left, limit)
+            left -= row
+            at = np.flatnonzero(row)[::-1]
+            out.append((tuple(zip(at.tolist(), row[at].tolist(), strict=True)), 1))
+        given += taken
+    return out, given
+
+
 def solve(pieces: np.ndarray, limit: int) -> tuple[list[tuple[Config, int]], int, float]:
     """Configurations that pack all pieces, how many sequences of them the program gave, and the lower bound.
 
-    The program is solved for all pieces, rounded, and solved again for what is left while that gives enough; best
-    fit packs the rest. Short pieces make best fit waste little, so some are held back for it; of the reserves tried,
-    the one that needs the fewest sequences is taken, and of equal ones that with the most of the program.
+    The program is solved for all pieces but a reserve of short ones, rounded, and solved again for what is left while
+    that gives enough; then what is left, reserve included, is dived for. The same at every size of the table.
     """
-    best, bound = None, float((np.arange(limit + 1) * pieces).sum()) / limit
-    for longest, share in RESERVES:
-        held = np.zeros(limit + 1, np.int64)
-        held[: longest + 1] = (pieces[: longest + 1] * share).astype(np.int64)
-        left, chosen, rng = pieces - held, [], np.random.default_rng(SEED)
-        for _ in range(REPEATS):
-            found, least = fractional(left, limit)
-            bound = max(bound, least)
-            new = rounded(found, left, rng)
-            chosen += new
-            if sum(n for _, n in new) <= GAIN * sum(n for _, n in chosen):
-                break
-        filled = best_fit(left + held, limit)
-        given = sum(n for _, n in chosen)
-        key = (given + sum(n for _, n in filled), -given)
-        if best is None or key < best[0]:
-            best = key, chosen + filled, given
-        if key[0] <= bound + 1 - 1e-9:  # no packing needs fewer
+    longest, share = RESERVE
+    held = np.zeros(limit + 1, np.int64)
+    held[: longest + 1] = np.ceil(pieces[: longest + 1] * share)
+    bound = float((np.arange(limit + 1) * pieces).sum()) / limit
+    left, chosen, rng = pieces - held, [], np.random.default_rng(SEED)
+    for _ in range(REPEATS):
+        found, least = fractional(left, limit)
+        bound = max(bound, least)
+        new = rounded(found, left, rng)
+        chosen += new
+        if sum(n for _, n in new) <= GAIN * sum(n for _, n in chosen):
             break
-    return best[1], best[2], bound
+    rest, given = dive(left + held, limit)
+    return chosen + rest, sum(n for _, n in chosen) + given, bound
 
 
 def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int]]:
@@ -209,27 +234,28 @@ def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int,
     return slots
 
 
-def best_fit(left: np.ndarray, limit: int) -> list[tuple[Config, int]]:
-    """What rounding leaves, fullest configurations first: take the longest piece left, fill up with best fits.
+def fill(left: np.ndarray, limit: int) -> np.ndarray:
+    """One sequence by length: the longest piece left, then the longest that fits, and so on."""
+    taken, room = np.zeros(limit + 1, np.int64), limit
+    length = int(np.flatnonzero(left)[-1])
+    while length > 0:
+        taken[length] += 1
+        room -= length
+        able = np.flatnonzero((left - taken > 0)[: room + 1])
+        length = int(able[-1]) if len(able) else 0
+    return taken
 
-    Equal sequences are made together, so the work follows the number of lengths and not of pieces.
-    """
+
+def best_fit(left: np.ndarray, limit: int) -> list[tuple[Config, int]]:
+    """All pieces by best fit alone, which the program is held against. Equal sequences are made together."""
     out = []
     left = left.copy()
-    for longest in range(limit, 0, -1):
-        while left[longest] > 0:
-            taken = np.zeros(limit + 1, np.int64)
-            room = limit
-            length = longest
-            while length > 0:
-                taken[length] += 1
-                room -= length
-                able = np.flatnonzero((left - taken > 0)[: room + 1])
-                length = int(able[-1]) if len(able) else 0
-            at = np.flatnonzero(taken)[::-1]
-            times = int((left[at] // taken[at]).min())
-            left[at] -= times * taken[at]
-            out.append((tuple((int(x), int(taken[x])) for x in at), times))
+    while left.any():
+        taken = fill(left, limit)
+        at = np.flatnonzero(taken)[::-1]
+        times = int((left[at] // taken[at]).min())
+        left[at] -= times * taken[at]
+        out.append((tuple((int(x), int(taken[x])) for x in at), times))
     return out
 
 
@@ -253,8 +279,9 @@ def ranked(rows: DataFrame, total: int) -> DataFrame:
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are the end token alone. Rows that repeat are packed each for itself. An empty table gives
-    no rows. Further columns are not read.
+    Null and empty texts are the end token alone; ids may be null. Rows that repeat are packed each for itself; ties
+    among pieces of one length are broken by id, piece and checksum, and rows that share all of these are alike. A text
+    and its ids are held whole, however long. An empty table gives no rows. Further columns are not read.
     """
     spark = docs.sparkSession
     rows = materialise(pieces(docs, path, id_col, text_col, limit))
