@@ -64,12 +64,9 @@ def _learn(path: str, memory: dict[str, bytes | None], new: set[str]) -> None:
 
     Words without white space at either end are encoded in one text.
     """
-    plain: dict[str, set[str]] = {" ": set(), "\n": set()}
+    plain: dict[str, set[str]] = {" ": {word for word in new if word.isalnum()}, "\n": set()}
     ended = []
-    for word in new:
-        if word.isalnum():
-            plain[" "].add(word)
-            continue
+    for word in new.difference(plain[" "]):
         lead = "\n" if word[:1] == "\n" else " "
         bare = word[1:] if lead == "\n" else word
         if not bare or bare[0].isspace():
@@ -86,13 +83,14 @@ def _learn(path: str, memory: dict[str, bytes | None], new: set[str]) -> None:
         mark, every = lead.strip(" "), list(words)
         for low in range(0, len(every), 2000):
             part = every[low : low + 2000]
-            ids = np.array(tokenizer(path).encode(lead + lead.join(part), add_special_tokens=False).ids, "<u4")
+            text = lead + lead.join(part)
+            (found,) = tokenizer(path).encode_batch_fast([text], add_special_tokens=False)
+            ids, data = np.array(found.ids, "<u4"), text.encode()
+            leads = np.flatnonzero(np.frombuffer(data, np.uint8) == ord(lead))  # no word has one inside
             ends = np.cumsum(_lengths(path)[ids])  # of tokens, in bytes
-            cuts = np.searchsorted(ends, np.cumsum([len(word.encode()) + 1 for word in part]), "left") + 1
-            raw, at = ids.tobytes(), 0
-            for word, cut in zip(part, (4 * cuts).tolist(), strict=True):
-                memory[mark + word] = raw[at:cut]
-                at = cut
+            cuts = (4 * (np.searchsorted(ends, np.append(leads[1:], len(data)), "left") + 1)).tolist()
+            raw = ids.tobytes()
+            memory.update(zip([mark + word for word in part] if mark else part, [raw[i:j] for i, j in zip([0, *cuts], cuts)], strict=True))
     marks = {mark: _ids(path, mark) for mark in ".,"}
     for word in ended:
         memory[word] = memory[word[:-1]] + marks[word[-1]]
@@ -123,11 +121,11 @@ def encode(texts: list[str], path: str, plain: bool = False) -> list[bytes]:
             out.append(_ids(path, text) if parts is None else b"".join(map(known, parts))[0 if own else lead :])
         except TypeError:  # a word of None: white space runs together somewhere
             out.append(_ids(path, text))
-    for word in new:
-        if len(word) > LONG:
-            memory.pop(word, None)
-            if len(word) > LONG + 1:  # what `_learn` put beside it
-                memory.pop(word[:-1], None)
-        else:
-            _held[path] = _held.get(path, 0) + ENTRY + len(word) + len(memory[word] or b"")
+    for word in [word for word in new if len(word) > LONG]:
+        new.remove(word)
+        memory.pop(word, None)
+        if len(word) > LONG + 1:  # what `_learn` put beside it
+            memory.pop(word[:-1], None)
+    found = [ids for ids in map(memory.get, new) if ids]
+    _held[path] = _held.get(path, 0) + ENTRY * len(new) + sum(map(len, new)) + sum(map(len, found))
     return out
