@@ -47,7 +47,7 @@ def test_fares(spark):
 def test_ranking_at_ten_km(spark):
     from wayfare.plans.surfaces import mode_ranking
 
-    rows = mode_ranking(spark, "").filter("km = 10").orderBy("rank").collect()
+    rows = mode_ranking(spark, "/root/testdata/sf0.001").filter("km = 10").orderBy("rank").collect()
     assert [r["mode"] for r in rows] == "bus_nonac khlong bus_ac chao_phraya arl mrt_purple mrt_blue bts motorcycle grab_bike taxi grab_car tuktuk".split()
 
 
@@ -67,7 +67,9 @@ def test_texts(spark):
     assert [tuple(r) for r in out] == [("foo bar", "y", 712, True), ("", "y", 0, True)]
 
 
-def test_shortest_paths(spark):
+@pytest.mark.parametrize("width", [None, 0.7, 2.5, 1e9])
+def test_shortest_paths(spark, width):
+    """Dijkstra's km and minutes, whatever the width of the distance buckets."""
     random.seed(4)
     edges = [(a, b, round(random.uniform(0.1, 3), 3), round(random.uniform(1, 9), 3)) for a, b in {tuple(random.sample(range(40), 2)) for _ in range(90)}]
     seeds = [(0, 0.5, 2.0), (7, 0.0, 0.0)]
@@ -82,7 +84,7 @@ def test_shortest_paths(spark):
             best[n] = (k, m)
             for b, x, y in near.get(n, []):
                 heapq.heappush(heap, (k + x, m + y, b))
-    got = graph.shortest_paths(spark.createDataFrame(edges, "src long, dst long, km double, minutes double"), spark.createDataFrame(seeds, "node long, km double, minutes double"))
+    got = graph.shortest_paths(spark.createDataFrame(edges, "src long, dst long, km double, minutes double"), spark.createDataFrame(seeds, "node long, km double, minutes double"), width)
     assert {r.node: (round(r.km, 6), round(r.minutes, 6)) for r in got.collect()} == {n: (round(k, 6), round(m, 6)) for n, (k, m) in best.items()}
 
 
@@ -218,6 +220,14 @@ def test_snap_meets_across_cells(spark):
         assert (r.snap_km is None) or inside
         if not inside:
             assert (r.snap_lat, r.snap_lng) == (r.lat, r.lng)
+            continue
+        found = []
+        for (_, a, b), (_, c, d) in zip(own, own[1:]):
+            if min(a, c) - lines.BOX <= r.lat <= max(a, c) + lines.BOX and min(b, d) - lines.BOX <= r.lng <= max(b, d) + lines.BOX:
+                square = (c - a) ** 2 + (d - b) ** 2
+                t = min(1.0, max(0.0, ((r.lat - a) * (c - a) + (r.lng - b) * (d - b)) / square)) if square else 0.0
+                found.append(_metres((r.lat, r.lng), (a + t * (c - a), b + t * (d - b))) / 1000)
+        assert (r.snap_km == pytest.approx(min(found), abs=1e-6)) if min(found) <= lines.SNAP_KM else r.snap_km is None
     assert sum(r.snap_km is not None for r in got) > 20
 
 
@@ -291,3 +301,80 @@ def test_components_of_links(spark):
     links = [(str(i), str(i + 1)) for i in range(100, 140)] + [("z", "a"), ("b", "a"), ("q", "q"), ("a", "b")]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a string, b string")).collect()}
     assert got == {**{str(i): "100" for i in range(100, 141)}, "z": "a", "a": "a", "b": "a"}
+
+
+def test_a_round_shuffles_steps_only(spark):
+    """Edges and known nodes are read by bucket: the one exchange of a round is that of its steps."""
+    from wayfare.session import bucketed
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        costs = spark.table(bucketed(spark.range(200).selectExpr("id AS src", "id * 7 % 200 AS dst", "1.0D AS km", "2.0D AS minutes"), "src"))
+        known = bucketed(spark.range(9).selectExpr("id AS node", "0.0D AS km", "0.0D AS minutes", "0 AS round"), "node", parts=("round",))
+        plan = graph.relax(costs, spark.table(known).filter("round = 0"), spark.table(known))._jdf.queryExecution().executedPlan().toString()
+        exchanges = [x for x in plan.split("\n") if "Exchange" in x]
+        assert len(exchanges) == 1 and "hashpartitioning(dst" in exchanges[0] or "hashpartitioning(node" in exchanges[0]
+        assert len(exchanges) == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _greedy(start, links):
+    near = {}
+    for a, b, t in links:
+        if a is not None and b is not None and a != b:
+            near.setdefault(a, []).append((t != "link", b))
+            near.setdefault(b, []).append((t != "link", a))
+    at, seen = start, []
+    while at is not None:
+        seen.append(at)
+        at = min(((t, n) for t, n in near.get(at, []) if n not in seen), default=(None, None))[1]
+    return seen
+
+
+def test_walks_equal_step_by_step(spark):
+    """Contracted stretches, branches, loops back to the start, parallel ways, dead ends and links that are none."""
+    random.seed(6)
+    lines_, starts = {}, {}
+    for k in range(14):
+        n = random.randint(1, 40)
+        chain = [(f"{i:03d}", f"{i + 1:03d}", random.choice(["link", "link", "connection", None])) for i in range(n)]
+        more = [(f"{random.randrange(n + 1):03d}", f"{random.randrange(n + 1):03d}", random.choice(["link", "connection"])) for _ in range(random.randint(0, 4))]
+        lines_[f"l{k}"], starts[f"l{k}"] = [(b, a, t) if random.random() < 0.3 else (a, b, t) for a, b, t in chain + more], f"{random.randrange(n + 1):03d}"
+    lines_["circle"], starts["circle"] = [(f"{i}", f"{(i + 1) % 9}", "link") for i in range(9)], "4"
+    lines_["apart"], starts["apart"] = [("a", "b", "link"), ("x", "y", "link"), ("y", "z", "link"), ("z", "x", "link"), (None, "q", "link"), ("b", "b", "link")], "a"
+    lines_["alone"], starts["alone"] = [], "s"
+    links = spark.createDataFrame([(line, *x) for line, every in lines_.items() for x in every], "line string, src string, dst string, type string")
+    got = {}
+    for r in lines.walk_lines(links, spark.createDataFrame(list(starts.items()), "line string, start string")).orderBy("line", "i").collect():
+        got.setdefault(r.line, []).append((r.i, r.node))
+    assert got == {line: list(enumerate(_greedy(starts[line], every))) for line, every in lines_.items()}
+
+
+def test_rings_of_masks(spark):
+    """A block with a hole, another component, cells that touch by a corner, and a single cell."""
+    block = [(0, r, c) for r in range(5) for c in range(5) if (r, c) != (2, 2)] + [(0, 9, 9)]
+    steps = [(1, 0, 0), (1, 1, 1), (1, 1, 2)]
+    mask = spark.createDataFrame([*block, *steps, (2, 7, 7)], "band int, r int, c int")
+    got = {}
+    for r in raster.rings(raster.outline(mask)).orderBy("band", "i").collect():
+        got.setdefault(r.band, []).append((round((r.lat - K.LAT_LOW) / (K.LAT_HIGH - K.LAT_LOW) * K.GRID), round((r.lng - K.LNG_LOW) / (K.LNG_HIGH - K.LNG_LOW) * K.GRID)))
+    around = [(0, c) for c in range(5)] + [(r, 5) for r in range(5)] + [(5, 5 - c) for c in range(5)] + [(5 - r, 0) for r in range(5)]
+    assert got[0] == around and got[1] == [(0, 0), (0, 1), (1, 1), (1, 0)] and sorted(got[2]) == [(7, 7), (7, 8), (8, 7), (8, 8)]
+
+
+def test_table_functions(spark):
+    """Arguments by name, defaults, columns as arguments, and the filter in the scan."""
+    from wayfare.functions.tables import register
+
+    register({"modes": modes(spark)})
+    ten = {r["mode"]: r.fare for r in spark.sql("SELECT mode, fare FROM mode_cards()").collect()}
+    assert ten == {m: f[3] for m, (f, _) in GOLDEN.items()}
+    rail = spark.sql("SELECT mode, fare, minutes FROM mode_cards(mode_type => 'rail', distance_km => 11)").collect()
+    assert {(r["mode"], r.fare) for r in rail} == {(m, GOLDEN[m][0][4]) for m in ("bts", "mrt_blue", "mrt_purple", "arl")}
+    spark.createDataFrame([(1, 1.0), (2, 120.0)], "id int, km double").createOrReplaceTempView("wayfare_trips")
+    taxi = spark.sql("SELECT id, fare FROM wayfare_trips t, LATERAL mode_cards(distance_km => t.km) WHERE mode = 'taxi' ORDER BY id").collect()
+    assert [r.fare for r in taxi] == [35, 577]
+    assert [tuple(r) for r in spark.sql("SELECT * FROM legend(view => 'time') WHERE band = 8").collect()] == [(8, K.COLORS[8], "120 min")]
+

@@ -1,8 +1,7 @@
 """Fixed values of the domain: they must be as they are for right results."""
 
-# The airport from which surfaces are drawn, and its rail station.
+# The airport from which surfaces are drawn.
 ORIGIN = (13.9133, 100.5957)
-ORIGIN_STATION = "rdn6"
 
 # The raster.
 GRID = 60

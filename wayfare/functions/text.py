@@ -37,3 +37,17 @@ def on_line(ref: Column, name: Column, patterns: Column, hints: Column) -> Colum
     parts = F.transform(F.split(F.coalesce(ref, F.lit("")), ";"), lambda r: F.trim(r))
     by_ref = F.exists(parts, lambda r: F.exists(patterns, lambda p: F.rlike(r, F.concat(F.lit("(?U)"), p))))
     return by_ref | ((F.coalesce(ref, F.lit("")) == "") & F.coalesce(F.array_contains(hints, name), F.lit(False)))
+
+
+def km_text(km: Column) -> Column:
+    return F.format_string("%.1f km", km)
+
+
+def value_text(value: Column, view: Column) -> Column:
+    """A value rounded half up with its unit: `35 THB` in the cost view, `12 min` in the time view."""
+    return F.concat_ws(" ", F.floor(value + 0.5).cast("string"), F.when(view == "cost", "THB").otherwise("min"))
+
+
+def label_lines(name: Column, other: Column, code: Column, km: Column, value: Column, view: Column) -> Column:
+    """The lines of a station's label: its name (else its code), its other name, its code in capitals, and how far and how much."""
+    return F.array(either(name, code), F.coalesce(other, F.lit("")), F.upper(code), F.concat_ws(" | ", km_text(km), value_text(value, view)))

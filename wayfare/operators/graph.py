@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import constants as K
-from wayfare.functions.geo import haversine_km, origin_km
-from wayfare.functions.fares import walk_minutes
+from wayfare.functions.fares import minutes, mode_fare, walk_minutes
+from wayfare.functions.geo import band, haversine_km, origin_km
 from wayfare.operators.spatial import radius_join
 from wayfare.session import bucketed, materialise
 
@@ -168,3 +168,12 @@ def components(links: DataFrame) -> DataFrame:
             roots = edges.select(F.col("b").alias("node")).distinct()
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
         mark = tuple(found)
+
+
+def station_bands(km: DataFrame, of_modes: DataFrame) -> DataFrame:
+    """km (node, km), modes (a fixed table) to node, mode, view, value, band within the outermost band; mode `multimodal` has the least of the modes' values."""
+    values = F.array(F.struct(F.lit("cost").alias("view"), mode_fare("km").alias("value")), F.struct(F.lit("time").alias("view"), F.round(minutes("km", F.col("speed")), 6).alias("value")))
+    rows = km.crossJoin(F.broadcast(of_modes)).select("node", "mode", F.explode(values).alias("x")).select("node", "mode", "x.*")
+    best = rows.groupBy("node", "view").agg(F.min("value").alias("value")).withColumn("mode", F.lit("multimodal"))
+    within = lambda bands: F.when(F.col("value") <= bands[-1], band("value", bands))
+    return rows.unionByName(best).withColumn("band", F.when(F.col("view") == "cost", within(K.COST_BANDS)).otherwise(within(K.TIME_BANDS))).filter("band IS NOT NULL")

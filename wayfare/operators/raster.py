@@ -117,14 +117,14 @@ def successors(sides: DataFrame) -> DataFrame:
 
 
 def rings(sides: DataFrame) -> DataFrame:
-    """band, i, lat, lng: corners in walking order of the outline that holds a band's first side (by row, column, name).
+    """band, i, lat, lng: corners in walking order of the outline that holds a band's first side (by row, column, then in the order of SIDES).
 
     Other components and holes have no row, nor rings of one or two corners; the ring is not closed. A corner that is
     passed twice keeps its first place. The places come from pointer doubling over the links from each side to the one
     before it, cut at the first side: after k rounds a side knows its way back over 2^k others, so a ring takes as many
     rounds as its length has binary digits, and no task holds a whole ring.
     """
-    named = sides.withColumn("id", (F.col("r").cast("long") * (1 << 24) + F.col("c")) * len(SIDES) + F.array_position(F.array(*map(F.lit, sorted(SIDES))), F.col("side")) - 1)
+    named = sides.withColumn("id", (F.col("r").cast("long") * (1 << 24) + F.col("c")) * len(SIDES) + F.array_position(F.array(*map(F.lit, SIDES)), F.col("side")) - 1)
     named = materialise(named)
     first = named.groupBy("band").agg(F.min("id").alias("first"))  # a row for each band
     back = successors(named).select("band", F.col("next").alias("id"), F.col("id").alias("to")).join(F.broadcast(first), "band")

@@ -39,14 +39,17 @@ def recurse_down(elements: DataFrame, wanted: DataFrame) -> DataFrame:
 def below(links: DataFrame, roots: DataFrame) -> DataFrame:
     """node, depth: all that reach one of the roots (node) by links (child, parent), the roots at 0.
 
-    Each round joins only what the last one found; a cycle ends it, as nothing is found twice.
+    Further columns of the roots are carried: with a name for each root, all roots are followed at once, and a node
+    below several has a row for each. Each round joins only what the last one found; a cycle ends it, as nothing is
+    found twice.
     """
-    found = materialise(roots.select("node", F.lit(0).alias("depth")).distinct())
+    carried = [c for c in roots.columns if c != "node"]
+    found = materialise(roots.select(*carried, "node", F.lit(0).alias("depth")).distinct())
     depth = 0
     while True:
-        level = found.filter(F.col("depth") == depth).select(F.col("node").alias("parent"))
+        level = found.filter(F.col("depth") == depth).select(*carried, F.col("node").alias("parent"))
         depth += 1
-        new = links.join(level, "parent").select(F.col("child").alias("node")).distinct().join(found, "node", "left_anti").withColumn("depth", F.lit(depth))
+        new = links.join(level, "parent").select(*carried, F.col("child").alias("node")).distinct().join(found, [*carried, "node"], "left_anti").withColumn("depth", F.lit(depth))
         found = materialise(found.unionByName(new))
         if found.filter(F.col("depth") == depth).isEmpty():
             return found
@@ -81,10 +84,6 @@ def pattern(triples: DataFrame, required: dict[str, str], optional: dict[str, st
 
 def members_of(triples: DataFrame, classes: list[str], is_a: str, part_of: str) -> DataFrame:
     """subject of everything that is one of the classes or of what is below them; once for each class that it fits (a bag)."""
-    spark, out = triples.sparkSession, None
-    for name in classes:
-        roots = spark.createDataFrame([(name,)], "node string")
-        under = below(triples.filter(F.col("predicate") == part_of).select(F.col("subject").alias("child"), F.col("object").alias("parent")), roots)
-        own = objects(triples, is_a, "node").join(under, "node").select("subject")
-        out = own if out is None else out.union(own)
-    return out
+    roots = triples.sparkSession.createDataFrame([(name, name) for name in dict.fromkeys(classes)], "root string, node string")
+    links = triples.filter(F.col("predicate") == part_of).select(F.col("subject").alias("child"), F.col("object").alias("parent"))
+    return objects(triples, is_a, "node").join(below(links, roots), "node").select("subject")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.plans import chains, networks, stations, surfaces
+from wayfare.plans import chains, files, maps, networks, parameters, stations, surfaces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,8 @@ FLAGSHIP = surfaces.multimodal_grid
 
 
 def queries() -> dict[str, Query]:
-    return surfaces.Q | networks.Q | chains.Q | stations.Q
+    return surfaces.Q | networks.Q | chains.Q | stations.Q | maps.Q | files.Q | parameters.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return surfaces.SQL | networks.SQL | chains.SQL | stations.SQL
+    return surfaces.SQL | networks.SQL | chains.SQL | stations.SQL | maps.SQL | files.SQL | parameters.SQL

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import constants as K
 from wayfare.functions.fares import minutes, mode_fare, modes, walk_minutes
-from wayfare.functions.geo import band, haversine_km, origin_km
+from wayfare.functions.geo import haversine_km, origin_km
+from wayfare.functions.text import label_lines
 from wayfare.operators import graph, lines, resolve, tags
+from wayfare.operators.ranking import global_rank
 from wayfare.plans import networks as N
+from wayfare.plans import surfaces as S
 from wayfare.plans.dialect import LAT, LNG, SQL_MODES, place, points, sql_band, sql_fare, sql_km, sql_origin_km, sql_points
 from wayfare.session import materialise, table
 
@@ -191,41 +194,77 @@ def correction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.correction_report(resolve.apply_corrections(own, found), found)
 
 
-_RAIL_KM = f"(SELECT round({sql_origin_km('lat', 'lng')}, 6) AS km FROM {sql_points('supplier', 's_suppkey')})"
+# two stations of entry, each with its own way from the airport, and rail km from there
+_ENTRIES = f"SELECT id AS node, round({sql_origin_km('lat', 'lng')}, 6) AS km, 0.0e0 AS minutes FROM {sql_points('supplier', 's_suppkey')} WHERE id <= 2"
+_RAIL_MODES = f"(SELECT * FROM {SQL_MODES} WHERE type = 'rail')"
 
 
-@query(f"""SELECT mode, view, band, count(*) AS n FROM (SELECT mode, view, value, CASE view WHEN 'cost' THEN {sql_band('value', K.COST_BANDS)} ELSE {sql_band('value', K.TIME_BANDS)} END AS band FROM (
-        SELECT mode, 'cost' AS view, {sql_fare('km')} AS value FROM {_RAIL_KM}, {SQL_MODES} m WHERE m.type = 'rail' UNION ALL SELECT mode, 'time', round(km / speed * 60, 6) FROM {_RAIL_KM}, {SQL_MODES} m WHERE m.type = 'rail')
-    WHERE value <= CASE view WHEN 'cost' THEN {K.COST_BANDS[-1]} ELSE {K.TIME_BANDS[-1]} END) GROUP BY mode, view, band""")
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst, km FROM {N._RAIL} UNION ALL SELECT dst, src, km FROM {N._RAIL}),
+    d(node, km) USING KEY (node) AS (SELECT node, km FROM ({_ENTRIES}) UNION SELECT n.node, n.km FROM (SELECT e.dst AS node, min(d.km + e.km) AS km FROM d JOIN e ON d.node = e.src GROUP BY e.dst) n
+        LEFT JOIN recurring.d AS o ON o.node = n.node WHERE o.node IS NULL OR n.km < o.km - 1e-7),
+    v AS (SELECT node, mode, 'cost' AS view, {sql_fare('k')} AS value FROM (SELECT node, round(km, 6) AS k FROM d), {_RAIL_MODES} UNION ALL SELECT node, mode, 'time', round(k / speed * 60, 6) FROM (SELECT node, round(km, 6) AS k FROM d), {_RAIL_MODES}),
+    a AS (SELECT node, mode, view, value FROM v UNION ALL SELECT node, 'multimodal', view, min(value) FROM v GROUP BY node, view)
+    SELECT mode, view, band, count(*) AS n, min(node) AS first FROM (SELECT node, mode, view, CASE view WHEN 'cost' THEN {sql_band('value', K.COST_BANDS)} ELSE {sql_band('value', K.TIME_BANDS)} END AS band FROM a
+        WHERE value <= CASE view WHEN 'cost' THEN {K.COST_BANDS[-1]} ELSE {K.TIME_BANDS[-1]} END) GROUP BY mode, view, band""")
 def reachable_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stations within the outermost band by fare or time by rail (stand-in: km from the origin), by mode and band."""
-    km = points(spark, sf_dir, "supplier", "s_suppkey").select(F.round(origin_km("lat", "lng"), 6).alias("km"))
-    priced = km.crossJoin(F.broadcast(modes(spark).filter("type = 'rail'")))  # a fixed table of modes
-    values = F.array(F.struct(F.lit("cost").alias("view"), mode_fare("km").alias("value")), F.struct(F.lit("time").alias("view"), F.round(minutes("km", F.col("speed")), 6).alias("value")))
-    rows = priced.select("mode", F.explode(values).alias("x")).select("mode", "x.*")
-    at = F.when(F.col("view") == "cost", F.when(F.col("value") <= K.COST_BANDS[-1], band("value", K.COST_BANDS))).otherwise(F.when(F.col("value") <= K.TIME_BANDS[-1], band("value", K.TIME_BANDS)))
-    return rows.withColumn("band", at).filter("band IS NOT NULL").groupBy("mode", "view", "band").agg(F.count("*").alias("n"))
+    """Stations within the outermost band by fare or time of their rail km, by mode and band; the best of modes is the least of the rail modes."""
+    at = points(spark, sf_dir, "supplier", "s_suppkey").withColumnRenamed("id", "node")
+    tracks = graph.both_ways(graph.rail_edges(N.rail_links(spark, sf_dir), at).withColumn("km", F.round("km", 6))).withColumn("minutes", F.lit(0.0))
+    entries = at.filter("node <= 2").select("node", F.round(origin_km("lat", "lng"), 6).alias("km"), F.lit(0.0).alias("minutes"))
+    km = graph.shortest_paths(tracks, entries).select("node", F.round("km", 6).alias("km"))
+    return graph.station_bands(km, modes(spark, "rail")).groupBy("mode", "view", "band").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+
+
+_LABELED = f"(SELECT id, round({sql_origin_km('lat', 'lng')}, 6) AS km FROM {sql_points('supplier', 's_suppkey')})"
+
+
+@query(f"""SELECT id, view, list_extract([{', '.join(repr(c) for c in K.COLORS)}], band + 1) AS color, concat_ws(chr(10), CASE WHEN id % 7 = 0 THEN 'rd' || id ELSE s_name END, CASE WHEN id % 3 = 0 THEN 'ส' || id ELSE '' END, 'RD' || id,
+        printf('%.1f', km) || ' km | ' || CAST(floor(value + 0.5e0) AS BIGINT) || CASE view WHEN 'cost' THEN ' THB' ELSE ' min' END) AS text
+    FROM (SELECT id, km, view, value, CASE view WHEN 'cost' THEN {sql_band('value', K.COST_BANDS)} ELSE {sql_band('value', K.TIME_BANDS)} END AS band FROM (
+        SELECT id, km, 'cost' AS view, min({sql_fare('km')}) AS value FROM {_LABELED}, {_RAIL_MODES} GROUP BY id, km UNION ALL SELECT id, km, 'time', min(round(km / speed * 60, 6)) FROM {_LABELED}, {_RAIL_MODES} GROUP BY id, km)
+        WHERE value <= CASE view WHEN 'cost' THEN {K.COST_BANDS[-1]} ELSE {K.TIME_BANDS[-1]} END) JOIN supplier ON s_suppkey = id""")
+def station_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a map shows at each station under the best of the rail modes: colour, and the lines of its label."""
+    key = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(key.alias("node"), F.when(key % 7 == 0, "").otherwise(F.col("s_name")).alias("name"), F.when(key % 3 == 0, F.concat(F.lit("ส"), key.cast("string"))).alias("name_th"), F.concat(F.lit("rd"), key.cast("string")).alias("code"), F.round(origin_km(*place(key)), 6).alias("km"))
+    shown = graph.station_bands(s.select("node", "km"), modes(spark, "rail")).filter("mode = 'multimodal'")
+    text = label_lines(F.col("name"), F.col("name_th"), F.col("code"), F.col("km"), F.col("value"), F.col("view"))
+    return shown.join(s, "node").select(F.col("node").alias("id"), "view", F.element_at(F.array(*map(F.lit, K.COLORS)), F.col("band") + 1).alias("color"), F.array_join(text, "\n").alias("text"))
+
+
+@query(f"SELECT route, pier, row_number() OVER (ORDER BY route, round(pos, 6), pier) - 1 AS number FROM {N._BOATS}")
+def boat_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piers on routes numbered through all routes, along each and by pier: a rank without one task for all."""
+    routes = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).alias("route"), F.col("s_suppkey").alias("i"), *place(F.col("s_suppkey")))
+    nodes = graph.boat_nodes(points(spark, sf_dir, "customer", "c_custkey").withColumnRenamed("id", "pier"), routes)
+    ranked = global_rank(nodes.select("route", F.round("pos", 6).alias("pos"), "pier"), ["route", "pos", "pier"], "number")
+    return ranked.select("route", "pier", (F.col("number") - 1).alias("number"))
 
 
 _SWATCHES = ", ".join(f"('{view}', {i}, '{K.COLORS[i]}', '{value} {unit}')" for view, unit, bands in (("cost", "THB", K.COST_BANDS), ("time", "min", K.TIME_BANDS)) for i, value in enumerate(bands))
+_REACHED = "(SELECT 3 * km AS cost, round(km / 12.0e0 * 60, 6) AS time FROM (SELECT (c_custkey * 37 % 300) / 10.0e0 AS km FROM customer))"
 
 
-@query(f"SELECT view, CAST(i AS INT) AS i, color, label FROM (VALUES {_SWATCHES}) AS t(view, i, color, label)")
+@query(f"""SELECT view, CAST(i AS INT) AS i, color, label, coalesce(n, 0) AS n FROM (VALUES {_SWATCHES}) AS t(view, i, color, label) LEFT JOIN (
+    SELECT view, i, count(*) AS n FROM (SELECT 'cost' AS view, {sql_band('cost', K.COST_BANDS)} AS i FROM {_REACHED} WHERE cost <= {K.COST_BANDS[-1]}
+        UNION ALL SELECT 'time', {sql_band('time', K.TIME_BANDS)} FROM {_REACHED} WHERE time <= {K.TIME_BANDS[-1]}) GROUP BY view, i) USING (view, i)""")
 def legend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Swatches of the bands: view, place, colour and label."""
-    bands = spark.createDataFrame([("cost", "THB", K.COST_BANDS), ("time", "min", K.TIME_BANDS)], "view string, unit string, bands array<int>")
-    rows = bands.select("view", "unit", F.posexplode("bands").alias("i", "value"))
-    color = F.element_at(F.array(*map(F.lit, K.COLORS)), F.col("i") + 1)
-    return rows.select("view", "i", color.alias("color"), F.concat_ws(" ", "value", "unit").alias("label"))
+    """Swatches of the bands (view, place, colour, label) with how many stops each has."""
+    from wayfare.functions.tables import register
+
+    register({"modes": modes(spark)})
+    swatches = spark.sql("SELECT 'cost' AS view, * FROM legend(view => 'cost') UNION ALL SELECT 'time', * FROM legend(view => 'time')").withColumnRenamed("band", "i")
+    counts = N.transit_stop_layer(spark, sf_dir).select("view", F.col("band").alias("i"), "n")
+    return swatches.join(F.broadcast(counts), ["view", "i"], "left").fillna(0, ["n"])  # at most a row for each band
 
 
 @query(f"""SELECT mode, string_agg(CAST(CAST(fare AS BIGINT) AS VARCHAR), ',' ORDER BY km) AS fares, string_agg(CAST(CAST(floor(km / speed * 60 + 0.5e0) AS BIGINT) AS VARCHAR), ',' ORDER BY km) AS minutes, max(CASE WHEN km = 10 THEN CAST(fare AS BIGINT) END) AS chosen
-    FROM (SELECT mode, speed, d * 1.0e0 AS km, {sql_fare('(d * 1.0e0)')} AS fare FROM {SQL_MODES} m, range(1, 31) AS t(d)) GROUP BY mode""")
+    FROM (SELECT mode, speed, km, {sql_fare('km')} AS fare FROM {SQL_MODES} m, {S._RIDES}) GROUP BY mode""")
 def mode_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each mode its 30 fares and rounded minutes in order, and the fare at the chosen distance (10 km)."""
-    km = modes(spark).crossJoin(spark.range(1, 31).select(F.col("id").cast("double").alias("km")))
+    """For each mode its fares and rounded minutes at the lengths of rides, in order, and the fare at the chosen distance (10 km)."""
+    km = S._rides(spark, sf_dir).crossJoin(F.broadcast(modes(spark)))
     rows = km.select("mode", "km", F.floor(mode_fare("km")).alias("fare"), F.floor(minutes("km", F.col("speed")) + 0.5).alias("took"), (F.col("km") == 10).alias("chosen"))
-    listed = F.array_sort(F.collect_list(F.struct("km", "fare", "took")))
+    listed = F.array_sort(F.collect_list(F.struct("km", "fare", "took")))  # 30 lengths at most
     out = rows.groupBy("mode").agg(listed.alias("x"), F.max(F.when(F.col("chosen"), F.col("fare"))).alias("chosen"))
     return out.select("mode", F.array_join("x.fare", ",").alias("fares"), F.array_join("x.took", ",").alias("minutes"), "chosen")
 

@@ -25,11 +25,20 @@ def query(sql: str | None = None):
     return keep
 
 
-@query(f"SELECT mode, d AS km, {sql_fare('d')} AS fare, CAST(floor(d / speed * 60 + 0.5e0) AS BIGINT) AS minutes FROM {SQL_MODES}, (SELECT CAST(i AS DOUBLE) AS d FROM range(1, 31) AS t(i))")
+_RIDES = "(SELECT CAST(l_quantity AS DOUBLE) AS km, count(*) AS rides FROM lineitem WHERE l_quantity <= 30 GROUP BY 1)"
+
+
+def _rides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rides (line items) there are of each length up to 30 km."""
+    km = F.col("l_quantity").cast("double").alias("km")
+    return table(spark, sf_dir, "lineitem").filter("l_quantity <= 30").groupBy(km).agg(F.count("*").alias("rides"))
+
+
+@query(f"SELECT mode, km, rides, {sql_fare('km')} AS fare, CAST(floor(km / speed * 60 + 0.5e0) AS BIGINT) AS minutes FROM {SQL_MODES}, {_RIDES}")
 def fare_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fare and rounded minutes of each mode at 1 to 30 km."""
-    km = modes(spark).withColumn("km", F.explode(F.sequence(F.lit(1), F.lit(30)).cast("array<double>")))
-    return km.select("mode", "km", mode_fare("km").alias("fare"), half_up(minutes("km", F.col("speed"))).alias("minutes"))
+    """Fare and rounded minutes of each mode at each length that rides have."""
+    km = _rides(spark, sf_dir).crossJoin(F.broadcast(modes(spark)))  # a fixed table of modes
+    return km.select("mode", "km", "rides", mode_fare("km").alias("fare"), half_up(minutes("km", F.col("speed"))).alias("minutes"))
 
 
 @query(f"""SELECT mode, count(*) AS n, round(sum({sql_fare('km')}), 4) AS total, round(avg({sql_fare('km')}), 6) AS mean
@@ -44,10 +53,10 @@ def fare_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT km, mode, type, fare, CAST(row_number() OVER (PARTITION BY km ORDER BY fare, pos) AS INT) AS rank,
     CAST(row_number() OVER (PARTITION BY km, type ORDER BY fare, pos) AS INT) AS type_rank
-    FROM (SELECT pos, mode, type, CAST(i AS DOUBLE) AS km, {sql_fare('CAST(i AS DOUBLE)')} AS fare FROM {SQL_MODES}, range(1, 31) AS t(i))""")
+    FROM (SELECT pos, mode, type, km, {sql_fare('km')} AS fare FROM {SQL_MODES}, {_RIDES})""")
 def mode_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Modes by fare at each distance, of all and of their type; equal fares in file order."""
-    rows = modes(spark).withColumn("km", F.explode(F.sequence(F.lit(1), F.lit(30)).cast("array<double>"))).withColumn("fare", mode_fare("km"))
+    """Modes by fare at each length of rides, of all and of their type; equal fares in file order."""
+    rows = _rides(spark, sf_dir).crossJoin(F.broadcast(modes(spark))).withColumn("fare", mode_fare("km"))
     w, own = Window.partitionBy("km").orderBy("fare", "pos"), Window.partitionBy("km", "type").orderBy("fare", "pos")
     return rows.select("km", "mode", "type", "fare", F.row_number().over(w).alias("rank"), F.row_number().over(own).alias("type_rank"))
 
@@ -194,7 +203,7 @@ def contour_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _walk_sql(mask: str) -> str:
     return f"""WITH RECURSIVE m AS MATERIALIZED {mask}, s AS MATERIALIZED {_SIDES},
     nx AS MATERIALIZED (SELECT a.band, a.r, a.c, a.side, min({{'other': (a.r, a.c) <> (b.r, b.c), 'r': b.r, 'c': b.c, 'side': b.side}}) AS n FROM s a JOIN s b ON a.band = b.band AND a.r2 = b.r1 AND a.c2 = b.c1 GROUP BY a.band, a.r, a.c, a.side),
-    f AS (SELECT band, min({{'r': r, 'c': c, 'side': side}}) AS f FROM s GROUP BY band),
+    f AS (SELECT band, min({{'r': r, 'c': c, 'k': list_position({list(raster.SIDES)}, side), 'side': side}}) AS f FROM s GROUP BY band),
     w AS (SELECT band, f.r AS r, f.c AS c, f.side AS side, 0 AS i, f FROM f
         UNION ALL SELECT w.band, n.r, n.c, n.side, i + 1, f FROM w JOIN nx ON nx.band = w.band AND nx.r = w.r AND nx.c = w.c AND nx.side = w.side WHERE (n.r, n.c, n.side) <> (f.r, f.c, f.side)),
     k AS (SELECT s.band, s.r1, s.c1, min(i) AS i FROM w JOIN s ON s.band = w.band AND s.r = w.r AND s.c = w.c AND s.side = w.side GROUP BY s.band, s.r1, s.c1)

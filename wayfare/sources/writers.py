@@ -1,38 +1,38 @@
-"""Writers of the domain's files: each makes one JSON document of one row, in a new folder."""
+"""Writers of the domain's documents. Each is one JSON file, written in parts by many tasks and swapped into place."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _document(df: DataFrame, path: str) -> None:
-    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("value")).coalesce(1).write.text(path)
+from wayfare.sources.files import keyed, listed, write_document
 
 
 def write_reach(reached: DataFrame, density: DataFrame, path: str) -> None:
-    """reached (mode, node, lat, lng, km, time_min) and density (r, c, density) as nested arrays; both are of raster or network size."""
-    spot = F.struct("mode", F.array("lat", "lng", "km", "time_min").alias("at"))
-    stops = reached.agg(F.array_sort(F.collect_list(spot)).alias("x"))
-    of = lambda m: F.transform(F.filter("x", lambda s: s["mode"] == m), lambda s: s["at"])
-    rows = density.groupBy("r").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "density"))), lambda s: s["density"]).alias("row"))
-    raster = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "row"))), lambda s: s["row"]).alias("moto_density"))
-    _document(stops.crossJoin(raster).select(of("bus").alias("bus_stops"), of("boat").alias("boat_piers"), of("rail").alias("rail_stations"), "moto_density"), path)
+    """reached (mode, node, lat, lng, km, time_min) and density (r, c, density) as nested arrays, stops in the order of node."""
+    names = {"bus": "bus_stops", "boat": "boat_piers", "rail": "rail_stations"}
+    section = F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("mode"))
+    order = F.struct(F.lit(0).cast("long").alias("n"), F.col("node").cast("string").alias("k"))
+    stops = reached.select(section.alias("section"), order.alias("ord"), F.to_json(F.array("lat", "lng", "km", "time_min")).alias("fragment")).filter("section IS NOT NULL")
+    row = F.transform(F.array_sort(F.collect_list(F.struct("c", "density"))), lambda s: s["density"])  # a row of the raster
+    raster = density.groupBy("r").agg(F.to_json(row).alias("fragment"))
+    rows = raster.select(F.lit("moto_density").alias("section"), F.struct(F.col("r").cast("long").alias("n"), F.lit("").alias("k")).alias("ord"), "fragment")
+    write_document(stops.unionByName(rows), [(n, "list") for n in (*names.values(), "moto_density")], path)
 
 
 def write_stations(stations: DataFrame, lines: DataFrame, path: str) -> None:
-    """The station file, to a new place: Spark can't overwrite what it reads."""
-    packed = lambda df, key: df.agg(F.map_from_entries(F.collect_list(F.struct(key, F.struct(*(c for c in df.columns if c != key))))).alias("x"))
-    _document(packed(lines, "line").withColumnRenamed("x", "lines").crossJoin(packed(stations, "node").withColumnRenamed("x", "stations")), path)
+    """The station file of stations (node, ...) and lines (line, ...); also in place of the file that these were read from."""
+    write_document(keyed(lines, "lines", "line").unionByName(keyed(stations, "stations", "node")), [("lines", "map"), ("stations", "map")], path)
 
 
 def write_matches(matches: DataFrame, path: str) -> None:
     """{matches, stats}: by station, and counts by status and by method."""
-    body = matches.agg(F.map_from_entries(F.collect_list(F.struct("sid", F.struct(*(c for c in matches.columns if c != "sid"))))).alias("matches"))
     counts = matches.select(F.explode(F.array("status", "method")).alias("k")).filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"))
-    _document(body.crossJoin(counts.agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("stats"))), path)
+    name = F.regexp_extract(F.to_json(F.struct("k")), r"^\{\"k\":(.*)\}$", 1)
+    stats = counts.select(F.lit("stats").alias("section"), F.struct(F.lit(0).cast("long").alias("n"), "k").alias("ord"), F.concat(name, F.lit(":"), F.col("n").cast("string")).alias("fragment"))
+    write_document(keyed(matches, "matches", "sid").unionByName(stats), [("matches", "map"), ("stats", "map")], path)
 
 
-def write_list(rows: DataFrame, path: str, name: str = "stations") -> None:
-    """{stations, count}."""
-    _document(rows.agg(F.collect_list(F.struct(*rows.columns)).alias(name), F.count("*").alias("count")), path)
+def write_list(rows: DataFrame, path: str, name: str = "stations", order: str | None = None) -> None:
+    """{name: rows, count}, in the order of a column if one is given."""
+    write_document(listed(rows, name, order), [(name, "list"), ("count", f"count:{name}")], path)
