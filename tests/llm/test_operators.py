@@ -190,6 +190,11 @@ def test_markup_takes_linear_time():
         ("<article><p>unclosed <b>bold <a href=x>link", "unclosed bold link"),
         ("<article><p title='a>b'>q &#x41;&nbsp;&eacute;</p><noscript>n</noscript>", "q A é"),
         ("<p>no container", "no container"),
+        ("<article><h2 id='related-work'>Related work</h2><p>a</p><section id='social-impact'><p>b</p></section><p class='notice-period'>c</p></article>", "Related work\na\nb\nc"),
+        ("<article><p>Before <span class='ad'>Buy now</span> after</p><p>x <a class='share-button'>Share this</a><button>Like</button>y</p></article>", "Before after\nx y"),
+        ("<article><p>a line of its own words</p><p><span class=promo>only this</span></p><ul class='comment-list'><li>nice</ul><div class='ad-slot-3'>buy</div></article>", "a line of its own words"),
+        ("<body><span class='widget'>all there is on <b>this</b> page</span></body>", "all there is on this page"),
+        ("<article><p>a line of its own words <span class=ad>x <b>y</p><p>and c</p></article>", "a line of its own words\nand c"),
         ("<", "<"),
     ],
 )
@@ -197,6 +202,43 @@ def test_markup(source, text):
     assert html_extract.extract(source, []) == text
 
 
+def generated(rng, host):
+    """A page of one of a host's templates, and the text of its article as it was put in."""
+    say = lambda n: " ".join(rng.choice(("run", "tale", "über", "a&b", "x<y", "stone", "river", "the")) for _ in range(n))
+    mark = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
+    around = lambda: rng.choice(("<nav><ul><li><a href=/x>{}</a></ul></nav>", "<div class='sidebar'><p>{}</p></div>", "<aside>{}</aside>", "<div id=cookie-notice>{}</div>", "<form><label>{}</label><input></form>", "<div class='ad ad-{}'>buy</div>", "<script>var a='<p>{}</p>'</script>", "<!-- {} -->")).format("menu" if rng.random() < 0.5 else "12")
+    blocks, body = [], []
+    for _ in range(rng.randint(2, 9)):
+        said = say(rng.randint(3, 40))
+        shape = rng.choice(("<p>{}</p>", "<h2 id='related-{i}x'>{}</h2>", "<ul><li>{}</li></ul>", "<p class='notice-period'>{}", "<blockquote>{}</blockquote>", "<div class=step{i}>{}</div>", "<p>{}<span class='ad'> buy now</span></p>", "<p>{} <button>Like</button></p>"))
+        blocks.append(said)
+        body.append(shape.replace("{i}", str(rng.randint(0, 9))).format(mark(said).replace(" ", rng.choice((" ", "\n ", " <b></b>")), 1)))
+        if rng.random() < 0.3:
+            body.append(around())
+    open_, close = (("<article>", "</article>"), ("<main><div class='post{}'>".format(rng.randint(1, 99)), "</div></main>"), ("<div class='story'><div class=inside>", "</div></div>"))[host % 3]
+    comments = "<section id=comments><p>" + mark(say(rng.randint(1, 60))) + "</p></section>" if rng.random() < 0.5 else ""
+    page = f"<html><head><title>{mark(say(3))}</title><style>p{{}}</style></head><body>" + "".join(around() for _ in range(rng.randint(0, 3))) + open_ + "".join(body) + close + comments + "<footer><p>&copy; all</p></footer></body></html>"
+    return page, "\n".join(blocks)
+
+
+def test_generated_templates(spark):
+    """Every block of the article and nothing else, over hosts of three templates with surroundings in, before and behind it."""
+    rng = random.Random(9)
+    made = [(i, i % 6, *generated(rng, i % 6)) for i in range(240)]
+    df = spark.createDataFrame([(i, f"http://h{h}.org/{i}", page) for i, h, page, _ in made], "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    wrong = [(page, got[i], text) for i, _, page, text in made if got[i] != text]
+    assert not wrong, (len(wrong), wrong[0])
+
+
+def test_equal_votes(spark):
+    """Of two paths with a vote each, the one with more text is the host's."""
+    page = "<body><div class={}><p>" + "word " * 40 + "{}</p></div></body>"
+    pages = [(1, "http://e.org/", page.format("a", "")), (2, "http://e.org/", page.format("b", "and more")), (3, "http://e.org/", "<body><div class=a><p>" + "one " * 10 + "</p></div><div class=b><p>" + "two " * 10 + "</p></div></body>")]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == ("two " * 10).strip()
+
+
 # 5 embeddings
 
 

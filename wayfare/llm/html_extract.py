@@ -35,12 +35,31 @@ CONTAINERS = set("article body div main section td".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 AROUND = set("nav footer aside form header menu dialog button head".split())
 CLOSES = {"p": ("p", {""}), "li": ("li", {"ul", "ol", "menu"}), "tr": ("tr", {"table", "tbody", "thead", "tfoot"}), "td": ("td", {"tr"}), "th": ("th", {"tr"}), "dt": ("dt", {"dl"}), "dd": ("dd", {"dl"}), "option": ("option", {"select"})}
+# Words that say nothing by themselves in the name of a part of a page.
+NEUTRAL_WORDS = set(
+    "area bar block body bottom box button buttons column container content floating form header icon icons inline inner item items left link links list "
+    "main outer panel posts right row section side site slot small sticky text title top unit wrap wrapper".split()
+)
 AROUND_WORDS = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer "
     "masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion recommended related respond share sharing sidebar "
     "signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 
+
+
+def surrounding_name(value: str) -> bool:
+    """Whether a class or id value has a name made of surroundings words, with nothing but neutral words and numbers beside them.
+
+    `cookie-notice` and `comment-list` are such, `notice-period` and `related-work` are not.
+    """
+    for name in value.split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        if not AROUND_WORDS.isdisjoint(parts) and all(x in AROUND_WORDS or x in NEUTRAL_WORDS for x in parts):
+            return True
+    return False
+
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
@@ -71,8 +90,12 @@ class Page:
 
 
 def parse(source: str) -> Page:
+    """Blocks of a page. A run of text in an inline element of the surroundings is no part of the block around it; a
+    block that has no other text belongs to that element."""
     page, stack = Page(), []
     text: list[str] = []
+    aside: list[tuple[int, str]] = []  # runs of inline surroundings in the open block
+    inline: list[int] = []  # depths of the open ones
     linked = heading = 0
     chars_linked = 0
     places: dict[str, list[int]] = {"": []}
@@ -80,10 +103,13 @@ def parse(source: str) -> Page:
 
     def flush():
         nonlocal chars_linked
-        said = SPACE.sub(" ", "".join(text)).strip()
+        said, depth = SPACE.sub(" ", "".join(text)).strip(), top("")
         if said:
-            page.blocks.append((stack[-1] if stack else -1, said, heading > 0, min(chars_linked, len(said))))
+            page.blocks.append((stack[depth] if depth >= 0 else -1, said, heading > 0, min(chars_linked, len(said))))
+        elif aside and (said := SPACE.sub(" ", "".join(x for _, x in aside)).strip()):
+            page.blocks.append((aside[0][0], said, heading > 0, 0))
         text.clear()
+        aside.clear()
         chars_linked = 0
 
     def top(name: str) -> int:
@@ -98,6 +124,8 @@ def parse(source: str) -> Page:
             if name in BLOCKS:
                 flush()
                 places[""].pop()
+            elif inline and inline[-1] == len(stack) - 1:
+                inline.pop()
             places[name].pop()
             linked -= name == "a"
             heading -= name in HEADINGS
@@ -106,6 +134,9 @@ def parse(source: str) -> Page:
     def add(part: str):
         nonlocal chars_linked
         part = html.unescape(part)
+        if inline and inline[-1] > top(""):
+            aside.append((stack[inline[-1]], part))
+            return
         text.append(part)
         if linked:
             chars_linked += len(part)
@@ -146,8 +177,7 @@ def parse(source: str) -> Page:
             continue
         if m[3].rstrip(">").endswith("/") and name not in BLOCKS:
             continue
-        words: list[str] = []
-        role = ""
+        named, role = False, ""
         classes = ""
         if "=" in m[3]:
             for what, *values in NAMED.findall(m[3]):
@@ -155,7 +185,7 @@ def parse(source: str) -> Page:
                 if what.lower() == "role":
                     role = value
                 else:
-                    words += re.split(r"[^a-z0-9]+", value)
+                    named = named or surrounding_name(value)
                     if what.lower() == "class":
                         classes = ".".join(sorted(re.sub(r"\d+", "#", value).split()))
         parent = stack[-1] if stack else -1
@@ -164,10 +194,12 @@ def parse(source: str) -> Page:
         page.tag.append(name)
         page.label.append(label)
         page.key.append(xxhash.xxh64_intdigest(label, page.key[parent] if parent >= 0 else 0))
-        page.around.append(name in AROUND or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog") or (name not in ("html", "body", "article", "main") and not AROUND_WORDS.isdisjoint(words)))
+        page.around.append(name in AROUND or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog") or (named and name not in ("html", "body", "article", "main") and name not in HEADINGS))
         places.setdefault(name, []).append(len(stack))
         if name in BLOCKS:
             places[""].append(len(stack))
+        elif page.around[-1]:
+            inline.append(len(stack))
         stack.append(len(page.tag) - 1)
         linked += name == "a"
         heading += name in HEADINGS
@@ -319,7 +351,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """page_id, url, text of every row.
 
     Null, empty and textless pages give an empty text; text outside of any element counts as the page's body. Pages
-    without a host vote together. A page is held whole, and parsed in time in proportion to its length. Rows that repeat
+    without a host vote together. Of paths with equal votes the one with more text wins, then the first by name. A page is held whole, and parsed in time in proportion to its length. Rows that repeat
     give rows that repeat; an empty table gives none; further columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.col(html_col).alias("html"))
