@@ -103,3 +103,23 @@ def test_least_scores(spark):
     got = language_id.least_scores(spark.createDataFrame(judged, "lang string, lang_pred string, score double"))
     assert got == {"a": 0.4, "b": 0.3, "c": 0.4}  # one wrong label moves nothing; c's single row fits its own profile too well
     assert language_id.least_scores(spark.createDataFrame(judged[:98], "lang string, lang_pred string, score double")) == {}
+
+
+def test_stages_without_n_chars_and_with_long_texts(spark):
+    """Tables without n_chars keep their columns through every stage; a text of half a million characters passes whole."""
+    folder = "/root/testdata/sf0.001"
+    some = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source").filter("length(text) > 200")
+    long = " ".join(r.text for r in some.filter("lang = 'en'").orderBy("doc_id").collect())
+    long = (long * (1 + 500_000 // len(long)))[:500_000].rsplit(" ", 1)[0]
+    docs = some.union(spark.createDataFrame([(-7, "unlike any other: " + long[::-1][:50] + " " + long, "en", "z")], "doc_id long, text string, lang string, source string").select(*(F.col(f.name).cast(f.dataType) for f in some.schema.fields)))
+    for name, stage in p.STAGES[:2]:
+        docs = materialise(stage(spark, docs, folder))
+        assert docs.columns == ["doc_id", "text", "lang", "source"], name
+        assert docs.filter("doc_id = -7").count() == 1, name
+    docs = materialise(p.secrets(spark, docs, folder))
+    assert docs.columns == ["doc_id", "text", "lang", "source"] and len(docs.filter("doc_id = -7").first().text) > 400_000
+    packed = p.pack(spark, docs, folder).filter("doc_id = -7").agg(F.sum("length"), F.count("*"), F.max("length")).first()
+    assert packed[1] == -(-packed[0] // 1024) and packed[2] == 1024
+    clean = p.decontaminate(spark, docs, folder)
+    assert clean.columns == ["doc_id", "text", "lang", "source"]
+

@@ -138,7 +138,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
 
     score is 1 less the distance as a share of the greatest possible. Null texts and texts without letters are
     `und` with score 0, as is every text if there are no profiles; of languages at equal distance the first by name
-    wins. Rows that repeat give rows that repeat.
+    wins. Rows that repeat give rows that repeat; a text is held whole, however long; an empty table gives none.
     """
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)

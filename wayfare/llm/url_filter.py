@@ -75,8 +75,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", defa
 
     Null urls and urls without `://` have an empty host and path and get the default. Rows that repeat give
     rows that repeat; an empty table gives no rows; further columns of `pages` are not read. A rule listed twice
-    with different verdicts counts as block. Null parts of a rule count as empty. A long url tries no more prefixes than
-    there are lengths listed for its host.
+    with different verdicts counts as block. Null parts of a rule count as empty. Of rules of
+    equal length that fit (host and path split at another place), the last one by name wins. A long url tries no more
+    prefixes than there are lengths listed for its host.
     """
     listed = (
         rules.select(
