@@ -78,7 +78,8 @@ def bucketed(df: DataFrame, key: str, name: str | None = None, parts: tuple[str,
 def clear(spark: SparkSession) -> None:
     """Deletes all intermediate tables; only for when the results that read them have been written."""
     for found in spark.catalog.listTables(pattern="wayfare_*"):
-        spark.sql(f"DROP TABLE IF EXISTS {found.name}")
+        if not found.isTemporary:  # views of table functions stay
+            spark.sql(f"DROP TABLE IF EXISTS {found.name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
