@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.functions.geo import haversine_km
+from wayfare.functions.geo import haversine_km, rounded
 from wayfare.functions.text import confidence, is_transit, normal, number_in
 from wayfare.operators import graph, lines, resolve
 from wayfare.plans.dialect import LAT, LNG, place, points, sql_km, sql_origin_km, sql_points
@@ -167,7 +167,7 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedupe_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first customer of each segment and rounded place."""
     lat, lng = place(F.col("c_custkey"))
-    rows = table(spark, sf_dir, "customer").groupBy("c_mktsegment", F.round(lat, 1).alias("a"), F.round(lng, 1).alias("b"))
+    rows = table(spark, sf_dir, "customer").groupBy("c_mktsegment", rounded(lat, 1).alias("a"), rounded(lng, 1).alias("b"))
     return rows.agg(F.min("c_custkey").alias("id")).select("id")
 
 
