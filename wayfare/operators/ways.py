@@ -34,13 +34,14 @@ def route_ways(elements: DataFrame, routes: DataFrame) -> DataFrame:
     return ways.join(nodes, "id").select("line", F.col("id").alias("way"), F.posexplode("nodes").alias("i", "node"))
 
 
-def stitch(pieces: DataFrame) -> DataFrame:
+def stitch(pieces: DataFrame, circles: bool = True) -> DataFrame:
     """pieces (line, way, i, node) to line, string, place, node: way pieces of a line joined where exactly two of their ends meet.
 
     Ends of one, three or more pieces end a string; a closed piece is a string of its own; pieces that close a circle
     without such an end are cut at the circle's least end. A string starts at the lesser of its two ends and is named
     by it and its first way. Pieces know where they lie from pointer doubling along the chain, so a string of n pieces
     takes as many rounds as n has binary digits, and nothing but a point list is ever gathered. Pieces of one node are none.
+    Without `circles`, closed pieces and circles without an end are left out: only what lies between two ends is a string.
     """
     pieces = materialise(pieces.select("line", "way", "i", "node"))
     ends = pieces.groupBy("line", "way").agg(F.min_by("node", "i").alias("first"), F.max_by("node", "i").alias("last"), F.max("i").alias("top"))
@@ -51,8 +52,8 @@ def stitch(pieces: DataFrame) -> DataFrame:
     both = materialise(links.unionByName(links.select("line", F.col("v").alias("u"), F.col("u").alias("v"))))
     joints = both.filter("u LIKE 'n%'").groupBy("line", F.col("u").alias("node")).agg(F.count("*").alias("n")).filter("n <> 2").select("line", "node")
     runs = materialise(stretches(both, joints))
-    circling = materialise(both.filter("u LIKE 'w%'").join(runs, ["line", "u"], "left_anti"))
-    if not circling.isEmpty():
+    circling = materialise(both.filter("u LIKE 'w%'").join(runs, ["line", "u"], "left_anti")) if circles else None
+    if circling is not None and not circling.isEmpty():
         key = lambda c: F.concat_ws("/", "line", c)
         of = components(circling.select(key("u").alias("a"), key("v").alias("b")))
         cut = circling.withColumn("node", key("v")).join(of, "node").groupBy("line", "component").agg(F.min("v").alias("node")).select("line", "node")
@@ -62,7 +63,7 @@ def stitch(pieces: DataFrame) -> DataFrame:
     out = runs.filter("u LIKE 'w%'").groupBy("line", "u").agg(F.min(F.struct("end", "back", "steps", "v")).alias("x"))
     chained = out.select("line", F.substring("u", 2, 20).cast("long").alias("way"), F.concat("x.end", "x.back").alias("string"), F.expr("x.steps DIV 2").alias("rank"), F.substring("x.v", 2, 20).cast("long").alias("from"))
     whole = ends.filter("first = last").select("line", "way", F.concat(name("n", "first"), name("w", "way")).alias("string"), F.lit(0).alias("rank"), F.col("first").alias("from"))
-    placed = chained.unionByName(whole).join(ends, ["line", "way"])
+    placed = (chained.unionByName(whole) if circles else chained).join(ends, ["line", "way"])
     turned = (F.col("from") != F.col("first")).alias("turned")
     at = F.when(F.col("turned"), F.col("top") - F.col("i")).otherwise(F.col("i"))
     points = pieces.join(placed.select("line", "way", "string", "rank", "top", turned), ["line", "way"]).withColumn("at", at)
