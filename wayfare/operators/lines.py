@@ -120,24 +120,86 @@ def segments(routes: DataFrame) -> DataFrame:
     return routes.select("line", "i", F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), F.lead("lat").over(w).alias("lat2"), F.lead("lng").over(w).alias("lng2")).filter("lat2 IS NOT NULL")
 
 
+def _once(rows: DataFrame, name: str, value) -> DataFrame:
+    """rows with a column that is worked out once, however often later columns name it: the planner inlines plain ones."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
+def _met(points: DataFrame, parts: DataFrame, side: float) -> DataFrame:
+    """points and parts that share line and cell. Cells hold few bytes but many pairs, so the number of tasks is not left to sizes."""
+    n, at = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["line", "_r", "_c"]
+    binned = points.withColumn("_r", F.floor(F.col("lat") / side)).withColumn("_c", F.floor(F.col("lng") / side))
+    return binned.repartition(n, *at).join(parts.repartition(n, *at), at)
+
+
+def _near(points: DataFrame, parts: DataFrame, km: float, side: float) -> DataFrame:
+    """points with each segment of their line that may have a place within km of them; both meet by line and cell.
+
+    A point is in one cell. A segment goes to the cells that lie along it: column by column, the rows that its part
+    there can be near to. So there are as many rows as its length has cells, not as many as its box.
+    """
+    reach = km / 110.5  # degrees of latitude, a little more than km
+    wide = F.lit(reach) / F.cos(F.radians(F.least(F.greatest(F.abs("lat1"), F.abs("lat2")) + reach, F.lit(89.0))))
+    west, east, dx = F.least("lng1", "lng2"), F.greatest("lng1", "lng2"), F.col("lng2") - F.col("lng1")
+    columns = F.explode(F.sequence(F.floor((west - F.col("_w")) / side), F.floor((east + F.col("_w")) / side)))
+    at = lambda x: F.col("lat1") + (F.least(F.greatest(x, west), east) - F.col("lng1")) / dx * (F.col("lat2") - F.col("lat1"))
+    steep = F.abs(dx) < 1e-6
+    ends = [F.when(steep, F.col(e)).otherwise(at(x)) for e, x in (("lat1", F.col("_c") * side - F.col("_w")), ("lat2", (F.col("_c") + 1) * side + F.col("_w")))]
+    rows = F.explode(F.sequence(F.floor((F.col("_e.low") - reach) / side), F.floor((F.col("_e.high") + reach) / side)))
+    s = _once(_once(parts, "_w", wide).withColumn("_c", columns), "_e", F.struct(F.least(*ends).alias("low"), F.greatest(*ends).alias("high")))
+    return _met(points, s.withColumn("_r", rows).drop("_w", "_e"), side)
+
+
+def _boxed(points: DataFrame, parts: DataFrame) -> DataFrame:
+    """points with each segment of their line in whose widened box they may be; both meet by line and cell, in each cell that the box touches."""
+    cells = lambda c: F.explode(F.sequence(F.floor(_low(c) / CELL), F.floor(_high(c) / CELL)))
+    s = parts.withColumn("_r", cells("lat")).withColumn("_c", cells("lng"))
+    return _met(points, s, CELL)
+
+
+def _low(c: str):
+    return F.least(f"{c}1", f"{c}2") - BOX
+
+
+def _high(c: str):
+    return F.greatest(f"{c}1", f"{c}2") + BOX
+
+
+def _on_segments(near: DataFrame) -> DataFrame:
+    """near, where the point is in the widened box of the segment, with the place on it (s_lat, s_lng) and the km there."""
+    inside = near.filter(F.col("lat").between(_low("lat"), _high("lat")) & F.col("lng").between(_low("lng"), _high("lng")))
+    on = _once(inside, "t", segment_share("lat", "lng", "lat1", "lng1", "lat2", "lng2"))
+    place = F.struct((F.col("lat1") + F.col("t") * (F.col("lat2") - F.col("lat1"))).alias("s_lat"), (F.col("lng1") + F.col("t") * (F.col("lng2") - F.col("lng1"))).alias("s_lng"))
+    on = _once(on, "_s", place).select("*", "_s.*")
+    return _once(on, "km", haversine_km("lat", "lng", "s_lat", "s_lng"))
+
+
+#: km up to which the nearest segment is looked for first, and degrees of a cell there.
+REACHES = ((0.5, 0.02), (5.0, 0.1))
+
+
 def snap(points: DataFrame, routes: DataFrame) -> DataFrame:
     """points (point, line, lat, lng) with snap_lat, snap_lng, snap_km: the nearest place on the line's polyline.
 
-    A segment is looked at if the point is in its box, widened; both meet by line and hash cell, in each cell that the
-    widened box touches. The first of equally near segments wins; farther than 10 km, or without a segment, the point
-    stays and snap_km is null.
+    A segment is looked at if the point is in its box, widened. The first of equally near segments wins; farther than
+    10 km, or without a segment, the point stays and snap_km is null. Points that find a segment within the first of
+    REACHES are settled, as all segments that near were looked at; only the others look farther, and the last of them
+    at every widened box. Each time the least distance comes first, from a hash aggregate of one number, and then the
+    segments that have it: an aggregate of records would sort all pairs.
     """
-    low = lambda c: F.least(f"{c}1", f"{c}2") - BOX
-    high = lambda c: F.greatest(f"{c}1", f"{c}2") + BOX
-    cells = lambda c: F.explode(F.sequence(F.floor(low(c) / CELL), F.floor(high(c) / CELL)))
-    s = segments(routes).withColumn("_r", cells("lat")).withColumn("_c", cells("lng"))
-    at = points.withColumn("_r", F.floor(F.col("lat") / CELL)).withColumn("_c", F.floor(F.col("lng") / CELL))
-    near = at.join(s, ["line", "_r", "_c"]).filter(F.col("lat").between(low("lat"), high("lat")) & F.col("lng").between(low("lng"), high("lng")))
-    t = segment_share("lat", "lng", "lat1", "lng1", "lat2", "lng2")
-    on = near.withColumn("t", t).withColumn("s_lat", F.col("lat1") + F.col("t") * (F.col("lat2") - F.col("lat1"))).withColumn("s_lng", F.col("lng1") + F.col("t") * (F.col("lng2") - F.col("lng1")))
-    best = on.groupBy("point").agg(F.min(F.struct(F.round(haversine_km("lat", "lng", "s_lat", "s_lng"), 9).alias("km"), "i", "s_lat", "s_lng")).alias("x"))
+    parts = materialise(segments(routes))
+    left, settled = materialise(points.select("point", "line", "lat", "lng").dropna()), None
+    for km, side in (*REACHES, (None, None)):
+        pairs = lambda some: _on_segments(_boxed(some, parts) if km is None else _near(some, parts, km, side))  # noqa: B023, E731
+        least = materialise(pairs(left).groupBy("point").agg(F.min("km").alias("least")).filter(F.lit(True) if km is None else F.col("least") <= km - 1e-9))
+        equal = pairs(left.join(least, "point")).filter(F.col("km") <= F.col("least") + 2e-9).filter(F.round("km", 9) == F.round("least", 9))
+        best = equal.groupBy("point").agg(F.min(F.struct(F.round("km", 9).alias("km"), "i", "s_lat", "s_lng")).alias("x"))
+        settled = best if settled is None else settled.unionByName(best)
+        left = materialise(left.join(least, "point", "left_anti"))
+        if km is not None and left.isEmpty():
+            break
     good = F.col("x.km") <= SNAP_KM
-    return points.join(best, "point", "left").select(
+    return points.join(settled, "point", "left").select(
         *points.columns,
         F.when(good, F.col("x.s_lat")).otherwise(F.col("lat")).alias("snap_lat"),
         F.when(good, F.col("x.s_lng")).otherwise(F.col("lng")).alias("snap_lng"),
