@@ -240,9 +240,9 @@ def bbox_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM {sql_points('supplier', 's_suppkey')} s JOIN {sql_points('customer', 'c_custkey')} c ON abs(s.lat - c.lat) < 0.02 AND {sql_km('s.lat', 's.lng', 'c.lat', 'c.lng')} <= 2 GROUP BY 1, 2""")
 def station_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stations with their band from the origin and the nearest point within 2 km."""
-    from wayfare.operators.spatial import radius_join
+    from wayfare.operators.spatial import nearest_within
 
     a = points(spark, sf_dir, "supplier", "s_suppkey").withColumnsRenamed({"id": "station", "lat": "a_lat", "lng": "a_lng"})
-    near = radius_join(a, points(spark, sf_dir, "customer", "c_custkey"), K.WALK_KM, ("a_lat", "a_lng"), ("lat", "lng"))
+    near = nearest_within(a, points(spark, sf_dir, "customer", "c_custkey"), K.WALK_KM, ("a_lat", "a_lng"), ("lat", "lng"))
     from_origin = F.round(haversine_km(*K.ORIGIN, "a_lat", "a_lng"), 6)
     return near.groupBy("station", band(from_origin, [5, 10, 20, 40]).alias("band")).agg(F.min(F.round("km", 6)).alias("nearest_km"))
