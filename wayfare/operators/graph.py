@@ -29,13 +29,33 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
 
 
+#: Nodes of one place in a list at most; a place with more has several lists.
+PLACE_NODES = 256
+
+
 def transfers(nodes: DataFrame, km: float = K.TRANSFER_KM) -> DataFrame:
-    """Walks between nodes (node, kind, lat, lng) of different kinds or both of buses: src < dst, km."""
-    a = nodes.select(F.col("node").alias("src"), F.col("kind").alias("src_kind"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"))
-    b = nodes.select(F.col("node").alias("dst"), F.col("kind").alias("dst_kind"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"))
-    near = radius_join(a, b, km, ("a_lat", "a_lng"), ("b_lat", "b_lng"), K.CELL)
-    able = (F.col("src_kind") != F.col("dst_kind")) | (F.col("src_kind") == "bus")
-    return near.filter((F.col("src") < F.col("dst")) & able).select("src", "dst", "km")
+    """Walks between nodes (node, kind, lat, lng) of different kinds or both of buses: src < dst, km.
+
+    Distances are worked out between places, each pair of them once; lists of the nodes there are laid side by side, and
+    rows for pairs of nodes come up only where they are written, after the last shuffle. Two kinds of one place, and two
+    nodes of one list, count too.
+    """
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = Window.partitionBy("lat", "lng").orderBy("node")
+    listed = nodes.dropna(subset=["lat", "lng"]).withColumn("part", F.floor((F.row_number().over(place) - 1) / PLACE_NODES))
+    listed = materialise(listed.groupBy("lat", "lng", "part").agg(F.collect_list(F.struct("node", "kind")).alias("nodes")))
+    a = listed.select(F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), F.col("part").alias("a_part"), F.col("nodes").alias("a"))
+    b = listed.select(F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), F.col("part").alias("b_part"), F.col("nodes").alias("b"))
+    spots = materialise(listed.select("lat", "lng").distinct())
+    other = spots.select(F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"))
+    first = F.struct("a_lat", "a_lng") <= F.struct("b_lat", "b_lng")
+    near = radius_join(spots.withColumnsRenamed({"lat": "a_lat", "lng": "a_lng"}), other, km, ("a_lat", "a_lng"), ("b_lat", "b_lng"), K.CELL).filter(first)
+    meet = near.join(a, ["a_lat", "a_lng"]).repartition(n, "b_lat", "b_lng").join(b.repartition(n, "b_lat", "b_lng"), ["b_lat", "b_lng"])
+    # lists of one place are paired once, in either order of its nodes; a list with itself has every pair twice
+    same = (F.col("a_lat") == F.col("b_lat")) & (F.col("a_lng") == F.col("b_lng"))
+    rows = meet.filter(~same | (F.col("a_part") <= F.col("b_part"))).select("km", (same & (F.col("a_part") == F.col("b_part"))).alias("own"), "b", F.explode("a").alias("x")).select("km", "own", "x", F.explode("b").alias("y"))
+    able = (F.col("x.kind") != F.col("y.kind")) | (F.col("x.kind") == "bus")
+    return rows.filter(able & (F.col("x.node") != F.col("y.node")) & (~F.col("own") | (F.col("x.node") < F.col("y.node")))).select(F.least("x.node", "y.node").alias("src"), F.greatest("x.node", "y.node").alias("dst"), "km")
 
 
 def ride_minutes(km: Column, src_kind: Column, dst_kind: Column) -> Column:
