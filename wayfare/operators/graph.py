@@ -9,7 +9,7 @@ from wayfare.functions import constants as K
 from wayfare.functions.fares import minutes, mode_fare, walk_minutes
 from wayfare.functions.geo import band, haversine_km, origin_km
 from wayfare.operators.spatial import radius_join
-from wayfare.session import bucketed, materialise
+from wayfare.session import bucketed, materialise, task_count
 
 
 def rail_edges(links: DataFrame, stations: DataFrame) -> DataFrame:
@@ -22,7 +22,9 @@ def rail_edges(links: DataFrame, stations: DataFrame) -> DataFrame:
 def trip_edges(visits: DataFrame, order: list[str]) -> DataFrame:
     """visits (trip, stop, ...) to the distinct directed pairs of stops that follow each other on a trip."""
     after = F.lead("stop").over(Window.partitionBy("trip").orderBy(*order))
-    return visits.select(F.col("stop").alias("src"), after.alias("dst")).filter("dst IS NOT NULL").distinct()
+    n = task_count(visits)
+    steps = visits.repartition(n, "trip").select(F.col("stop").alias("src"), after.alias("dst")).filter("dst IS NOT NULL")
+    return steps.repartition(n, "src", "dst").distinct()
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from wayfare.functions.geo import haversine_km, rounded
 from wayfare.functions.text import confidence, is_transit, normal, number_in
 from wayfare.operators import graph, lines, resolve
 from wayfare.plans.dialect import LAT, LNG, place, points, sql_km, sql_origin_km, sql_points
-from wayfare.session import table
+from wayfare.session import table, task_count
 
 Q, SQL = {}, {}
 
@@ -45,7 +45,8 @@ def trip_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT degree, count(*) AS n FROM (SELECT src, count(*) AS degree FROM (SELECT src, dst FROM " + _TRIPS + " UNION SELECT dst, src FROM " + _TRIPS + ") GROUP BY src) GROUP BY degree")
 def degree_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many stops have how many neighbours."""
-    both = graph.both_ways(_trips(spark, sf_dir).select("src", "dst")).distinct()
+    n = task_count(table(spark, sf_dir, "lineitem"))
+    both = graph.both_ways(_trips(spark, sf_dir).select("src", "dst")).repartition(n, "src").distinct()
     return both.groupBy("src").agg(F.count("*").alias("degree")).groupBy("degree").agg(F.count("*").alias("n"))
 
 
