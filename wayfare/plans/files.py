@@ -11,7 +11,7 @@ from wayfare.functions.fares import modes
 from wayfare.operators import raster
 from wayfare.plans import surfaces as S
 from wayfare.plans.dialect import LAT, LNG, SQL_MODES, place
-from wayfare.session import shared_dir, table
+from wayfare.session import shared_dir, table, task_count
 from wayfare.sources import readers, writers
 
 Q, SQL = {}, {}
@@ -47,8 +47,9 @@ def last_stop_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _new(spark)
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.format_string("%d", "l_partkey").alias("stop_id"), F.col("l_quantity").cast("string").alias("stop_lat"), F.lit("100.5").alias("stop_lon"))
     order = ["l_orderkey", "l_linenumber", "l_suppkey"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("stop_id", "stop_lat", "stop_lon").write.option("header", True).option("quoteAll", True).csv(f"{folder}/stops.txt")
+    rows.repartitionByRange(task_count(rows), *order).sortWithinPartitions(*order).select("stop_id", "stop_lat", "stop_lon").write.option("header", True).option("quoteAll", True).csv(f"{folder}/stops.txt")
     stops = readers.read_gtfs(spark, folder, "stops", ordered=True)
+    stops = stops.repartition(task_count(stops), "stop_id")  # the last of each is sorted for where it is dealt, not in each block of a file
     counts = stops.groupBy("stop_id").agg(F.count("*").alias("n"))
     return readers.last_stops(stops).join(counts, "stop_id").select(F.col("stop_id").cast("long").alias("stop"), F.col("stop_lat").alias("last"), "n")
 
