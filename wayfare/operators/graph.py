@@ -9,7 +9,7 @@ from wayfare.functions import constants as K
 from wayfare.functions.fares import minutes, mode_fare, walk_minutes
 from wayfare.functions.geo import band, haversine_km, origin_km
 from wayfare.operators.spatial import radius_join
-from wayfare.session import bucketed, materialise, task_count
+from wayfare.session import TASK_ROWS, broadcast_if_light, bucketed, materialise, task_count
 
 
 def rail_edges(links: DataFrame, stations: DataFrame) -> DataFrame:
@@ -66,8 +66,12 @@ def ride_minutes(km: Column, src_kind: Column, dst_kind: Column) -> Column:
     return km / F.when(src_kind != dst_kind, K.WALK_SPEED).otherwise(speed) * 60
 
 
-#: Width of a distance bucket of shortest_paths, in mean edge lengths.
-BUCKET_EDGES = 8.0
+#: Rounds of shortest_paths over all edges before those that cannot matter are left out, rounds in one job after that, and rounds before trees are gone down.
+FIRST_ROUNDS, JOB_ROUNDS, PLAIN_ROUNDS = 2, 4, 12
+#: Steps of a tree that one job goes up.
+TREE_STEPS = 8
+#: Parts of a km or a minute in which shortest_paths adds up, as whole numbers: sums are exact, and equal ways equal.
+PARTS = 1e12
 
 
 def relax(costs: DataFrame, frontier: DataFrame, known: DataFrame) -> DataFrame:
@@ -82,42 +86,99 @@ def relax(costs: DataFrame, frontier: DataFrame, known: DataFrame) -> DataFrame:
     return new.join(known.alias("old"), (F.col("new.node") == F.col("old.node")) & as_good, "left_anti")
 
 
+def useful(costs: DataFrame, best: DataFrame) -> DataFrame:
+    """The edges (src, dst, km, minutes, low) that can still be part of a best way: from `low`, which no way to src is shorter than, they lead to dst within the km known (node, km)."""
+    known = broadcast_if_light(best.select(F.col("node").alias("dst"), F.col("km").alias("most")))
+    return costs.join(known, "dst", "left").filter(F.col("most").isNull() | (F.col("low") + F.col("km") <= F.col("most"))).select(*costs.columns)
+
+
+def hop(costs: DataFrame, state: DataFrame, high: int | None = None, loops: bool = True) -> DataFrame:
+    """One edge farther from all open nodes (below `high`): state (node, km, minutes, open) to the same. A node is open if it has a better way than when it was last gone from.
+
+    Every node has a loop among the costs that carries its state on, so with costs in buckets of src a round has one
+    shuffle, that of its steps, and several fit one job; without loops the state is read once more.
+    """
+    start = state.select(F.col("node").alias("src"), F.col("km").alias("km0"), F.col("minutes").alias("min0"), "open", (F.col("open") & (F.col("km") < high if high is not None else F.lit(True))).alias("ready"))
+    own = F.col("src") == F.col("dst")
+    d = F.struct((F.col("km0") + F.col("km")).alias("km"), (F.col("min0") + F.col("minutes")).alias("minutes"))
+    waits = (F.col("open") & ~F.col("ready")).alias("waits")
+    steps = costs.join(start.hint("shuffle_hash"), "src").filter(F.col("ready") | own).select("dst", d.alias("d"), F.when(own, d).alias("old"), (own & waits).alias("waits"))
+    if not loops:
+        d = F.struct(F.col("km0").alias("km"), F.col("min0").alias("minutes"))
+        steps = steps.unionByName(start.select(F.col("src").alias("dst"), d.alias("d"), d.alias("old"), waits))
+    least = steps.groupBy("dst").agg(F.min("d").alias("d"), F.min("old").alias("old"), F.max("waits").alias("waits"))
+    return least.select(F.col("dst").alias("node"), "d.km", "d.minutes", (F.col("old").isNull() | (F.col("d") < F.col("old")) | F.col("waits")).alias("open"))
+
+
+def along_tree(costs: DataFrame, state: DataFrame) -> DataFrame:
+    """State of `hop` after a round from all nodes, with each node's km and minutes added up anew along the best last edges.
+
+    What makes a node better so reaches all that are behind it at once, however many edges away: a job goes eight times
+    as far up as the one before it. Edges of 0 km and 0 minutes are no last edges, so these lead to no circle.
+    """
+    at = broadcast_if_light(state.select(F.col("node").alias("src"), F.col("km").alias("km0"), F.col("minutes").alias("min0")))
+    last = F.struct((F.col("km0") + F.col("km")).alias("km"), (F.col("min0") + F.col("minutes")).alias("minutes"), F.col("src"), F.col("km").alias("step_km"), F.col("minutes").alias("step_minutes"))
+    best = costs.filter("km > 0 OR minutes > 0").join(at, "src").groupBy(F.col("dst").alias("node")).agg(F.min(last).alias("x"))
+    known = [F.coalesce(c, f"x.{c}").alias(c) for c in ("km", "minutes")]
+    joined = state.join(best, "node", "full").select("node", *known, F.coalesce("open", F.lit(True)).alias("open"), "x")
+    has = F.col("x").isNotNull() & (F.struct("x.km", "x.minutes") <= F.struct("km", "minutes"))
+    part = lambda c: F.when(has, F.col(f"x.step_{c}")).otherwise(F.col(c)).alias(f"up_{c}")
+    rows = materialise(joined.select(*state.columns, F.when(has, F.col("x.src")).alias("up"), part("km"), part("minutes")))
+    more = lambda c: (F.col(f"up_{c}") + F.coalesce(f"more_{c}", F.lit(0))).alias(f"up_{c}")
+    while not rows.filter("up IS NOT NULL").isEmpty():
+        lead = broadcast_if_light(rows.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("up_km").alias("more_km"), F.col("up_minutes").alias("more_minutes")))
+        for _ in range(TREE_STEPS - 1):
+            rows = rows.join(lead, "up", "left").select(*state.columns, F.col("next").alias("up"), more("km"), more("minutes"))
+        rows = materialise(rows)
+    now, before = F.struct("up_km", "up_minutes"), F.struct("km", "minutes")
+    return rows.select("node", F.col("up_km").alias("km"), F.col("up_minutes").alias("minutes"), (F.col("open") | (now < before)).alias("open"))
+
+
 def shortest_paths(edges: DataFrame, seeds: DataFrame, width: float | None = None) -> DataFrame:
     """edges (src, dst, km, minutes), taken as directed, and seeds (node, km, minutes) to node, km, minutes.
 
-    Minutes are those of the way of fewest km (of equal ones the fewest minutes). Delta-stepping: nodes are settled in
-    buckets of `width` km (None: BUCKET_EDGES mean edges). Inside a bucket only edges up to the width are relaxed, from
-    the nodes that the last round made better, until none is; then the longer ones once, from the whole bucket.
-    Edges are written once, in buckets of src, and never shuffled again; a round adds the nodes that it made better to
-    a table in buckets of node and writes nothing else, so a lost executor costs a round at most.
+    Minutes are those of the way of fewest km (of equal ones the fewest minutes). Edges are written once, in buckets of
+    src, the best of parallel ones only. After two rounds over all of them the edges that no best way can take are left
+    out. A round goes one edge farther from the nodes that came to be better; where that takes many rounds, each job goes
+    down the tree of the best ways too, so rounds are far fewer than a way has edges. With a `width` nodes wait that lie farther than so many km behind the
+    nearest of those (delta-stepping).
+
+    Edges may have `ahead` and `straight` as well: km that src is away from the seeds, and dst from src, in straight
+    lines. If every edge has at least a share of its straight line, no way to src is shorter than that share of
+    `ahead`, so an edge that strays from the ways known is left out.
     """
     spark = edges.sparkSession
-    costs = spark.table(bucketed(edges.select("src", "dst", "km", "minutes"), "src"))
-    if width is None:
-        width = BUCKET_EDGES * (costs.agg(F.avg("km")).first()[0] or 1.0)
-    light, heavy = costs.filter(F.col("km") <= width), costs.filter(F.col("km") > width)
-    least = lambda df: df.groupBy("node").agg(F.min(F.struct("km", "minutes")).alias("d")).select("node", "d.km", "d.minutes")
-    found = bucketed(least(seeds).withColumn("round", F.lit(0)), "node", parts=("round",))
-    low, high, number = 0.0, width, 0
-    many = not heavy.isEmpty()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = lambda c: F.rint(F.col(c) * PARTS).cast("long")
+    lines = ["ahead", "straight"] if {"ahead", "straight"} <= set(edges.columns) else []
+    one = edges.filter("src <> dst").repartition(n, "src").groupBy("src", "dst").agg(F.min(F.struct(whole("km").alias("km"), whole("minutes").alias("minutes"))).alias("d"), *(F.min(c).alias(c) for c in lines))
+    costs = spark.table(bucketed(one.select("src", "dst", "d.km", "d.minutes", *lines), "src"))
+    low = F.lit(0)
+    if lines:
+        share = costs.agg(F.min(F.when(F.col("straight") == 0, 1.0).otherwise(F.coalesce(F.col("km") / PARTS / F.col("straight"), F.lit(0.0))))).first()[0]
+        low = F.floor(F.coalesce(F.col("ahead"), F.lit(0.0)) * (min(share or 0.0, 1.0) * (1 - 1e-9)) * PARTS)
+    least = seeds.groupBy("node").agg(F.min(F.struct(whole("km").alias("km"), whole("minutes").alias("minutes"))).alias("d"))
+    state = materialise(least.select("node", "d.km", "d.minutes", F.lit(True).alias("open")))
+    costs, number, many = costs.select("src", "dst", "km", "minutes", low.cast("long").alias("low")), 0, True
+    ways = costs
     while True:
-        moved = spark.table(found).filter((F.col("km") < high) & (F.col("km") >= low))
-        moved = least(moved) if low else moved.filter("round = 0")
-        while not moved.isEmpty():
-            number += 1
-            bucketed(relax(light, moved, spark.table(found)).withColumn("round", F.lit(number)), "node", found, ("round",))
-            moved = spark.table(found).filter((F.col("round") == number) & (F.col("km") < high))
-        best = least(spark.table(found))
-        if many:
-            number += 1
-            inside = best.filter((F.col("km") >= low) & (F.col("km") < high))
-            bucketed(relax(heavy, inside, spark.table(found)).withColumn("round", F.lit(number)), "node", found, ("round",))
-            best = least(spark.table(found))
-        after = best.filter(F.col("km") >= high).agg(F.min("km")).first()[0]
-        if after is None:
-            return best
-        low = after // width * width
-        low, high = (low, low + width) if low + width > after else (after, after + width)
+        nearest = state.filter("open").agg(F.min("km")).first()[0]
+        if nearest is None:
+            return state.select("node", (F.col("km") / PARTS).alias("km"), (F.col("minutes") / PARTS).alias("minutes"))
+        if many and number >= FIRST_ROUNDS:
+            kept = bucketed(useful(costs, state).repartition(n, "src"), "src")
+            ends = spark.table(kept).select(F.explode(F.array("src", "dst")).alias("node")).unionByName(state.select("node")).distinct()
+            zero = (F.lit(0).cast("long").alias(x) for x in ("km", "minutes", "low"))
+            ways = spark.table(bucketed(ends.select(F.col("node").alias("src"), F.col("node").alias("dst"), *zero), "src", kept))
+            before, costs = costs.count(), ways.filter("src <> dst")
+            left = costs.count()
+            many = left > TASK_ROWS and 4 * left < 3 * before
+        rounds = 1 if number < FIRST_ROUNDS else JOB_ROUNDS
+        for _ in range(rounds):
+            state = hop(ways, state, None if width is None else nearest + int(width * PARTS), number >= FIRST_ROUNDS)
+        state, number = materialise(state), number + rounds
+        if number > PLAIN_ROUNDS and not state.filter("open").isEmpty():
+            state = along_tree(costs, state)
 
 
 def origin_seeds(nodes: DataFrame, km: float = K.WALK_KM) -> DataFrame:
@@ -149,26 +210,65 @@ def boat_edges(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("node").alias("src"), F.lead("node").over(w).alias("dst")).filter("dst IS NOT NULL")
 
 
-def timed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """edges (src, dst, km) between known nodes (node, kind), both ways and with minutes."""
-    kind = lambda end: nodes.select(F.col("node").alias(end), F.col("kind").alias(f"{end}_kind"))
-    known = both_ways(edges).join(kind("src"), "src").join(kind("dst"), "dst")
-    return known.select("src", "dst", "km", F.round(ride_minutes(F.col("km"), F.col("src_kind"), F.col("dst_kind")), 6).alias("minutes"))
+def stands(nodes: DataFrame) -> DataFrame:
+    """node, kind, lat, lng, stand, outward, inward: what a node is one with, and where walks from it and to it begin and end.
+
+    Nodes of one place are one if walks of 0 km join them, that is if there is a bus stop or more than one kind among
+    them. Others of one kind at a place are apart, but share the walks: those lead through two points of their own.
+    """
+    at = nodes.dropna(subset=["lat", "lng"]).groupBy("lat", "lng").agg(F.min("node").alias("first"), F.count("*").alias("n"), F.collect_set("kind").alias("kinds"))
+    known = nodes.join(at, ["lat", "lng"], "left")
+    apart = (F.col("n") > 1) & (F.size("kinds") == 1) & ~F.array_contains("kinds", "bus")
+    door = lambda way: F.when(apart, F.concat(F.lit(f"{way} "), F.col("first"))).otherwise(F.coalesce("first", "node"))
+    return known.select("node", "kind", "lat", "lng", F.when(apart, F.col("node")).otherwise(F.coalesce("first", "node")).alias("stand"), door("from").alias("outward"), door("to").alias("inward"))
+
+
+def stand_walks(stood: DataFrame, km: float = K.TRANSFER_KM) -> DataFrame:
+    """The walks of `transfers` between stands (src, dst, km, minutes, ahead, straight), both ways: one for two places, of the kinds that take the fewest minutes."""
+    of = stood.dropna(subset=["lat", "lng"])
+    places = materialise(of.groupBy("lat", "lng", "outward", "inward", "ahead").agg(F.sort_array(F.collect_set("kind")).alias("kinds")))
+    side = lambda x: places.select(*(F.col(c).alias(f"{x}_{c}") for c in places.columns))
+    near = radius_join(side("a"), side("b"), km, ("a_lat", "a_lng"), ("b_lat", "b_lng"), K.CELL).filter(F.struct("a_lat", "a_lng") < F.struct("b_lat", "b_lng")).withColumn("km", F.round("km", 6))
+    buses = F.array_contains("a_kinds", "bus") & F.array_contains("b_kinds", "bus")
+    unlike = (F.size("a_kinds") > 1) | (F.col("a_kinds") != F.col("b_kinds"))
+    took = F.when(buses, ride_minutes(F.col("km"), F.lit("bus"), F.lit("bus"))).when(unlike, ride_minutes(F.col("km"), F.lit(""), F.lit("bus")))
+    near = materialise(near.withColumn("minutes", F.round(took, 6)).filter("minutes IS NOT NULL"))
+    one = lambda a, b: near.select(F.col(f"{a}_outward").alias("src"), F.col(f"{b}_inward").alias("dst"), "km", "minutes", F.col(f"{a}_ahead").alias("ahead"), F.col("km").alias("straight"))
+    steps = of.filter("stand <> outward")
+    step = lambda a, b: steps.select(F.col(a).alias("src"), F.col(b).alias("dst"), *(F.lit(0.0).alias(c) for c in ("km", "minutes")), "ahead", F.lit(0.0).alias("straight"))
+    return one("a", "b").unionByName(one("b", "a")).unionByName(step("stand", "outward")).unionByName(step("inward", "stand"))
+
+
+def timed(edges: DataFrame, stood: DataFrame) -> DataFrame:
+    """edges (src, dst, km) between known nodes, both ways and with minutes, as edges of their stands; without km, those of the straight line."""
+    stood = broadcast_if_light(stood.select("node", "kind", "stand", "lat", "lng", "ahead"))
+    end = lambda e: stood.select(F.col("node").alias(e), *(F.col(c).alias(f"{e}_{c}") for c in ("kind", "stand", "lat", "lng", "ahead")))
+    known = edges.join(end("src"), "src").join(end("dst"), "dst").withColumn("straight", haversine_km("src_lat", "src_lng", "dst_lat", "dst_lng"))
+    known = known.withColumn("km", F.coalesce("km", F.round("straight", 6))).filter("km IS NOT NULL")
+    ways = [(a, b, F.round(ride_minutes(F.col("km"), F.col(f"{a}_kind"), F.col(f"{b}_kind")), 6)) for a, b in (("src", "dst"), ("dst", "src"))]
+    way = lambda a, b, took: F.struct(F.col(f"{a}_stand").alias("src"), F.col(f"{b}_stand").alias("dst"), took.alias("minutes"), F.col(f"{a}_ahead").alias("ahead"))
+    return known.select("km", "straight", F.explode(F.array(*(way(*w) for w in ways))).alias("x")).select("x.src", "x.dst", "km", "x.minutes", "x.ahead", "straight")
 
 
 def multimodal_reach(nodes: DataFrame, rides: list[DataFrame], entries: DataFrame) -> DataFrame:
     """What can be reached in the graph of all kinds: node, kind, lat, lng, km, minutes, rounded as in the reach file.
 
-    nodes (node, kind, lat, lng); rides: edge lists (src, dst, km), kept as a bag, to which walks between near nodes
-    are added; entries (node, km, minutes) beside the bus stops and piers within a walk of the origin.
+    nodes (node, kind, lat, lng); rides: edge lists (src, dst, and km unless it is the straight line's), to which walks
+    between near nodes are added; entries (node, km, minutes), a few, beside the bus stops and piers within a walk of the
+    origin. Nodes that walks of 0 km join are one in the graph, so it grows with places and not with pairs of nodes.
     """
-    edges = transfers(nodes).withColumn("km", F.round("km", 6))
+    # straight lines from the origin and from each entry; a list of entries, which are few
+    first = nodes.join(entries.select("node", "km"), "node").dropna(subset=["lat", "lng"]).agg(F.collect_list(F.struct("lat", "lng", "km")).alias("x")).first()["x"]
+    lines = [origin_km("lat", "lng"), *(F.lit(e.km) + haversine_km(e.lat, e.lng, "lat", "lng") for e in first)]
+    stood = materialise(stands(nodes).withColumn("ahead", F.coalesce(F.least(*lines, lines[0]), F.lit(0.0))))
+    edges = stand_walks(stood)
     for more in rides:
-        edges = edges.unionByName(more)
-    seeds = entries.unionByName(origin_seeds(nodes.filter(F.col("kind").isin("bus", "boat"))))
-    found = shortest_paths(timed(edges, nodes), seeds)
+        edges = edges.unionByName(timed(more if "km" in more.columns else more.withColumn("km", F.lit(None).cast("double")), stood))
+    walks = origin_seeds(stood.filter(F.col("kind").isin("bus", "boat")).withColumn("node", F.col("stand")))
+    seeds = entries.join(stood, "node", "left").select(F.coalesce("stand", "node").alias("node"), "km", "minutes").unionByName(walks)
+    found = shortest_paths(edges, seeds).withColumnRenamed("node", "stand")
     places = [F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"), F.round("km", 2).alias("km"), F.round("minutes", 1).alias("minutes")]
-    return found.join(nodes, "node").select("node", "kind", *places)
+    return stood.join(found, "stand").select("node", "kind", *places)
 
 
 def components(links: DataFrame) -> DataFrame:

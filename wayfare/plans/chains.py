@@ -55,18 +55,15 @@ def reach_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks = graph.rail_edges(links, points(spark, sf_dir, "supplier", "s_suppkey").withColumnRenamed("id", "node")).select(named("rail", "src").alias("src"), named("rail", "dst").alias("dst"), F.round("km", 6).alias("km"))
     visits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trip"), F.col("l_partkey").alias("stop"), "l_linenumber", "l_shipdate", F.col("l_partkey"), "l_suppkey")
     stops = points(spark, sf_dir, "part", "p_partkey")
-    end = lambda e: stops.select(F.col("id").alias(e), F.col("lat").alias(f"{e}_lat"), F.col("lng").alias(f"{e}_lng"))
-    pairs = materialise(graph.trip_edges(visits, N._ORDER.split(", ")))  # three times below
-    km = F.round(haversine_km("src_lat", "src_lng", "dst_lat", "dst_lng"), 6)
-    trips = pairs.join(end("src"), "src").join(end("dst"), "dst").select(named("bus", "src").alias("src"), named("bus", "dst").alias("dst"), km.alias("km"))
+    pairs = materialise(graph.trip_edges(visits, N._ORDER.split(", ")))  # twice below
+    trips = pairs.select(named("bus", "src").alias("src"), named("bus", "dst").alias("dst"))
     used = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
     bus = stops.join(used, "id", "left_semi").select(named("bus", "id").alias("node"), F.lit("bus").alias("kind"), "lat", "lng")
     routes = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).alias("route"), F.col("s_suppkey").alias("i"), *place(F.col("s_suppkey")))
     piers = points(spark, sf_dir, "customer", "c_custkey").withColumnRenamed("id", "pier")
     moored = materialise(graph.boat_nodes(piers, routes).join(piers, "pier"))
     boat = moored.select("node", F.lit("boat").alias("kind"), "lat", "lng")
-    spot = lambda e: moored.select(F.col("node").alias(e), F.col("lat").alias(f"{e}_lat"), F.col("lng").alias(f"{e}_lng"))
-    boats = graph.boat_edges(moored).join(spot("src"), "src").join(spot("dst"), "dst").select("src", "dst", km.alias("km"))
+    boats = graph.boat_edges(moored)
     nodes = materialise(rail.unionByName(bus).unionByName(boat))
     airport = rail.filter("node = 'rail_1'").withColumn("km", origin_km("lat", "lng")).select("node", "km", walk_minutes("km").alias("minutes"))
     entries = airport.unionByName(spark.createDataFrame([("rail_0", 0.0, 0.0)], "node string, km double, minutes double"))
